@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from relspark.llm.common import table
 from relspark.llm.decontaminate import contamination
 from relspark.llm.packing import pack
+from relspark.llm.quality import quality
 from relspark.llm.simhash import near_duplicates
 from relspark.llm.tokens import token_counts
+from relspark.llm.toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +28,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -44,7 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_simhash, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op9_token_counts, op10_decontaminate)}
 
 
 OP10_SQL = r"""
