@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relspark.llm.common import table
 from relspark.llm.decontaminate import contamination
+from relspark.llm.linededup import without_repeated_lines
 from relspark.llm.packing import pack
 from relspark.llm.quality import quality
 from relspark.llm.simhash import near_duplicates
@@ -41,6 +42,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -54,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op9_token_counts, op10_decontaminate)}
 
 
 OP10_SQL = r"""
