@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relspark.llm.common import table
 from relspark.llm.decontaminate import contamination
 from relspark.llm.linededup import without_repeated_lines
+from relspark.llm.neighbours import nearest
 from relspark.llm.packing import pack
 from relspark.llm.quality import quality
 from relspark.llm.simhash import near_duplicates
@@ -46,6 +47,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -59,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op8_nearest, op9_token_counts, op10_decontaminate)}
 
 
 OP10_SQL = r"""
