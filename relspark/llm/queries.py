@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm.common import table
@@ -12,6 +12,7 @@ from relspark.llm.decontaminate import contamination
 from relspark.llm.linededup import without_repeated_lines
 from relspark.llm.neighbours import nearest
 from relspark.llm.packing import pack
+from relspark.llm.pii import KINDS, find_pii
 from relspark.llm.quality import quality
 from relspark.llm.simhash import near_duplicates
 from relspark.llm.tokens import token_counts
@@ -47,6 +48,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    counts = [_count(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -65,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op8_nearest, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op7_pii, op8_nearest, op9_token_counts, op10_decontaminate)}
 
 
 OP10_SQL = r"""
