@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relspark.llm.common import table
 from relspark.llm.decontaminate import contamination
+from relspark.llm.licenses import find_licenses
 from relspark.llm.linededup import without_repeated_lines
 from relspark.llm.neighbours import nearest
 from relspark.llm.packing import pack
@@ -48,6 +49,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
 
@@ -81,7 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op7_pii, op8_nearest, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_simhash, op5_line_dedup, op6_licenses, op7_pii, op8_nearest, op9_token_counts, op10_decontaminate)}
 
 
 OP10_SQL = r"""
