@@ -1,15 +1,58 @@
-"""The corpus pipeline: stages from raw documents to packed sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage works on all that the one before it kept. ``ORACLE_SQL`` is None: the classifier, the
+fingerprints and the tokenizer have no SQL; the tests hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relspark.llm.common import checkpointed, table
+from relspark.llm.decontaminate import decontaminated
+from relspark.llm.linededup import without_repeated_lines
+from relspark.llm.packing import pack
+from relspark.llm.quality import accepted
+from relspark.llm.queries import vocabulary
+from relspark.llm.simhash import deduplicated
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on their labelled rows, rejects go."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages are cut out of the texts; ``n_chars`` follows."""
+    out = without_repeated_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: five-word shingles, 0.8 of the fingerprint bits agreeing."""
+    return deduplicated(docs, shingle=5, similarity=0.8)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), mode="document")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 2048."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [(f.__name__, f) for f in (quality_classifier, line_dedup, simhash_near_dedup, benchmark_decontamination, packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; what each keeps is written to the shared checkpoint folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = checkpointed(docs)
     return docs

@@ -31,3 +31,24 @@ def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character kept."""
     plain = F.length(text) == F.octet_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+#: Keys of 16 bytes up to which a join with them asks for a broadcast.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc`` (all columns as one struct)``, doc_id, text, k1, k2``: rows of equal doc_id and text have equal keys."""
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        "doc_id",
+        "text",
+        F.xxhash64("doc_id", "text").alias("k1"),
+        F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"),
+    )
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """``df`` written once, marked for broadcast if it has at most ``most`` rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most else df

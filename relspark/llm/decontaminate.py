@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import ascii_lower
+from relspark.llm.common import ascii_lower, keyed, small
 
 WINDOW = 10
 #: Slots, of a byte each, of the broadcast hash set at most. A fuller set lets more false
@@ -20,6 +20,8 @@ WINDOW = 10
 MAX_SLOTS = 1 << 22
 #: Benchmark windows (about 200 bytes each) up to which their lookup asks for a broadcast.
 MAX_BROADCAST_WINDOWS = 200_000
+#: Documents with hits up to which their removal asks for a broadcast.
+MAX_BROADCAST_DOCS = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -152,21 +154,22 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """``docs`` with all its columns, without what the benchmark holds.
 
     ``mode="document"`` removes every document with a hit word; ``mode="span"`` keeps all
-    documents and removes the hit words, each with the separators that follow it.
+    documents and removes the hit words, each with the separators that follow it. Rows of equal
+    doc_id and text are treated alike.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode is document or span, not {mode}")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text"))
-    hits = _hits(packed, benchmark, window, [F.col("doc"), F.col("text")])
+    rows = keyed(docs)
+    hits = _hits(rows, benchmark, window, [F.col("k1"), F.col("k2")]).filter(F.size("hits") > 0)
+    hits = small(hits.select("k1", "k2", "hits").dropDuplicates(["k1", "k2"]), MAX_BROADCAST_DOCS)
     if mode == "document":
-        return hits.filter(F.size("hits") == 0).select("doc.*")
+        return rows.join(hits, ["k1", "k2"], "left_anti").select("doc.*")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)
     lead = F.col("text").rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]").cast("int")
     kept = F.filter(
         F.transform("pieces", lambda p, j: F.struct(p.alias("p"), (j - F.col("lead")).alias("j"))),
         lambda s: ~F.exists("hits", lambda x: (s["j"] >= x["i"]) & (s["j"] < x["i"] + x["k"])),
     )
-    cut = hits.withColumns({"pieces": pieces, "lead": lead}).withColumn(
-        "cut", F.when(F.size("hits") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["p"]), ""))
-    )
+    met = rows.join(hits, ["k1", "k2"], "left").withColumns({"pieces": F.when(F.col("hits").isNotNull(), pieces), "lead": lead})
+    cut = met.withColumn("cut", F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["p"]), "")))
     return cut.select(*(F.col("cut").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))

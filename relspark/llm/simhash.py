@@ -6,6 +6,10 @@ agree on at least one block, so only tiles that share a block value are compared
 exclusive-or and bit counts, in order of population count; tile pairs whose population counts
 differ by more than the radius are skipped. The result is exact. Tiles give a spanning set of
 links (at most one a row and tile), never all pairs.
+
+For wide radii, where every block would hold much of the corpus, tiles are shared values of
+min-wise keys of the same shingles instead (``similar``): two texts of shingle similarity s share none
+of KEYS keys with probability (1 - s)^KEYS, which is 3e-6 at 0.8.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed
+from relspark.llm.common import checkpointed, small
+from relspark.llm.common import keyed as keyed_rows
 from relspark.llm.components import connected_components
 
 SEED = 42
@@ -30,6 +35,13 @@ TILE = 512
 BUCKET = 8192
 
 
+#: Min-wise keys of a text, and the seeded steps that make them.
+KEYS = 8
+_RNG = np.random.default_rng(3)
+_TIMES = _RNG.integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, KEYS, dtype=np.uint64)
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned fingerprint of one text.
 
@@ -37,16 +49,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     joined by a space (fewer words: the whole sequence; none: zero) and counted with repeats; a
     bit is set if it is set in over half the XXH64 values.
     """
+    return _fingerprint(_shingle_hashes(text, shingle))
+
+
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     k = min(shingle, len(w))
     stop = ends[k - 1 :] - 1
     start = np.concatenate(([0], ends[: len(w) - k]))
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(stop))
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(stop))
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -54,17 +73,28 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, keep: Column | None = None) -> DataFrame:
-    """``doc_id`` (or ``keep``) and ``fp long`` (the fingerprint's bits as a signed number) of each row; null texts count as empty."""
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of the hashes under each seeded step; zeros without hashes."""
+    if not len(hashes):
+        return np.zeros(KEYS, np.int64)
+    return np.array([(hashes * a + b).min() for a, b in zip(_TIMES, _PLUS, strict=True)], np.uint64).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: Column | None = None, keys: bool = False) -> DataFrame:
+    """``doc_id`` (or ``keep``), ``fp long`` (the fingerprint's bits as a signed number) and, if asked, ``keys`` of each row; null texts count as empty."""
     rows = docs.select((F.col("doc_id") if keep is None else keep).alias("doc_id"), "text")
     kind = rows.select("doc_id").schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            hashes = (_shingle_hashes(t, shingle) for t in b.column("text").to_pylist())
+            found = [(_fingerprint(h), _keys(h) if keys else None) for h in hashes]
+            columns = {"doc_id": b.column("doc_id"), "fp": pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64))}
+            if keys:
+                columns["keys"] = pa.array([k for _, k in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(run, f"doc_id {kind.dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind.dataType.simpleString()}, fp long" + ", keys array<long>" * keys)
 
 
 def tile_links(fps: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +127,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET
     """``src, dst``: links that span the components of ``distinct(fp long)`` within ``radius`` bits."""
     blocks = F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask)).alias("v")) for i, (lo, mask) in enumerate(_block_masks(radius))))
     keyed = distinct.select("fp", F.explode(blocks).alias("x")).select("fp", "x.b", "x.v")
+    return bucket_links(keyed, radius, bucket)
+
+
+def bucket_links(keyed: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """``src, dst``: links that span the components, within ``radius`` bits, of each bucket (b, v) of ``keyed(fp long, b int, v long)``."""
     shared = keyed.groupBy("b", "v").agg(F.count("*").alias("n")).filter("n > 1")
     keyed = checkpointed(keyed.join(shared, ["b", "v"]))
 
@@ -117,7 +152,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET
         if rest.num_rows:
             yield out(rest, True)[0]
 
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usual = keyed.filter(F.col("n") <= bucket).select("b", "v", "fp").repartition(parts, "b", "v").sortWithinPartitions("b", "v", "fp")
     links = usual.mapInArrow(cold, "src long, dst long")
     if keyed.filter(F.col("n") > bucket).isEmpty():
@@ -154,8 +189,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep: Co
     ``text`` are ignored. ``keep`` names another id expression.
     """
     fps = checkpointed(fingerprints(docs, shingle, keep))
+    return _components(fps, fingerprint_links(fps.select("fp").distinct(), radius, bucket))
+
+
+def _components(fps: DataFrame, links: DataFrame) -> DataFrame:
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius, bucket))
+    roots = connected_components(links)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     return fps.join(labelled.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: Column | None = None, bucket: int = BUCKET) -> DataFrame:
+    """As ``near_duplicates``, but linking fingerprints of which at least the share ``similarity`` of the bits agree.
+
+    Compared are the fingerprints of texts that share a min-wise key of their shingles.
+    """
+    fps = checkpointed(fingerprints(docs, shingle, keep, keys=True))
+    keyed = fps.select("fp", F.posexplode("keys").alias("b", "v")).distinct()
+    return _components(fps, bucket_links(keyed, int(BITS * (1 - similarity) + 1e-9), bucket))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, with all columns, but one row of each group that ``similar`` finds: the one of smallest doc_id (nulls last, ties by a hash).
+
+    Of rows with equal doc_id and text one stays. All texts without words are one group.
+    """
+    rows = keyed_rows(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    found = checkpointed(similar(rows, shingle, similarity, key).select(F.col("doc_id").alias("key"), "component_id"))
+    lost = small(found.filter(F.col("key") != F.col("component_id")).select("key.k1", "key.k2").distinct())
+    kept = rows.join(lost, ["k1", "k2"], "left_anti")
+    if not found.groupBy("key").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["k1", "k2"])
+    return kept.select("doc.*")
