@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.tokens import BETWEEN_SPACES, encoder
+from relspark.llm.tokens import word_encoder
 
 LIMIT = 2048
 END_ID = 1
@@ -52,34 +52,18 @@ def first_fit_decreasing(sizes: list[int], limit: int) -> list[int]:
     return bins
 
 
-def _ids_of(path: str):
-    """The worker's encoder; ids are two bytes each where the vocabulary allows, else four."""
-    enc = encoder(path, BETWEEN_SPACES, _two_bytes)
-    if enc.vocabulary > 1 << 16:
-        enc = encoder(path, BETWEEN_SPACES, _four_bytes)
-    return enc, "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
-
-
-def _two_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
-
-
-def _four_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def pieces(docs: DataFrame, path: str, limit: int, end_id: int, groups: int, seed: int) -> DataFrame:
     """The documents' ids cut at every ``limit``, each piece with a random group that depends on the seed and the row alone."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dtype = _ids_of(path)
-        end, width, seen = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize, 0
+        enc = word_encoder(path)
+        end, width, seen = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize, 0
         for b in batches:
             take, start, total, ids, group = [], [], [], [], []
-            for i, values in enumerate(enc.values(b.column("text").to_pylist())):
-                own = b"".join(values) + end
+            for i, own in enumerate(enc.ids(b.column("text").to_pylist())):
+                own += end
                 n = len(own) // width
                 mark = xxhash.xxh64_intdigest(own, seed) + seen
                 seen += 1

@@ -24,8 +24,6 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: end depends on no more than the next character, so it starts afresh wherever a space follows
 #: another character.
 BEFORE_SPACE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Tokenizers that drop white space: pieces between these characters are independent.
-BETWEEN_SPACES = re.compile("[^ \t\n\r]+")
 CACHED_PIECES, CACHED_CHARS = 300_000, 6_000_000
 #: Texts that are cut to pieces before the library is called for the new ones.
 TEXTS = 64
@@ -71,6 +69,80 @@ def encoder(path: str, pieces: re.Pattern, value: Callable) -> PieceEncoder:
     return _encoders[key]
 
 
+#: The words that a worker remembers.
+CACHED_WORDS = 400_000
+_WORDS = re.compile("[^ \t\n\r]+")
+#: Texts in which a space before each full stop and comma could part symbols that belong together,
+#: or that hold a special token or one of the controls at which str.split cuts and the library doesn't.
+_TANGLED = re.compile(r"[^\w\s][.,]|_[.,]|<\||[\x1c-\x1f]")
+#: Letters that the library's chain leaves alone but for the bytes' stand-ins.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+class WordEncoder:
+    """Ids, as little-endian bytes, of texts by a byte-level tokenizer that lower-cases and drops white space.
+
+    Words between white space are independent there, and so are a letter or digit and the full stop
+    or comma after it. Words of plain letters go to the library's BPE model itself, all else through its
+    whole chain; each is encoded once while it is remembered.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.stand_ins = _byte_characters()
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        if _TANGLED.search(text):
+            return _WORDS.findall(text)
+        low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return low.replace(".", " .").replace(",", " ,").split()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        rest = []
+        for w in words.difference(self.words):
+            if _PLAIN.fullmatch(w):
+                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_ins)
+                self.words[w] = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), TEXTS):
+            cut = [self.split(t) for t in texts[i : i + TEXTS]]
+            self.learn(set().union(*cut))
+            for words in cut:
+                yield b"".join(map(self.words.__getitem__, words))
+
+
+_word_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's word encoder, made at the first call."""
+    if path not in _word_encoders:
+        _word_encoders[path] = WordEncoder(path)
+    return _word_encoders[path]
+
+
 #: Documents of more characters are encoded in overlapping chunks.
 HUGE = 32_768
 CHUNK = 16_384
