@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 from relspark.catalog import SPECS, entity_tables, epoch_seconds, open_database, topological_generations
 from relspark.functions import rng, series
 from relspark.operators import graph, metrics, sampler, stats
-from relspark.storage import numbered
+from relspark.plans import hsbm
+from relspark.plans.generate import DatabaseConfig, TablePlan, generate
+from relspark.plans.scm import AGGREGATIONS, Scm, propagate
+from relspark.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -616,14 +619,12 @@ def embedding_lookup(spark, sf_dir):
 
 # ---- row-wise parent aggregation
 
-_PARENTS_SQL = "(SELECT l_orderkey, greatest(-1e4, least(1e4, 0.3 * l_quantity)) AS a, greatest(-1e4, least(1e4, -2.0 * l_discount)) AS b, greatest(-1e4, least(1e4, 0.001 * l_extendedprice)) AS c, l_linenumber, l_partkey FROM lineitem)"
+_PARENTS_SQL = "(SELECT l_orderkey, greatest(-1e4, least(1e4, 0.31372 * l_quantity)) AS a, greatest(-1e4, least(1e4, -2.0 * l_discount)) AS b, greatest(-1e4, least(1e4, 0.0010113 * l_extendedprice)) AS c, l_linenumber, l_partkey FROM lineitem)"
 
 
 def _parents(spark, sf_dir, how: str) -> DataFrame:
-    from relspark.plans.scm import AGGREGATIONS
-
     clamp = lambda c: F.greatest(F.lit(-1e4), F.least(F.lit(1e4), c))
-    xs = F.array(clamp(0.3 * F.col("l_quantity")), clamp(-2.0 * F.col("l_discount")), clamp(0.001 * F.col("l_extendedprice")))
+    xs = F.array(clamp(0.31372 * F.col("l_quantity")), clamp(-2.0 * F.col("l_discount")), clamp(0.0010113 * F.col("l_extendedprice")))
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.round(AGGREGATIONS[how](xs), 5) + 0.0).alias("x"))
 
 
@@ -659,6 +660,83 @@ def profile_cube(spark, sf_dir):
     return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+# ---- foreign-key synthesis and causal columns over the given tables' rows
+
+
+@query("""WITH s AS (SELECT count(*) AS n FROM orders), c AS (SELECT o_orderkey, least(o_orderkey // ((n + 5) // 6), 5)::INT AS base FROM orders, s)
+    SELECT o_orderkey, base, (base // 3 % 2)::INT AS d0, (base % 3)::INT AS d1 FROM c""")
+def hsbm_clusters(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    base = hsbm.base_cluster(F.col("o_orderkey"), o.count(), [2, 3])
+    d0, d1 = hsbm.digits(base, [2, 3])
+    return o.select("o_orderkey", base.alias("base"), d0.alias("d0"), d1.alias("d1"))
+
+
+_CDF = hsbm.level_matrices([2, 2], [2, 3], 9)
+_LEVEL_SQL = " UNION ALL ".join(f"SELECT {k} AS lev, {a} AS a, {b} AS b, {float(m[a, b])!r}::DOUBLE AS p" for k, m in enumerate(_CDF) for a in range(m.shape[0]) for b in range(m.shape[1]))
+
+
+@query(
+    f"""WITH lev AS ({_LEVEL_SQL}), nc AS (SELECT count(*) AS n FROM customer), no AS (SELECT count(*) AS n FROM orders),
+    w AS (SELECT ca, cb, (SELECT p FROM lev WHERE lev = 0 AND a = ca // 2 AND b = cb // 3) * (SELECT p FROM lev WHERE lev = 1 AND a = ca % 2 AND b = cb % 3) * (CASE WHEN ca < 3 THEN least(n, (ca + 1) * ((n + 3) // 4)) ELSE n END - ca * ((n + 3) // 4)) AS w,
+        ca * ((n + 3) // 4) AS first, CASE WHEN ca < 3 THEN least(n, (ca + 1) * ((n + 3) // 4)) ELSE n END - ca * ((n + 3) // 4) AS size FROM range(4) x(ca), range(6) y(cb), nc),
+    cdf AS (SELECT *, sum(w) OVER (PARTITION BY cb ORDER BY ca) / sum(w) OVER (PARTITION BY cb) AS hi, (sum(w) OVER (PARTITION BY cb ORDER BY ca) - w) / sum(w) OVER (PARTITION BY cb) AS lo FROM w),
+    d AS (SELECT o_orderkey, least(o_orderkey // ((n + 5) // 6), 5) AS cb, {U.format("'9|cluster|' || o_orderkey")} AS u, {U.format("'9|member|' || o_orderkey")} AS v FROM orders, no)
+    SELECT o_orderkey, (first + floor(v * size))::BIGINT AS parent FROM d JOIN cdf ON d.cb = cdf.cb AND u >= lo AND (u < hi OR ca = 3)"""
+)
+def hsbm_assign(spark, sf_dir):
+    """Every order draws a customer by clusters: exactly one each."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    return hsbm.assign(o, "o_orderkey", o.count(), read(spark, sf_dir, "customer").count(), [2, 3], [2, 2], 9)
+
+
+@query()
+def scm_propagate(spark, sf_dir):
+    """Causal columns for every order, conditioned on its customer's balance."""
+    o = parent_gather(spark, sf_dir).select("o_orderkey", F.col("c_acctbal").cast("double").alias("balance"))
+    model = Scm.sample({"amount": 0, "grade": 5, "flag": 2}, seed=13, n_foreign=1, layout="Layered")
+    return propagate(o, "o_orderkey", o.count(), model, ["balance"])
+
+
+@query()
+def generate_like(spark, sf_dir):
+    """A synthetic child table on the given keys: a drawn parent, causal columns, gaps and dates for every order."""
+    plans = {
+        "customer": TablePlan("customer", 0, False, (), {"x": 0, "kind": 3}, {}, 21),
+        "orders": TablePlan("orders", 0, True, ("customer",), {"y": 0, "z": 0, "flag": 4}, {}, 22),
+    }
+    rows = {"customer": read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_idx")), "orders": read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_idx"))}
+    return generate(spark, plans, DatabaseConfig(), rows).tables["orders"]
+
+
+# ---- streams, beyond the relational core
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    made = events.windowed_counts(events.read_stream(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day", "2 days")
+    out = events.drained(made.select(F.col("w.start").alias("day"), "event_type", "n", "cents"), "complete")
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, count(value) AS n, round(sum(value), 2) AS s, round(sum(value * value), 1) AS ss FROM events GROUP BY event_type")
+def stream_stats(spark, sf_dir):
+    made = events.drained(events.running_stats(events.read_stream(spark, sf_dir, "events"), "event_type", "value"), "complete")
+    return made.select("event_type", "n", F.round("s", 2).alias("s"), F.round("ss", 1).alias("ss"))
+
+
+@query("SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
+def stream_parent_join(spark, sf_dir):
+    made = events.with_parent(events.read_stream(spark, sf_dir, "events"), read(spark, sf_dir, "customer"), "user_id", "c_custkey")
+    return events.drained(made.select("event_id", "user_id", "c_mktsegment"), "append")
+
+
+@query("SELECT DISTINCT event_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    made = events.deduplicated(events.read_stream(spark, sf_dir, "events"), "ts", ["event_id"], "40 days")
+    return events.drained(made.select("event_id", "event_type"), "append")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
