@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,3 +48,11 @@ def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column
     first = rows.groupBy(*groups).agg(F.min("__rn").alias("__first"))
     met = rows.alias("r").join(first.alias("f"), [F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups])
     return met.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("__rn") - F.col("__first")).alias(name))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new folder beside the checkpoints and read back: smaller than a checkpoint, and read by column."""
+    checkpointed(df.sparkSession.range(1))
+    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
