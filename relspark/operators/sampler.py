@@ -66,6 +66,24 @@ def leaks(column: Column, dropped: list[str], node: Column, seed: Column, ts: Co
     return column.isin(dropped) & ((node == seed) | ts.eqNullSafe(seed_ts))
 
 
+def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFrame, hops: int, width: int, length: int, target: str, dropped: list[str], seed: int = 0) -> DataFrame:
+    """``seed_key, node, depth, ts, column, ..., pos, is_target``: each seed's context, its cells in order of column and node.
+
+    ``seeds(seed_key, seed_ts, node)``, ``edges(child_key, parent_key, child_ts)``, ``times(node, ts)`` and
+    ``cells(node, column, ...)``. Visits stop before the cells reach ``length``; leaking cells go after that, and at
+    most ``length`` remain. Target values of other rows stay visible. Nodes without cells count none.
+    """
+    visits = expand(seeds, edges, hops, width, seed)
+    sizes = cells.groupBy("node").agg(F.count("*").alias("n_cells"))
+    seen = within_budget(visits.join(sizes, "node", "left").fillna(0, ["n_cells"]), "n_cells", length)
+    rows = seen.join(times, "node", "left").join(seeds.select("seed_key", "seed_ts", F.col("node").alias("seed_node")), "seed_key").join(cells, "node")
+    kept = rows.filter(~leaks(F.col("column"), dropped, F.col("node"), F.col("seed_node"), F.col("ts"), F.col("seed_ts")))
+    w = Window.partitionBy("seed_key").orderBy("column", "node")
+    marked = kept.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < length)
+    is_target = (F.col("node") == F.col("seed_node")) & (F.col("column") == target)
+    return marked.withColumn("is_target", is_target).drop("n_cells", "used", "is_parent", "r", "seed_node", "seed_ts")
+
+
 def batches(items: DataFrame, order: list[str], ranks: int, size: int, seed: int = 0) -> DataFrame:
     """``items`` with ``batch, rank, slot``: shuffled by keyed hash, dealt out in turn; the last batch is filled from the start."""
     rows = numbered(items, [u32(seed, *map(F.col, order)), *order], "pos")

@@ -138,8 +138,13 @@ class Mlp:
         return np.clip(x @ self.weights[-1], -1e6, 1e6)
 
 
+def _beta(u: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Draws of Kumaraswamy's distribution: shaped like Beta(a, b), with an inverse in closed form."""
+    return (1 - (1 - u) ** (1 / b)) ** (1 / a)
+
+
 EMBEDDING = 8
-#: Kinds of source nodes: uniform, clipped normal, power-scaled (beta-like) and a trend with a cycle over the row's place.
+#: Kinds of source nodes: uniform, clipped normal, beta-like, a trend with a cycle over the row's place, and a mixture of these by row.
 SOURCES = ("uniform", "gaussian", "beta", "ts", "mixed")
 
 
@@ -155,6 +160,7 @@ class Scm:
     encoders: dict[tuple[int, int], Mlp]
     decoders: dict[int, Mlp]
     aggregation: str
+    noise: dict[int, tuple[float, float]]
     foreign: dict[int, Mlp] = field(default_factory=dict)
     n_foreign: int = 0
 
@@ -174,6 +180,7 @@ class Scm:
             {e: Mlp.sample(r, 1, EMBEDDING) for e in dag.edges},
             {v: Mlp.sample(r, EMBEDDING, max(1, categories[v])) for v in range(n) if v not in roots},
             str(r.choice(sorted(_ARRAYS))),
+            {v: (float(r.uniform(0.5, 5)), float(r.uniform(0.5, 5))) for v in range(n)},
             {v: Mlp.sample(r, n_foreign, EMBEDDING) for v in range(n) if v not in roots} if n_foreign else {},
             n_foreign,
         )
@@ -181,14 +188,17 @@ class Scm:
     def _source(self, v: int, rows: np.ndarray, n: int) -> np.ndarray:
         kind, a, b = self.sources[v]
         u, w = _counter(self.seed, 4 * v, rows), _counter(self.seed, 4 * v + 1, rows)
-        if kind == "mixed":
-            kind = SOURCES[v % 4]
-        x = {
+        of = {
             "uniform": lambda: 2 * u - 1,
             "gaussian": lambda: np.clip(_normal(u, w) / 2, -1, 1),
-            "beta": lambda: 2 * u ** (1 / a) - 1,
+            "beta": lambda: 2 * _beta(u, a, 10 * b) - 1,
             "ts": lambda: (np.minimum((rows / max(n, 1)) ** min(a, 2.0) * 2 - 1, 1) + np.sin(np.pi * rows / max(b * n, 1)) + b * (2 * u - 1)) / 3,
-        }[kind]()
+        }
+        if kind == "mixed":
+            which = np.floor(3 * _counter(self.seed, 4 * v + 3, rows)).astype(int)
+            x = np.choose(which, [of["uniform"](), of["gaussian"](), of["beta"]()])
+        else:
+            x = of[kind]()
         k = self.categories[v]
         return np.minimum(np.floor((x + 1) / 2 * k), k - 1) if k else x
 
@@ -205,12 +215,33 @@ class Scm:
                 if foreign is not None and self.foreign:
                     weight = 1 / (len(up) + 1) if self.aggregation == "sum" else 1.0
                     parts.append(np.clip(weight * self.foreign[v](np.nan_to_num(foreign)), -1e4, 1e4))
-                noise = _counter(self.seed, 4 * v + 2, rows) ** 2 / EMBEDDING
+                noise = _beta(_counter(self.seed, 4 * v + 2, rows), *self.noise[v]) / EMBEDDING
                 out = self.decoders[v](np.clip(noise[:, None] + _ARRAYS[self.aggregation](np.stack(parts)), -1e6, 1e6))
                 values[v] = out.argmax(axis=1).astype(float) if self.categories[v] else out[:, 0]
         return {c: values[v] for c, v in self.columns.items()}
 
 
+def quantize(rows: DataFrame, key: str, n: int, columns: dict[str, int], seed: int) -> DataFrame:
+    """``rows`` with each of ``columns`` (name to number of classes) cut at its values in drawn rows, codes permuted or reversed by chance.
+
+    The driver sees the drawn rows alone: classes - 1 values a column.
+    """
+    from relspark.operators.stats import quantized
+
+    r = np.random.default_rng(seed)
+    for c, k in columns.items():
+        at = r.integers(0, max(n, 1), k - 1).tolist()
+        values = {x[key]: x[c] for x in rows.filter(F.col(key).isin(at)).select(key, c).collect()}
+        bounds = sorted(float(values[a]) for a in at if a in values)
+        order = r.permutation(len(bounds) + 1).tolist() if r.random() < r.uniform(0.3, 1.0) else None
+        rows = rows.withColumn(c, quantized(F.col(c), bounds, order, bool(r.random() < r.uniform(0.2, 0.8))).cast("long"))
+    return rows
+
+
+#: How a table's categories come about: decoded inside the model, or as numbers that are cut afterwards.
+STRATEGIES = ("eager", "lazy")
+
+
 def propagate(rows: DataFrame, key: str, n: int, scm: Scm, foreign: list[str] | None = None) -> DataFrame:
     """``rows`` (``key``: place from 0; ``foreign``: parents' features) with the model's columns: numbers as double, codes as long.
 

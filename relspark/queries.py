@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from relspark.catalog import SPECS, entity_tables, epoch_seconds, open_database, topological_generations
 from relspark.functions import rng, series
-from relspark.operators import graph, metrics, sampler, stats
+from relspark.operators import graph, metrics, sampler, stats, tasks
 from relspark.plans import hsbm
 from relspark.plans.generate import DatabaseConfig, TablePlan, generate
 from relspark.plans.scm import AGGREGATIONS, Scm, propagate
@@ -167,8 +167,7 @@ _SPLIT_SQL = "CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'train' WHEN o
 
 
 def _split(df: DataFrame) -> DataFrame:
-    d = F.col("o_orderdate")
-    return df.withColumn("split", F.when(d < F.lit("1999-01-01").cast("timestamp_ntz"), "train").when(d < F.lit("2000-01-01").cast("timestamp_ntz"), "val").otherwise("test"))
+    return df.withColumn("split", tasks.time_split(F.col("o_orderdate"), "1999-01-01", "2000-01-01"))
 
 
 @query(f"""SELECT split, count(*) AS n, round(avg((o_totalprice - m) / s), 5) AS mean_z FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders),
@@ -328,12 +327,9 @@ _LEAK_SQL = f"""SELECT v.seed_key, v.node, c."column" FROM ({_VISITS_SQL}) v JOI
 def _contexts(spark, sf_dir) -> DataFrame:
     e = _order_edges(spark, sf_dir)
     n = read(spark, sf_dir, "customer").count()
-    visits = sampler.expand(_order_seeds(e), e, HOPS, WIDTH)
-    own = e.select(F.col("child_key").alias("node"), F.col("child_ts").alias("ts"))
-    seeds = e.select(F.col("child_key").alias("seed_key"), F.col("child_ts").alias("seed_ts"))
+    times = e.select(F.col("child_key").alias("node"), F.col("child_ts").alias("ts"))
     cell = cells_melt(spark, sf_dir).select((F.col("node_key") + n).alias("node"), "column", "num", "txt")
-    rows = visits.join(own, "node").join(seeds, "seed_key").join(cell, "node")
-    return rows.filter(~sampler.leaks(F.col("column"), ["o_orderstatus of orders"], F.col("node"), F.col("seed_key"), F.col("ts"), F.col("seed_ts")))
+    return sampler.contexts(_order_seeds(e), e, times, cell, HOPS, WIDTH, 10**6, "o_totalprice of orders", ["o_orderstatus of orders"])
 
 
 @query(_LEAK_SQL)
@@ -343,10 +339,8 @@ def leakage_filter(spark, sf_dir):
 
 @query(f"""SELECT seed_key, node, "column", row_number() OVER (PARTITION BY seed_key ORDER BY "column", node) - 1 AS pos, node = seed_key AND "column" = 'o_totalprice of orders' AS is_target FROM ({_LEAK_SQL})""")
 def sequence_sorted(spark, sf_dir):
-    """A context's cells in order of column, the seed's target cell marked; a context is at most a budget long."""
-    w = Window.partitionBy("seed_key").orderBy("column", "node")
-    target = (F.col("node") == F.col("seed_key")) & (F.col("column") == "o_totalprice of orders")
-    return _contexts(spark, sf_dir).select("seed_key", "node", "column", (F.row_number().over(w) - 1).alias("pos"), target.alias("is_target"))
+    """A context's cells in order of column, the seed's target cell marked."""
+    return _contexts(spark, sf_dir).select("seed_key", "node", "column", "pos", "is_target")
 
 
 @query(f"""SELECT seed_key, count(*) AS n_cells, count(*) FILTER (node = seed_key AND "column" = 'o_totalprice of orders') AS n_targets, count(*) FILTER (node <> seed_key AND "column" = 'o_totalprice of orders') AS n_labels FROM ({_LEAK_SQL}) GROUP BY seed_key""")
@@ -534,8 +528,34 @@ def leave_one_out(spark, sf_dir):
 
 @query(f"SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {U32.format(chr(39) + '5|' + chr(39) + ' || o_orderkey')}, o_orderkey) AS n FROM orders) WHERE n <= 3")
 def limit_per_group(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(rng.u32(5, F.col("o_orderkey")), "o_orderkey")
-    return read(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("o_custkey", "o_orderkey")
+    return tasks.limit_per_group(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 3, 5)
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 4)")
+def full_batches(spark, sf_dir):
+    return tasks.full_batches(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", 4)
+
+
+@query("SELECT o_orderkey, o_orderkey + (SELECT count(*) FROM customer) AS node, o_orderkey AS entity_id FROM orders")
+def entity_recovery(spark, sf_dir):
+    first = open_database(spark, sf_dir, ["customer", "orders"]).offsets()["orders"]
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + F.lit(first)).alias("node"))
+    return tasks.entity_ids(o, "node", first)
+
+
+@query(
+    f"""WITH info AS (SELECT 'orders' AS t, split, min(o_orderkey) AS first_node, count(*) AS n_rows FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders) GROUP BY split
+        UNION ALL SELECT 'events', 'db', 0, count(*) FROM events)
+    SELECT x.t AS "table", x.s AS split, coalesce(d.first_node, i.first_node) AS first_node, coalesce(d.n_rows, i.n_rows) AS n_rows
+    FROM (SELECT * FROM (VALUES ('orders'), ('events')) a(t), (VALUES ('train'), ('val'), ('test')) b(s)) x
+    LEFT JOIN info d ON d.t = x.t AND d.split = 'db' LEFT JOIN info i ON i.t = x.t AND i.split = x.s"""
+)
+def task_catalog(spark, sf_dir):
+    """Where each task's rows are: the whole table if it is there, else the split's own."""
+    per = _split(read(spark, sf_dir, "orders")).groupBy("split").agg(F.min("o_orderkey").alias("first_node"), F.count("*").alias("n_rows")).withColumn("table", F.lit("orders"))
+    whole = read(spark, sf_dir, "events").agg(F.count("*").alias("n_rows")).select(F.lit("db").alias("split"), F.lit(0).cast("long").alias("first_node"), "n_rows", F.lit("events").alias("table"))
+    asked = spark.createDataFrame([(t, s) for t in ("orders", "events") for s in ("train", "val", "test")], "table string, split string")
+    return tasks.task_tables(per.unionByName(whole), asked)
 
 
 _SCORED_SQL = f"(SELECT o_orderkey, o_totalprice AS y, o_totalprice * (0.5 + {U.format(chr(39) + 'p|' + chr(39) + ' || o_orderkey')}) AS p, floor(o_totalprice / 5000 + 30 * {U.format(chr(39) + 'p|' + chr(39) + ' || o_orderkey')}) AS s, {_SPLIT_SQL} AS split FROM orders)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from relspark.catalog import RelationalDB, TableSpec, open_database
 from relspark.functions import rng, series
-from relspark.operators import graph, metrics, sampler, stats
+from relspark.operators import graph, metrics, sampler, stats, tasks
 from relspark.sources import parquet
 from relspark.storage import numbered, numbered_within
 
@@ -145,3 +145,18 @@ def test_databases_and_tasks_round_trip(spark):
 def test_open_database_counts(spark):
     db = open_database(spark, SF, ["orders", "customer"])
     assert {r.table: r.generation for r in db.counts().collect()} == {"customer": 0, "orders": 1}
+
+
+def test_task_lists(spark):
+    df = spark.createDataFrame([(1, 1.0, True, "x", 2)], "id long, feature_a double, feature_b boolean, feature_c string, feature_d int")
+    all_tasks = tasks.feature_tasks("d1", "t", df) + tasks.feature_tasks("d2", "t", df)
+    assert [(t.target, t.kind) for t in all_tasks[:3]] == [("feature_a", "regression"), ("feature_b", "classification"), ("feature_c", "classification")]
+    assert {t.db for t in tasks.leave_out(all_tasks, "d1")} == {"d2"}
+    assert len(tasks.limited(all_tasks, 2)) == 4 and tasks.limited(all_tasks, 2) == tasks.limited(all_tasks[::-1], 2)
+    assert tasks.first_valid(["b", "a", "c"], [True, False, True], 2) == ["b", "c"]
+    with pytest.raises(ValueError):
+        tasks.first_valid(["a"], [False], 1)
+    assert tasks.is_synthetic("my-synthetic-1") and tasks.is_synthetic("gen_3", "gen_") and not tasks.is_synthetic("shop", "gen_")
+    assert tasks.cut_times("2020-01-01", "2020-01-10") == ("2020-01-09", "2020-01-10")
+    nodes = spark.createDataFrame([(1, "db"), (2, "train")], "node long, split string")
+    assert [r.node for r in tasks.without_database_rows(nodes).collect()] == [2]
