@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed, table
+from relspark.llm.common import small_batches, stored, table
 from relspark.llm.decontaminate import decontaminated
 from relspark.llm.linededup import without_repeated_lines
 from relspark.llm.packing import pack
@@ -20,17 +20,20 @@ from relspark.llm.simhash import deduplicated
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labelled rows, rejects go."""
+    small_batches(spark)
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages are cut out of the texts; ``n_chars`` follows."""
+    small_batches(spark)
     out = without_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, 0.8 of the fingerprint bits agreeing."""
+    small_batches(spark)
     return deduplicated(docs, shingle=5, similarity=0.8)
 
 
@@ -41,6 +44,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 2048."""
+    small_batches(spark)
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -54,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = stored(docs)
     return docs

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspark.storage import checkpointed, stored
+
+__all__ = ["ascii_lower", "checkpointed", "keyed", "small", "small_batches", "stored", "table", "texts"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there.
+#: Rows of an Arrow batch: documents are long, and a task holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    the session names none, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+def texts(column: pa.Array, step: int = 128) -> Iterator[str]:
+    """The strings of a column, made ``step`` at a time; null is empty."""
+    for i in range(0, len(column), step):
+        for t in column.slice(i, step).to_pylist():
+            yield t or ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.common import texts
+
 GRAM, WINNOW = 3, 4
 #: Share of a template's words that an alignment matches at least.
 COVERAGE = 0.7
@@ -191,7 +193,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [found(t) for t in b.column("text").to_pylist()]
+            each = [found(t) for t in texts(b.column("text"))]
             at = pa.array(np.repeat(np.arange(len(each)), [len(f) for f in each]))
             flat = [x for f in each for x in f]
             columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))]

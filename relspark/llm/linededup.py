@@ -15,14 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed
+from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
 WRAP = 16
 #: Words that a window of lines has at least; shorter ones repeat by chance.
 MIN_WORDS = 12
-#: Repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast (about 60 and 200 bytes each).
-MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 200_000
+#: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
+#: (about 30, 100 and 200 bytes each).
+MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 100_000
 
 _SENTENCE = re.compile(r"[^.!?]++(?:[.!?]++(?=[^\s.!?])[^.!?]++)*+[.!?]*+\s*+|[.!?]++\s*+(?:[^\s.!?][^.!?]*+[.!?]*+\s*+)?+")
 _WRAPPED = re.compile(rf"\s*+(?:\S++\s*+){{1,{WRAP}}}+")
@@ -71,7 +72,7 @@ def _windows(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, th, text = b.column("doc_id"), b.column("th"), b.column("text")
             for lo in range(0, len(b), 256):
-                found = [window_hashes(t) for t in text.slice(lo, 256).to_pylist()]
+                found = [window_hashes(t) for t in texts(text.slice(lo, 256))]
                 row = pa.array(np.repeat(np.arange(lo, lo + len(found)), [len(f[0]) for f in found]))
                 i, h, c = (pa.array(np.concatenate([f[k] for f in found])) for k in range(3))
                 yield pa.RecordBatch.from_arrays([h, c, ids.take(row), th.take(row), i], names=["h", "c", "doc_id", "th", "i"])
@@ -82,10 +83,12 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, th, starts``: for each document the starts of its windows that occur before, there or in another document."""
-    windows = _windows(docs)
-    again = checkpointed(windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    if again.count() <= MAX_BROADCAST_WINDOWS:
-        again = F.broadcast(again)
+    windows = stored(_windows(docs))
+    # most windows are unique: they go by a count of their hashes alone
+    twice = small(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), MAX_BROADCAST_HASHES)
+    windows = stored(windows.join(twice, "h", "left_semi"))
+    again = windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = small(again, MAX_BROADCAST_WINDOWS)
     later = windows.join(again, ["h", "c"]).filter(F.col("at") != F.col("first"))
     return later.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.i").alias("starts"))
 

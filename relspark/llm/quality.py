@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed
+from relspark.llm.common import checkpointed, texts
 from relspark.llm.labelled import BINS, fold, histogram, isotonic, labelled
 
 #: Random features, of which pairs of them approximate a Gaussian kernel of this width (in standard deviations).
@@ -57,7 +57,7 @@ def statistics(text: str) -> list[float]:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [statistics(t) for t in b.column("text").to_pylist()]
+        x = [statistics(t) for t in texts(b.column("text"))]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
 
@@ -134,14 +134,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = scored(shared.value, b.column("text").to_pylist())
+            s = scored(shared.value, texts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def scored(model: Model, texts: list[str | None]) -> np.ndarray:
-    x = np.array([statistics(t or "") for t in texts], np.float64).reshape(-1, STATISTICS)
+def scored(model: Model, each: Iterable[str | None]) -> np.ndarray:
+    x = np.array([statistics(t or "") for t in each], np.float64).reshape(-1, STATISTICS)
     return np.concatenate([model.score(x[i : i + 1024]) for i in range(0, len(x), 1024)] or [np.zeros(0)])
 
 
@@ -151,6 +151,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(scored(shared.value, b.column("text").to_pylist()) >= THRESHOLD))
+            yield b.filter(pa.array(scored(shared.value, texts(b.column("text"))) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed, small
+from relspark.llm.common import checkpointed, small, texts
 from relspark.llm.common import keyed as keyed_rows
 from relspark.llm.components import connected_components
 
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: Column | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = (_shingle_hashes(t, shingle) for t in b.column("text").to_pylist())
+            hashes = (_shingle_hashes(t, shingle) for t in texts(b.column("text")))
             found = [(_fingerprint(h), _keys(h) if keys else None) for h in hashes]
             columns = {"doc_id": b.column("doc_id"), "fp": pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64))}
             if keys:

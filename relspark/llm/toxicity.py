@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.common import texts
 from relspark.llm.labelled import BINS, fold, histogram, labelled, platt
 
 #: Slots of the count table: 4 counts each, 16 MB in all, however large the corpus.
@@ -52,7 +53,7 @@ class Slots:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots, counts = Slots(), np.zeros((4, SLOTS), np.int32)
     for b in batches:
-        for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+        for text, y in zip(texts(b.column("text")), b.column("y").to_pylist(), strict=True):
             words, beginnings = slots.of(text)
             counts[y, np.unique(words)] += 1
             counts[2 + y, np.unique(beginnings)] += 1
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         slots, m = Slots(), shared.value
         for b in batches:
             y = b.column("y").to_pylist()
-            s = [m.evidence(*slots.of(t), own) for t, own in zip(b.column("text").to_pylist(), y, strict=True)]
+            s = [m.evidence(*slots.of(t), own) for t, own in zip(texts(b.column("text")), y, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), b.column("y")], names=["s", "y"])
 
     counted = histogram(train.mapInArrow(left_out, "s double, y int"), LOW, HIGH)
@@ -140,7 +141,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, m = Slots(), shared.value
         for b in batches:
-            e = np.array([m.evidence(*slots.of(t)) for t in b.column("text").to_pylist()], np.float64)
+            e = np.array([m.evidence(*slots.of(t)) for t in texts(b.column("text"))], np.float64)
             s = m.score(e)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(e), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "evidence", "score", "predicted"]

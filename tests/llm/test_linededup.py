@@ -46,6 +46,7 @@ def test_matches_brute_force(spark, monkeypatch):
     th = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
     want = brute([(d, t, th[d, t]) for d, t in ROWS])
     for most in (10**6, 0):
+        monkeypatch.setattr(linededup, "MAX_BROADCAST_HASHES", most)
         monkeypatch.setattr(linededup, "MAX_BROADCAST_WINDOWS", most)
         monkeypatch.setattr(linededup, "MAX_BROADCAST_DOCS", most)
         got = without_repeated_lines(df.repartition(3), removed="gone")
