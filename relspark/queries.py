@@ -141,26 +141,26 @@ def dt_stats_global(spark, sf_dir):
     return stats.time_stats(open_database(spark, sf_dir)).select("n", F.round("mean", 1).alias("mean"), F.round("std", 1).alias("std"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - m) / s, 5) AS z FROM lineitem,
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - m) / s, 5) + 0.0 AS z FROM lineitem,
     (SELECT avg(l_extendedprice) AS m, coalesce(nullif(stddev_samp(l_extendedprice), 0), 1) AS s FROM lineitem)""")
 def normalize_number(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
     one = F.broadcast(stats.numeric_stats(df, ["l_extendedprice"]))  # one row a column
-    return df.crossJoin(one).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(stats.z_score(stats.numeric("l_extendedprice"), F.col("mean"), F.col("std")), 5).alias("z"))
+    return df.crossJoin(one).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round(stats.z_score(stats.numeric("l_extendedprice"), F.col("mean"), F.col("std")), 5) + 0.0).alias("z"))
 
 
-@query("""SELECT o_orderkey, round(CASE WHEN s = 0 THEN 0 ELSE ((o_orderstatus = 'O')::INT - m) / s END, 6) AS z FROM orders,
+@query("""SELECT o_orderkey, round(CASE WHEN s = 0 THEN 0 ELSE ((o_orderstatus = 'O')::INT - m) / s END, 6) + 0.0 AS z FROM orders,
     (SELECT avg((o_orderstatus = 'O')::INT) AS m, coalesce(stddev_samp((o_orderstatus = 'O')::INT), 0) AS s FROM orders)""")
 def normalize_bool(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
     flag = F.col("o_orderstatus") == "O"
-    return df.crossJoin(F.broadcast(stats.boolean_stats(df, {"open": flag}))).select("o_orderkey", F.round(stats.z_score(flag.cast("double"), F.col("mean"), F.col("std")), 6).alias("z"))
+    return df.crossJoin(F.broadcast(stats.boolean_stats(df, {"open": flag}))).select("o_orderkey", (F.round(stats.z_score(flag.cast("double"), F.col("mean"), F.col("std")), 6) + 0.0).alias("z"))
 
 
-@query(f"""SELECT o_orderkey, round((epoch(o_orderdate) - m) / s, 5) AS z FROM orders, (SELECT avg(t) AS m, stddev_pop(t) AS s FROM ({_TIMES}))""")
+@query(f"""SELECT o_orderkey, round((epoch(o_orderdate) - m) / s, 5) + 0.0 AS z FROM orders, (SELECT avg(t) AS m, stddev_pop(t) AS s FROM ({_TIMES}))""")
 def normalize_datetime(spark, sf_dir):
     db = open_database(spark, sf_dir)
-    return db.tables["orders"].crossJoin(F.broadcast(stats.time_stats(db))).select("o_orderkey", F.round(stats.z_score(epoch_seconds(F.col("o_orderdate")), F.col("mean"), F.col("std")), 5).alias("z"))
+    return db.tables["orders"].crossJoin(F.broadcast(stats.time_stats(db))).select("o_orderkey", (F.round(stats.z_score(epoch_seconds(F.col("o_orderdate")), F.col("mean"), F.col("std")), 5) + 0.0).alias("z"))
 
 
 _SPLIT_SQL = "CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END"
@@ -170,14 +170,14 @@ def _split(df: DataFrame) -> DataFrame:
     return df.withColumn("split", tasks.time_split(F.col("o_orderdate"), "1999-01-01", "2000-01-01"))
 
 
-@query(f"""SELECT split, count(*) AS n, round(avg((o_totalprice - m) / s), 5) AS mean_z FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders),
+@query(f"""SELECT split, count(*) AS n, round(avg((o_totalprice - m) / s), 5) + 0.0 AS mean_z FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders),
     (SELECT coalesce(avg(o_totalprice), 0) AS m, coalesce(nullif(stddev_samp(o_totalprice), 0), 1) AS s FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01') GROUP BY split""")
 def train_stats_to_val(spark, sf_dir):
     """Validation and test rows are normalised with the training split's statistics."""
     df = _split(read(spark, sf_dir, "orders"))
     one = stats.numeric_stats(df.filter("split = 'train'"), ["o_totalprice"])
     z = stats.z_score(F.col("o_totalprice"), F.col("mean"), F.col("std"))
-    return df.crossJoin(F.broadcast(one)).groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg(z), 5).alias("mean_z"))
+    return df.crossJoin(F.broadcast(one)).groupBy("split").agg(F.count("*").alias("n"), (F.round(F.avg(z), 5) + 0.0).alias("mean_z"))
 
 
 # ---- dictionary and cells
@@ -372,9 +372,9 @@ def tf_rank_uniform(spark, sf_dir):
     return stats.transformed(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", "rank_uniform", "r").select("o_orderkey", F.round("r", 9).alias("r"))
 
 
-@query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / greatest(stddev_pop(o_totalprice) OVER (), 1e-8), 5) AS z FROM orders")
+@query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / greatest(stddev_pop(o_totalprice) OVER (), 1e-8), 5) + 0.0 AS z FROM orders")
 def tf_standardize(spark, sf_dir):
-    return stats.transformed(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", "standardize", "z").select("o_orderkey", F.round("z", 5).alias("z"))
+    return stats.transformed(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", "standardize", "z").select("o_orderkey", (F.round("z", 5) + 0.0).alias("z"))
 
 
 @query("SELECT c_custkey, round(sign(c_acctbal) * ln(1 + abs(c_acctbal)), 8) AS x FROM customer")
@@ -440,10 +440,10 @@ def cast_bool(spark, sf_dir):
 _N = "(SELECT count(*) FROM orders)"
 
 
-@query(f"SELECT o_orderkey, round(least(1.5 * pow(o_orderkey / {_N}::DOUBLE, 0.7) - 1.0, 1.0), 8) AS x FROM orders")
+@query(f"SELECT o_orderkey, round(least(1.5 * pow(o_orderkey / {_N}::DOUBLE, 0.7) - 1.0, 1.0), 8) + 0.0 AS x FROM orders")
 def ts_trend(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.round(series.trend(F.col("o_orderkey"), o.count(), 1.5, 0.7), 8).alias("x"))
+    return o.select("o_orderkey", (F.round(series.trend(F.col("o_orderkey"), o.count(), 1.5, 0.7), 8) + 0.0).alias("x"))
 
 
 @query("SELECT o_orderkey, round(greatest(-1.0, least(1.0, 1.2 * sin(o_orderkey / 50.0 * pi()))), 8) + 0.0 AS x FROM orders")
@@ -460,16 +460,16 @@ def _noise(spark, sf_dir) -> DataFrame:
     return o.withColumn("noise", rng.unit("ar", F.col("o_orderkey")) - 0.5)
 
 
-@query(f"SELECT o_orderkey, round(ar, 6) AS ar FROM ({_AR_SQL})")
+@query(f"SELECT o_orderkey, round(ar, 6) + 0.0 AS ar FROM ({_AR_SQL})")
 def ts_ar1(spark, sf_dir):
-    return series.ar1(_noise(spark, sf_dir), "o_orderkey", "noise", 0.6).select("o_orderkey", F.round("ar", 6).alias("ar"))
+    return series.ar1(_noise(spark, sf_dir), "o_orderkey", "noise", 0.6).select("o_orderkey", (F.round("ar", 6) + 0.0).alias("ar"))
 
 
-@query(f"""SELECT o_orderkey, round((least(1.5 * pow(o_orderkey / {_N}::DOUBLE, 0.7) - 1.0, 1.0) + greatest(-1.0, least(1.0, 1.2 * sin(o_orderkey / 50.0 * pi()))) + greatest(-1.0, least(1.0, ar))) / 3, 6) AS x FROM ({_AR_SQL})""")
+@query(f"""SELECT o_orderkey, round((least(1.5 * pow(o_orderkey / {_N}::DOUBLE, 0.7) - 1.0, 1.0) + greatest(-1.0, least(1.0, 1.2 * sin(o_orderkey / 50.0 * pi()))) + greatest(-1.0, least(1.0, ar))) / 3, 6) + 0.0 AS x FROM ({_AR_SQL})""")
 def ts_value(spark, sf_dir):
     rows = series.ar1(_noise(spark, sf_dir), "o_orderkey", "noise", 0.6)
     i = F.col("o_orderkey")
-    return rows.select("o_orderkey", F.round((series.trend(i, rows.count(), 1.5, 0.7) + series.cycle(i, 50.0, 1.2) + series.bounded(F.col("ar"))) / 3, 6).alias("x"))
+    return rows.select("o_orderkey", (F.round((series.trend(i, rows.count(), 1.5, 0.7) + series.cycle(i, 50.0, 1.2) + series.bounded(F.col("ar"))) / 3, 6) + 0.0).alias("x"))
 
 
 @query(f"""SELECT o_orderkey, make_timestamp(epoch_us(TIMESTAMP '1990-01-01') + floor((epoch_us(TIMESTAMP '2025-01-01') - epoch_us(TIMESTAMP '1990-01-01')) * o_orderkey::DOUBLE / ({_N} - 1))::BIGINT) AS date FROM orders""")
@@ -639,12 +639,12 @@ def embedding_lookup(spark, sf_dir):
 
 # ---- row-wise parent aggregation
 
-_PARENTS_SQL = "(SELECT l_orderkey, greatest(-1e4, least(1e4, 0.31372 * l_quantity)) AS a, greatest(-1e4, least(1e4, -2.0 * l_discount)) AS b, greatest(-1e4, least(1e4, 0.0010113 * l_extendedprice)) AS c, l_linenumber, l_partkey FROM lineitem)"
+_PARENTS_SQL = "(SELECT l_orderkey, greatest(-1e4, least(1e4, 0.313721931 * l_quantity)) AS a, greatest(-1e4, least(1e4, -2.000713939 * l_discount)) AS b, greatest(-1e4, least(1e4, 0.00101137717 * l_extendedprice)) AS c, l_linenumber, l_partkey FROM lineitem)"
 
 
 def _parents(spark, sf_dir, how: str) -> DataFrame:
     clamp = lambda c: F.greatest(F.lit(-1e4), F.least(F.lit(1e4), c))
-    xs = F.array(clamp(0.31372 * F.col("l_quantity")), clamp(-2.0 * F.col("l_discount")), clamp(0.0010113 * F.col("l_extendedprice")))
+    xs = F.array(clamp(0.313721931 * F.col("l_quantity")), clamp(-2.000713939 * F.col("l_discount")), clamp(0.00101137717 * F.col("l_extendedprice")))
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.round(AGGREGATIONS[how](xs), 5) + 0.0).alias("x"))
 
 
