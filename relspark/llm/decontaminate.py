@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from relspark.llm.common import ascii_lower, keyed, small
 
 WINDOW = 10
-#: Slots, of a byte each, of the broadcast hash set at most. A fuller set lets more false
-#: candidates through to the exact lookup; it never misses one.
+#: Slots of the broadcast hash set at most (a megabyte). A fuller set lets more false candidates through to
+#: the exact lookup; it never misses one.
 MAX_SLOTS = 1 << 22
+#: Slots of a byte of the set, each block taking two slots of about PER_BLOCK.
+PER_BYTE, PER_BLOCK = 4, 16
 #: Benchmark windows (about 200 bytes each) up to which their lookup asks for a broadcast.
 MAX_BROADCAST_WINDOWS = 200_000
 #: Documents with hits up to which their removal asks for a broadcast.
@@ -63,25 +65,37 @@ def _block_starts(k: int) -> Column:
     return F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - b, F.lit(b))).otherwise(F.array().cast("array<int>"))
 
 
-def _block_set(wins: DataFrame, k: int) -> bytearray:
-    """The hash set of all blocks of the windows of ``k`` words: a byte for each slot, 1 where a hash falls."""
+def _slots(h: Column, slots: int) -> list[Column]:
+    """The two slots of a hash: its low bits, and its bits from the 32nd on."""
+    return [x.bitwiseAND(F.lit(slots - 1)).cast("int") for x in (h, F.shiftrightunsigned(h, 32))]
+
+
+def _block_set(wins: DataFrame, k: int) -> tuple[bytearray, int]:
+    """The hash set of all blocks of the windows of ``k`` words, and its slots: a bit for each slot, four in a byte.
+
+    It is small (about 4 bytes a block), as the plan carries it.
+    """
     b = _block(k)
     hashes = F.transform(F.sequence(F.lit(0), F.lit(k - b)), lambda j: _gram_hash("gram", j, b))
     blocks = wins.filter(F.col("k") == k).select(F.explode(hashes).alias("h")).distinct()
-    slots = min(MAX_SLOTS, 1 << max(10, (64 * blocks.count()).bit_length()))
-    out = bytearray(slots)
-    for r in blocks.select(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).distinct().toLocalIterator():
-        out[r.slot] = 1
-    return out
+    slots = min(MAX_SLOTS, 1 << max(10, (PER_BLOCK * blocks.count() - 1).bit_length()))
+    out = bytearray(max(1, slots // PER_BYTE))
+    for r in blocks.select(F.explode(F.array(*_slots(F.col("h"), slots))).alias("slot")).distinct().toLocalIterator():
+        out[r.slot // PER_BYTE] |= 1 << r.slot % PER_BYTE
+    return out, slots
+
 
+def _probe(k: int, known: bytearray, slots: int) -> Column:
+    """The starts of the aligned blocks of ``w`` of which both slots are in ``known``."""
+    table = F.lit(known)
 
-def _probe(k: int, known: bytearray) -> Column:
-    """The starts of the aligned blocks of ``w`` whose hash falls on a slot of ``known``."""
-    table, one, mask = F.lit(known), F.lit(bytearray(b"\x01")), F.lit(len(known) - 1)
+    def has(slot: Column) -> Column:
+        byte = F.ascii(F.substring(table, F.shiftright(slot, 2) + 1, F.lit(1)).cast("string"))
+        return F.bit_get(byte, slot.bitwiseAND(F.lit(PER_BYTE - 1))) == 1
 
     def is_known(s: Column) -> Column:
-        slot = _gram_hash("w", s, _block(k)).bitwiseAND(mask).cast("int")
-        return F.substring(table, slot + 1, F.lit(1)) == one
+        first, second = _slots(_gram_hash("w", s, _block(k)), slots)
+        return has(first) & has(second)
 
     return F.filter(_block_starts(k), is_known)
 
@@ -103,7 +117,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[Column]
     sizes = wins.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("k")).alias("k")).first()
     names = docs.select(*keep).columns
     rows = docs.select(*keep, words(F.col("text")).alias("w")).withColumn("uid", F.monotonically_increasing_id())
-    rows = rows.withColumns({f"c{k}": _probe(k, _block_set(wins, k)) for k in sizes["k"]})
+    rows = rows.withColumns({f"c{k}": _probe(k, *_block_set(wins, k)) for k in sizes["k"]})
     marker = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("gram")))
     rows = rows.select("uid", *names, F.size("w").cast("long").alias("n_words"), F.concat(marker, *map(_windows_around, sizes["k"])).alias("at"))
     rows = rows.select("uid", *names, "n_words", F.explode("at").alias("at"))
