@@ -1,13 +1,16 @@
 """Line dedup: hash every three consecutive lines, find the windows that occur before, and cut what they cover.
 
-Lines here are wrapped lines: a text is cut at line ends, after sentences, and after sixteen words,
-so a passage that many documents hold inside one long paragraph is several lines as well.
+Lines here are wrapped lines: a text is cut at line ends, after sentences, and inside sentences where
+the words themselves say so, so a passage that many documents hold inside one long paragraph is
+several lines as well, and the same ones wherever in a sentence it begins.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,9 @@ from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
 WRAP = 16
+#: Words between two cuts of a sentence at least; a gap of twice as many is cut again, so lines have fewer than ``WRAP`` words.
+APART = WRAP // 3
+CACHED_WORDS = 200_000
 #: Words that a window of lines has at least; shorter ones repeat by chance.
 MIN_WORDS = 12
 #: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
@@ -26,7 +32,39 @@ MIN_WORDS = 12
 MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 100_000
 
 _SENTENCE = re.compile(r"[^.!?]++(?:[.!?]++(?=[^\s.!?])[^.!?]++)*+[.!?]*+\s*+|[.!?]++\s*+(?:[^\s.!?][^.!?]*+[.!?]*+\s*+)?+")
-_WRAPPED = re.compile(rf"\s*+(?:\S++\s*+){{1,{WRAP}}}+")
+_SPACED = re.compile(r"\s*+\S++\s*+")
+
+
+class _Hashes(dict):
+    """The hashes of words, remembered for words seen before."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = _Hashes()
+
+
+def cuts(words: list[str]) -> list[int]:
+    """The places in a sentence's words where its lines begin and end.
+
+    Places are taken in order of a hash of the words on both sides, unless one within ``APART`` words is
+    taken; the sentence's ends are. What is taken depends on the words near by, not on how far the start is.
+    """
+    n = len(words)
+    if n < 2 * APART:
+        return [0, n]
+    h = list(map(_hashes.__getitem__, words))
+    taken = bytearray(n + 1)
+    taken[0] = taken[n] = 1
+    keys = {i: (h[i - 1] * 0x9E3779B1 + h[i] * 0x85EBCA77) & 0xFFFFFFFF for i in range(APART, n - APART + 1)}
+    for i in sorted(keys, key=keys.__getitem__):
+        if taken.find(1, i - APART + 1, i + APART) < 0:
+            taken[i] = 1
+    return [i for i, x in enumerate(taken) if x]
 
 
 def wrapped_lines(text: str) -> list[str]:
@@ -34,19 +72,31 @@ def wrapped_lines(text: str) -> list[str]:
     out: list[str] = []
     for line in text.splitlines(keepends=True):
         for s in _SENTENCE.findall(line):
-            if len(s) > 2 * WRAP and len(s.split()) > WRAP:
-                out += _WRAPPED.findall(s)
+            at = cuts(s.split())
+            if len(at) > 2:
+                each = _SPACED.findall(s)
+                out += ["".join(each[a:b]) for a, b in pairwise(at)]
             else:
                 out.append(s)
     return out
 
 
+def line_words(text: str) -> list[list[str]]:
+    """The words of each of ``wrapped_lines``."""
+    out: list[list[str]] = []
+    for line in text.splitlines():
+        for s in _SENTENCE.findall(line):
+            words = s.split()
+            out += [words[a:b] for a, b in pairwise(cuts(words))]
+    return out
+
+
 _MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
 def window_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, hash and check hash of each window of ``WINDOW`` lines with at least ``MIN_WORDS`` words; white space in a line counts as one space."""
-    words = [x.split() for x in wrapped_lines(text)]
+    words = line_words(text)
     n = len(words) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)

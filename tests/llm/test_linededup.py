@@ -58,3 +58,11 @@ def test_matches_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_passage_at_any_place_in_a_sentence(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(n, " ".join([*(f"d{n}x{i}" for i in range(n)), passage, *(f"d{n}y{i}" for i in range(9))])) for n in range(41)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id: [w for w in r.text.split() if w.startswith("p")] for r in without_repeated_lines(df).collect()}
+    assert len(kept[0]) == 60 and all(len(kept[n]) <= 24 for n in range(1, 41))
