@@ -2,13 +2,13 @@
 
 Lines here are wrapped lines: a text is cut at line ends, after sentences, and inside sentences where
 the words themselves say so, so a passage that many documents hold inside one long paragraph is
-several lines as well, and the same ones wherever in a sentence it begins.
+several lines as well, and the same ones wherever in a sentence it begins. Short lines and sentences
+are joined to lines of four words at least, so that three of them are no chance repeat.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -22,17 +22,25 @@ from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
 WRAP = 16
-#: Words between two cuts of a sentence at least; a gap of twice as many is cut again, so lines have fewer than ``WRAP`` words.
-APART = WRAP // 3
-CACHED_WORDS = 200_000
 #: Words that a window of lines has at least; shorter ones repeat by chance.
 MIN_WORDS = 12
+#: Words between two cuts at least: only windows with a text's first or last line can have fewer than ``MIN_WORDS`` words. Gaps of twice as many are cut again.
+APART = MIN_WORDS // WINDOW
+CACHED_WORDS = 200_000
+#: Characters of the texts that are cut together, and rounds of cuts before what is left is cut one by one.
+TOGETHER, ROUNDS = 500_000, 8
 #: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
 #: (about 30, 100 and 200 bytes each).
 MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 100_000
+#: Bits of the filter for more hashes of repeated windows, and hashes up to which it is used (4 bytes each on the driver).
+BITMAP, MAX_BITMAP_HASHES = 1 << 26, 10_000_000
 
 _SENTENCE = re.compile(r"[^.!?]++(?:[.!?]++(?=[^\s.!?])[^.!?]++)*+[.!?]*+\s*+|[.!?]++\s*+(?:[^\s.!?][^.!?]*+[.!?]*+\s*+)?+")
 _SPACED = re.compile(r"\s*+\S++\s*+")
+_MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+#: A factor for each word of a line.
+_PLACE = np.array([xxhash.xxh3_64_intdigest(b"place %d" % i) | 1 for i in range(2 * APART)], np.uint64)
+_LAST = np.iinfo(np.uint64).max
 
 
 class _Hashes(dict):
@@ -41,76 +49,129 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > CACHED_WORDS:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
 
 _hashes = _Hashes()
 
 
-def cuts(words: list[str]) -> list[int]:
-    """The places in a sentence's words where its lines begin and end.
+def _taken(key: np.ndarray) -> np.ndarray:
+    """The places taken in order of ``key``, ties from the left, unless one within ``APART`` is taken; those of key ``_LAST`` never are.
 
-    Places are taken in order of a hash of the words on both sides, unless one within ``APART`` words is
-    taken; the sentence's ends are. What is taken depends on the words near by, not on how far the start is.
+    In each round every place goes that comes before all others near it, which has the same result.
     """
-    n = len(words)
-    if n < 2 * APART:
-        return [0, n]
-    h = list(map(_hashes.__getitem__, words))
-    taken = bytearray(n + 1)
-    taken[0] = taken[n] = 1
-    keys = {i: (h[i - 1] * 0x9E3779B1 + h[i] * 0x85EBCA77) & 0xFFFFFFFF for i in range(APART, n - APART + 1)}
-    for i in sorted(keys, key=keys.__getitem__):
-        if taken.find(1, i - APART + 1, i + APART) < 0:
-            taken[i] = 1
-    return [i for i, x in enumerate(taken) if x]
+    n, r = len(key), APART - 1
+    taken, wide = np.zeros(n, bool), np.full(n + 2 * r, _LAST)
+    k = wide[r : r + n]
+    k[:] = key
+    for _ in range(ROUNDS):
+        first = k < _LAST
+        for j in range(r):
+            first &= k < wide[j : j + n]
+            first &= k <= wide[r + 1 + j : r + 1 + j + n]
+        at = np.flatnonzero(first)
+        if not len(at):
+            return taken
+        taken[at] = True
+        for j in range(2 * r + 1):
+            wide[at + j] = _LAST
+    left = np.flatnonzero(k < _LAST)
+    for i in left[np.argsort(k[left], kind="stable")].tolist():
+        if not taken[max(0, i - r) : i + r + 1].any():
+            taken[i] = True
+    return taken
+
+
+def _cut(words: list[str], ends: list[int], firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and whether a line begins at each.
+
+    ``ends``: the places behind lines and sentences, which are taken before others. ``firsts``: where each text begins, and where
+    it ends; there are ``APART`` empty words behind each. Near those only ``ends`` are taken. Places are taken in order of a hash of the words on both sides, so
+    what is taken depends on the words near by and not on how far the text's or sentence's start is.
+    """
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    key = np.full(len(words), _LAST)
+    key[1:] = ((h[:-1] * _MIX[0] + h[1:] * _MIX[1]) >> np.uint64(32)) | np.uint64(1 << 32)
+    edges = np.array(firsts, np.int64)
+    near = edges[:, None] + np.arange(1 - APART, APART)
+    inner = key.copy()
+    inner[near[(near >= 0) & (near < len(words))]] = _LAST
+    inner[ends] = key[ends] & np.uint64(0xFFFFFFFF)
+    key = inner
+    key[edges] = _LAST
+    key[(edges[1::2, None] + np.arange(APART)).ravel()] = _LAST
+    begins = _taken(key)
+    begins[edges] = True
+    return h, begins
 
 
 def wrapped_lines(text: str) -> list[str]:
     """The lines of ``text``, each with the white space after it; joined they are the text."""
-    out: list[str] = []
+    each: list[str] = []
+    ends, before = [], ""
     for line in text.splitlines(keepends=True):
         for s in _SENTENCE.findall(line):
-            at = cuts(s.split())
-            if len(at) > 2:
-                each = _SPACED.findall(s)
-                out += ["".join(each[a:b]) for a, b in pairwise(at)]
+            if found := _SPACED.findall(s):
+                each += found
+                ends.append(len(each))
+            elif each:
+                each[-1] += s
             else:
-                out.append(s)
-    return out
-
-
-def line_words(text: str) -> list[list[str]]:
-    """The words of each of ``wrapped_lines``."""
-    out: list[list[str]] = []
-    for line in text.splitlines():
-        for s in _SENTENCE.findall(line):
-            words = s.split()
-            out += [words[a:b] for a, b in pairwise(cuts(words))]
-    return out
-
-
-_MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-
-
-def window_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash and check hash of each window of ``WINDOW`` lines with at least ``MIN_WORDS`` words; white space in a line counts as one space."""
-    words = line_words(text)
-    n = len(words) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    each = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    h, c = np.full(n, _MIX[0]), np.full(n, _MIX[1])
+                before += s
+    if not each:
+        return [text] if text else []
+    each[0] = before + each[0]
+    n = len(each)
+    at = np.flatnonzero(_cut([*map(str.strip, each), *[""] * APART], ends, [0, n])[1]).tolist()
+    return ["".join(each[a:b]) for a, b in pairwise(at)]
+
+
+def window_hashes(each: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place in ``each``, start, hash and check hash of the windows of ``WINDOW`` lines with at least ``MIN_WORDS`` words; white space in a line counts as one space."""
+    words: list[str] = []
+    ends, firsts = [], []
+    for text in each:
+        firsts.append(len(words))
+        for line in text.splitlines():
+            for s in _SENTENCE.findall(line):
+                words += s.split()
+                ends.append(len(words))
+        firsts.append(len(words))
+        words += [""] * APART
+    h, begins = _cut(words, ends, firsts)
+    start = np.flatnonzero(begins)
+    size = np.diff(start, append=len(words))
+    lines = np.add.reduceat(h * _PLACE[np.arange(len(words)) - np.repeat(start, size)], start)
+    lines ^= lines >> np.uint64(31)
+    # of an even number of edges behind it a line is in a text, else in the empty words between two
+    edge = np.searchsorted(np.array(firsts), start, "right")
+    n = max(len(start) - WINDOW + 1, 0)
+    a, b = np.full(n, _MIX[0]), np.full(n, _MIX[1])
     for j in range(WINDOW):
-        part = each[j : j + n]
-        h = (h ^ part) * _MIX[2]
-        h ^= h >> np.uint64(29)
-        c = (c + part) * _MIX[3]
-        c ^= c >> np.uint64(31)
-    at = np.flatnonzero(np.convolve(size, np.ones(WINDOW, np.int64), "valid") >= MIN_WORDS)
-    return at.astype(np.int32), h[at].view(np.int64), (c[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        part = lines[j : j + n]
+        a = (a ^ part) * _MIX[2]
+        a ^= a >> np.uint64(29)
+        b = (b + part) * _MIX[3]
+        b ^= b >> np.uint64(31)
+    total = sum(size[j : j + n] for j in range(WINDOW))
+    at = np.flatnonzero((edge[:n] % 2 == 1) & (edge[:n] == edge[WINDOW - 1 :]) & (total >= MIN_WORDS))
+    text = edge[at] // 2
+    line = at - np.searchsorted(start, np.array(firsts)[::2])[text]
+    return text, line.astype(np.int32), a[at].view(np.int64), (b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column, some at a time, with the place of their first."""
+    lo, each, size = 0, [], 0
+    for t in texts(column):
+        each.append(t)
+        size += len(t)
+        if size > TOGETHER:
+            yield lo, each
+            lo, each, size = lo + len(each), [], 0
+    if each:
+        yield lo, each
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -121,22 +182,40 @@ def _windows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, th, text = b.column("doc_id"), b.column("th"), b.column("text")
-            for lo in range(0, len(b), 256):
-                found = [window_hashes(t) for t in texts(text.slice(lo, 256))]
-                row = pa.array(np.repeat(np.arange(lo, lo + len(found)), [len(f[0]) for f in found]))
-                i, h, c = (pa.array(np.concatenate([f[k] for f in found])) for k in range(3))
-                yield pa.RecordBatch.from_arrays([h, c, ids.take(row), th.take(row), i], names=["h", "c", "doc_id", "th", "i"])
+            for lo, each in _together(text):
+                at, i, h, c = window_hashes(each)
+                row = pa.array(lo + at)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), ids.take(row), th.take(row), pa.array(i)], names=["h", "c", "doc_id", "th", "i"])
 
     found = rows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int")
     return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i").alias("at"))
 
 
+def _in_bitmap(windows: DataFrame, twice: DataFrame) -> DataFrame:
+    """The windows whose hash shares its low bits with one of ``twice``: some unique windows stay, no repeated one goes."""
+    bits = np.zeros(BITMAP >> 3, np.uint8)
+    low = twice.select(F.col("h").bitwiseAND(BITMAP - 1).cast("int").alias("x")).toArrow().column("x").to_numpy()
+    np.bitwise_or.at(bits, low >> 3, (1 << (low & 7)).astype(np.uint8))
+    shared = windows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("h").to_numpy() & (BITMAP - 1)
+            yield b.filter(pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return windows.mapInArrow(run, windows.schema)
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, th, starts``: for each document the starts of its windows that occur before, there or in another document."""
     windows = stored(_windows(docs))
     # most windows are unique: they go by a count of their hashes alone
-    twice = small(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), MAX_BROADCAST_HASHES)
-    windows = stored(windows.join(twice, "h", "left_semi"))
+    twice = checkpointed(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    size = twice.count()
+    if MAX_BROADCAST_HASHES < size <= MAX_BITMAP_HASHES:
+        windows = stored(_in_bitmap(windows, twice))
+    else:
+        windows = stored(windows.join(F.broadcast(twice) if size <= MAX_BROADCAST_HASHES else twice, "h", "left_semi"))
     again = windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = small(again, MAX_BROADCAST_WINDOWS)
     later = windows.join(again, ["h", "c"]).filter(F.col("at") != F.col("first"))

@@ -1,3 +1,4 @@
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,3 +67,31 @@ def test_passage_at_any_place_in_a_sentence(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {r.doc_id: [w for w in r.text.split() if w.startswith("p")] for r in without_repeated_lines(df).collect()}
     assert len(kept[0]) == 60 and all(len(kept[n]) <= 24 for n in range(1, 41))
+
+
+def test_passage_of_short_lines(spark):
+    for end in (". ", "\n"):
+        passage = end.join(f"P{i}" for i in range(60))
+        rows = [(n, f"{f'Own d{n} words. ' * n}{passage}{end}{'Last words. ' * n}") for n in range(8)]
+        kept = {r.doc_id: r.text.count("P") for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert kept[0] == 60 and all(kept[n] <= 16 for n in range(1, 8))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=80))
+def test_places_are_taken_in_order_of_key(keys):
+    key = np.array(keys, np.uint64)
+    taken = []
+    for i in sorted(range(len(keys)), key=keys.__getitem__):
+        if all(abs(i - j) >= linededup.APART for j in taken):
+            taken.append(i)
+    assert np.flatnonzero(linededup._taken(key)).tolist() == sorted(taken)
+
+
+def test_bitmap_keeps_all_repeats(spark, monkeypatch):
+    df = spark.createDataFrame([(d, t) for d, t in ROWS], "doc_id long, text string").repartition(3)
+    want = sorted(without_repeated_lines(df).collect(), key=str)
+    monkeypatch.setattr(linededup, "MAX_BROADCAST_HASHES", 0)
+    for bits in (1 << 26, 8):
+        monkeypatch.setattr(linededup, "BITMAP", bits)
+        assert sorted(without_repeated_lines(df).collect(), key=str) == want
