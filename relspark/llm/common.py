@@ -59,7 +59,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def small(df: DataFrame, most: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """``df`` written once, marked for broadcast if it has at most ``most`` rows."""
+def small(df: DataFrame, most: int = MAX_BROADCAST_KEYS, size: Column | None = None) -> DataFrame:
+    """``df`` written once, marked for broadcast if it has at most ``most`` rows and ``size``, if given, sums to no more either."""
     df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= most else df
+    n = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("size") if size is not None else F.lit(0).alias("size")).first()
+    return F.broadcast(df) if max(n["rows"], n["size"]) <= most else df

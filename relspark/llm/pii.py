@@ -1,34 +1,37 @@
 """Personal data: pattern spans, and terms that reveal them by corpus co-occurrence.
 
-How much a term t near an entity e reveals of it is measured as in information-theoretic
+Protected entities are pattern matches (addresses, numbers) and keys: long runs of letters and digits
+mixed. How much a term t near an entity e reveals of it is measured as in information-theoretic
 sanitisation: PMI(e; t) = log2(n(e, t) N / (n(e) n(t))) against the information content
 IC(e) = log2(N / n(e)). A term whose PMI reaches DISCLOSURE of IC is generalised where it stands
-near e, one that reaches DETERMINES of it is removed. N counts documents, n(e, t) and n(e)
-distinct texts; n(t) counts documents in a hashed table of fixed size, which can only
-overestimate it, so no term is flagged by a collision.
+near e, one that reaches DETERMINES of it is removed. An entity counts as itself and as a member of its
+class (mail domain, network, issuer, area), so that evidence on a class adds up over its members. All
+numbers are numbers of distinct texts, and all are exact: a text that is there many times is one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed
+from relspark.llm.common import checkpointed, small
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are its context, and characters looked at for them.
+#: The kind of the entities that are no personal data by pattern, but keys to it.
+SECRET = "secret"
+#: Words on either side of an entity that are its context, and characters looked at for them. A term is a word of three letters or more.
 CONTEXT, REACH = 8, 160
-#: Distinct texts in which a term stands near an entity at least.
-SUPPORT = 3
-DISCLOSURE, DETERMINES = 0.5, 0.9
-SLOTS = 1 << 20
-CACHED_WORDS = 200_000
+#: Shares of an entity's information from which a term is generalised, and removed.
+DISCLOSURE, DETERMINES = 2 / 3, 0.9
+#: Different words that a task counts before it hands them on.
+COUNTED = 300_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_LETTER = re.compile("[A-Za-z]")
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+")
 _WORD = re.compile(r"\w{3,}")
 
 
@@ -76,16 +81,53 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """Runs of 24 or more ASCII letters, digits, hyphens and underscores that hold letters and at least six digits."""
+    return [(SECRET, *m.span()) for m in _KEY.finditer(text) if len(_DIGIT.findall(m[0])) >= 6 and _LETTER.search(m[0])]
+
+
+def entities(kind: str, value: str) -> tuple[str, str]:
+    """What a span's entity counts as: itself in a plain form, and its class."""
+    if kind == "email":
+        own = value.lower()
+        return own, own.rpartition("@")[2]
+    if kind == "ip":
+        return value, ".".join(value.split(".")[:2])
+    if kind == SECRET:
+        return value, ""
+    digits = "".join(filter(str.isdigit, value))
+    return digits, digits[: 6 if kind == "card" else 4]
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Entity hash, term hash, and the term's start and end, for the terms around each span; terms inside spans are left out."""
+    """Entity hash, term hash, and the term's start and end, for the terms around each span; terms that touch a span are left out.
+
+    Each span looks at a bounded stretch of text, and whether a term touches a span is a search among
+    the merged spans, so a text full of entities takes time in proportion to its length.
+    """
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(s: int, f: int) -> bool:
+        i = bisect_right(starts, f - 1) - 1
+        return i < 0 or ends[i] <= s
+
     out = []
     for kind, a, b in spans:
-        value = text[a:b].lower() if kind == "email" else "".join(filter(str.isdigit, text[a:b])) if kind != "ip" else text[a:b]
-        e = word_hash(f"{kind}:{value}")
+        own, group = entities(kind, text[a:b])
+        as_what = [word_hash(f"{kind}:{own}")] + [word_hash(f"{kind} class:{group}")] * bool(group)
         lo, hi = max(0, a - REACH), min(len(text), b + REACH)
         before = [m.span() for m in _WORD.finditer(text, lo, a) if m.start() > lo or not lo or not text[lo - 1].isalnum()][-CONTEXT:]
         after = [m.span() for m in _WORD.finditer(text, b, hi) if m.end() < hi or hi == len(text) or not text[hi].isalnum()][:CONTEXT]
-        out += [(e, word_hash(text[s:f]), s, f) for s, f in before + after if not any(s < y and x < f for _, x, y in spans if abs(x - a) < 4 * REACH)]
+        for s, f in before + after:
+            if free(s, f):
+                t = word_hash(text[s:f])
+                out += [(e, t, s, f) for e in as_what]
     return out
 
 
@@ -93,69 +135,75 @@ _LONGS = pa.list_(pa.int64())
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end rows of slots with their document counts."""
-    slot_of: dict[str, int] = {}
-    counts = np.zeros(SLOTS, np.int32)
+    """A row for each document, and rows of words with the number of texts that hold them, a text of ``copies`` counting as one in all."""
+    counts: dict[int, Counter] = {}
     id_type = None
 
-    def rows(ids: pa.Array, th: pa.Array, columns: list[list], slots: list, ns: list) -> pa.RecordBatch:
+    def rows(ids: pa.Array, th: pa.Array, columns: list[list], words: list, ns: list) -> pa.RecordBatch:
         kinds, numbers = pa.array(columns[0], pa.list_(pa.string())), [pa.array(c, _LONGS) for c in columns[1:]]
-        return pa.RecordBatch.from_arrays(
-            [ids, th, kinds, *numbers, pa.array(slots, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["doc_id", "th", "kind", "start", "end", "e", "t", "ts", "te", "slot", "n"]
-        )
+        return pa.RecordBatch.from_arrays([ids, th, kinds, *numbers, pa.array(words, _LONGS), pa.array(ns, pa.list_(pa.float64()))], names=["doc_id", "th", "kind", "start", "end", "e", "t", "ts", "te", "w", "n"])
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for copies, c in counts.items():
+            each = list(c.items())
+            for i in range(0, len(each), 1 << 16):
+                part = each[i : i + (1 << 16)]
+                yield rows(pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [[None]] * 7, [[word_hash(w) for w, _ in part]], [[n / copies for _, n in part]])
+        counts.clear()
 
     for b in batches:
         id_type = b.column("doc_id").type
         found: list[list] = [[] for _ in range(7)]
-        for text in b.column("text").to_pylist():
-            words = set(_WORD.findall(text))
-            if len(slot_of) > CACHED_WORDS:
-                slot_of.clear()
-            for w in words.difference(slot_of):
-                slot_of[w] = word_hash(w) % SLOTS
-            counts[list(set(map(slot_of.__getitem__, words)))] += 1
-            spans = base_spans(text)
+        for text, copies in zip(b.column("text").to_pylist(), b.column("copies").to_pylist(), strict=True):
+            counts.setdefault(copies, Counter()).update({w.lower() for w in _WORD.findall(text)})
+            spans = base_spans(text) + secret_spans(text)
             near = contexts(text, spans)
             for c, x in zip(found, [*([s[i] for s in spans] for i in range(3)), *([n[i] for n in near] for i in range(4))], strict=True):
                 c.append(x)
         yield rows(b.column("doc_id"), b.column("th"), found, [None] * len(b), [None] * len(b))
-    at = np.flatnonzero(counts)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        yield rows(pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [[None]] * 7, [part.astype(np.int32)], [counts[part]])
+        if sum(map(len, counts.values())) > COUNTED:
+            yield from counted()
+    yield from counted()
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """``doc_id, th, spans``, one row for each row of ``docs``; ``th`` is the text's xxhash64.
 
     ``spans`` is an array of (kind, start, end) in code points, end exclusive: first the pattern
-    spans of kinds email, ip, card and phone, each by start, then terms of kind ``generalise`` and
+    spans of kinds email, ip, card and phone, each by start, then keys of kind ``secret``, then terms of kind ``generalise`` and
     ``remove``. A null text counts as empty and has no spans; repeated rows get equal spans and count as one
-    text; an empty table gives an empty result. Columns other than ``doc_id`` and ``text`` are ignored.
+    text; an entity that all texts hold has no information, and nothing reveals it; an empty table gives an
+    empty result. Texts of any length are read whole. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = checkpointed(rows.groupBy("th").agg(F.count("*").alias("copies")))
+    total = texts.count()
+    # texts that are there once need no number
+    again = small(texts.filter("copies > 1"))
+    rows = rows.join(again, "th", "left").select("doc_id", "th", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
     longs = ", ".join(f"{c} array<long>" for c in ("start", "end", "e", "t", "ts", "te"))
-    seen = checkpointed(rows.mapInArrow(_scan, f"doc_id {kind}, th long, kind array<string>, {longs}, slot array<int>, n array<int>").withColumn("uid", F.monotonically_increasing_id()))
-    found = seen.filter(F.col("slot").isNull())
-    frequency = seen.select(F.explode(F.arrays_zip("slot", "n")).alias("x")).groupBy("x.slot").agg(F.sum("x.n").alias("n_t"))
-    total = found.count()
-
-    near = found.filter(F.size("e") > 0).select("uid", "th", F.explode(F.arrays_zip("e", "t", "ts", "te")).alias("x")).select("uid", "th", "x.*")
-    pairs = near.select("e", "t", "th").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= SUPPORT)
-    entities = near.select("e", "th").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    slot = F.pmod("t", F.lit(SLOTS)).cast("int")
-    weighed = pairs.withColumn("slot", slot).join(frequency, "slot").join(entities, "e")
+    seen = checkpointed(rows.mapInArrow(_scan, f"doc_id {kind}, th long, kind array<string>, {longs}, w array<long>, n array<double>"))
+    found = seen.filter(F.col("w").isNull())
+
+    # equal texts have equal contexts: one of them is enough
+    near = found.filter(F.size("e") > 0).select("th", F.explode(F.arrays_zip("e", "t", "ts", "te")).alias("x")).select("th", "x.*").distinct()
+    entity_texts = near.select("e", "th").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    pairs = checkpointed(near.select("e", "t", "th").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")))
+    # words are counted in all texts, but only those near an entity are looked up
+    terms = small(pairs.select("t").distinct())
+    frequency = seen.select(F.explode(F.arrays_zip("w", "n")).alias("x")).select(F.col("x.w").alias("t"), "x.n").join(terms, "t", "left_semi").groupBy("t").agg(F.round(F.sum("n")).alias("n_t"))
+    weighed = pairs.join(frequency, "t").join(entity_texts, "e")
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     share = F.when(F.col("n_e") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_e")))
-    risky = weighed.withColumn("share", share).filter(F.col("share") >= DISCLOSURE).select("e", "t", F.when(F.col("share") >= DETERMINES, "remove").otherwise("generalise").alias("kind"))
-    terms = (
-        near.join(risky, ["e", "t"]).groupBy("uid", "ts", "te").agg(F.max("kind").alias("kind"))
-        .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("kind", F.col("ts").alias("start"), F.col("te").alias("end")))).alias("terms"))
+    risky = weighed.withColumn("share", share).filter(F.col("share") >= DISCLOSURE - 1e-9).select("e", "t", F.when(F.col("share") >= DETERMINES - 1e-9, "remove").otherwise("generalise").alias("kind"))
+    flagged = (
+        near.join(risky, ["e", "t"]).groupBy("th", "ts", "te").agg(F.max("kind").alias("kind"))
+        .groupBy("th").agg(F.sort_array(F.collect_list(F.struct("kind", F.col("ts").alias("start"), F.col("te").alias("end")))).alias("terms"))
     )
     base = F.transform(F.arrays_zip("kind", "start", "end"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    both = found.select("uid", "doc_id", "th", base.alias("base")).join(terms, "uid", "left")
+    both = found.select("doc_id", "th", base.alias("base")).join(small(flagged, size=F.size("terms")), "th", "left")
     return both.select("doc_id", "th", F.concat("base", F.coalesce("terms", none)).alias("spans"))
 
 

@@ -60,8 +60,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
-    counts = [_count(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    counts = [_count(kind) for kind in (*KINDS, "secret", "generalise", "remove")]
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
 def _count(kind: str) -> Column:
