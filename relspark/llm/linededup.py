@@ -1,16 +1,18 @@
 """Line dedup: hash every three consecutive lines, find the windows that occur before, and cut what they cover.
 
-Lines here are wrapped lines: a text is cut at line ends, after sentences, and inside sentences where
-the words themselves say so, so a passage that many documents hold inside one long paragraph is
-several lines as well, and the same ones wherever in a sentence it begins. Short lines and sentences
-are joined to lines of four words at least, so that three of them are no chance repeat.
+A text has two kinds of lines, and windows of either kind count. Its own lines are those between line
+ends, blank ones left out; three of them that stand before are cut however short they are. Wrapped
+lines are cut at line ends, after sentences, and inside sentences where the words themselves say so, so
+a passage that many documents hold inside one long paragraph is several lines as well, and the same ones
+wherever in a sentence it begins. Short lines and sentences are joined to wrapped lines of four words at
+least, so that three of them are no chance repeat.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
 WRAP = 16
-#: Words that a window of lines has at least; shorter ones repeat by chance.
+#: Words that a window of wrapped lines has at least; shorter ones repeat by chance.
 MIN_WORDS = 12
 #: Words between two cuts at least: only windows with a text's first or last line can have fewer than ``MIN_WORDS`` words. Gaps of twice as many are cut again.
 APART = MIN_WORDS // WINDOW
@@ -32,14 +34,16 @@ TOGETHER, ROUNDS = 500_000, 8
 #: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
 #: (about 30, 100 and 200 bytes each).
 MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 100_000
+#: Spans of a document (8 bytes each) that are counted as one document more.
+SPANS_A_DOC = 20
 #: Bits of the filter for more hashes of repeated windows, and hashes up to which it is used (4 bytes each on the driver).
 BITMAP, MAX_BITMAP_HASHES = 1 << 26, 10_000_000
 
 _SENTENCE = re.compile(r"[^.!?]++(?:[.!?]++(?=[^\s.!?])[^.!?]++)*+[.!?]*+\s*+|[.!?]++\s*+(?:[^\s.!?][^.!?]*+[.!?]*+\s*+)?+")
 _SPACED = re.compile(r"\s*+\S++\s*+")
 _MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-#: A factor for each word of a line.
-_PLACE = np.array([xxhash.xxh3_64_intdigest(b"place %d" % i) | 1 for i in range(2 * APART)], np.uint64)
+#: A factor for each place in a line: its powers.
+_PLACE = np.uint64(xxhash.xxh3_64_intdigest(b"place") | 1)
 _LAST = np.iinfo(np.uint64).max
 
 
@@ -127,27 +131,17 @@ def wrapped_lines(text: str) -> list[str]:
     return ["".join(each[a:b]) for a, b in pairwise(at)]
 
 
-def window_hashes(each: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place in ``each``, start, hash and check hash of the windows of ``WINDOW`` lines with at least ``MIN_WORDS`` words; white space in a line counts as one space."""
-    words: list[str] = []
-    ends, firsts = [], []
-    for text in each:
-        firsts.append(len(words))
-        for line in text.splitlines():
-            for s in _SENTENCE.findall(line):
-                words += s.split()
-                ends.append(len(words))
-        firsts.append(len(words))
-        words += [""] * APART
-    h, begins = _cut(words, ends, firsts)
+def _line_windows(h: np.ndarray, begins: np.ndarray, firsts: list[int], min_words: int, kind: int) -> tuple[np.ndarray, ...]:
+    """Place of the text, first word there, number of words, hash and check hash of the windows of lines that begin where ``begins`` says."""
     start = np.flatnonzero(begins)
-    size = np.diff(start, append=len(words))
-    lines = np.add.reduceat(h * _PLACE[np.arange(len(words)) - np.repeat(start, size)], start)
+    size = np.diff(start, append=len(h))
+    power = np.cumprod(np.full(size.max(initial=1), _PLACE))
+    lines = np.add.reduceat(h * power[np.arange(len(h)) - np.repeat(start, size)], start)
     lines ^= lines >> np.uint64(31)
     # of an even number of edges behind it a line is in a text, else in the empty words between two
     edge = np.searchsorted(np.array(firsts), start, "right")
     n = max(len(start) - WINDOW + 1, 0)
-    a, b = np.full(n, _MIX[0]), np.full(n, _MIX[1])
+    a, b = np.full(n, _MIX[0] + np.uint64(kind)), np.full(n, _MIX[1])
     for j in range(WINDOW):
         part = lines[j : j + n]
         a = (a ^ part) * _MIX[2]
@@ -155,10 +149,36 @@ def window_hashes(each: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         b = (b + part) * _MIX[3]
         b ^= b >> np.uint64(31)
     total = sum(size[j : j + n] for j in range(WINDOW))
-    at = np.flatnonzero((edge[:n] % 2 == 1) & (edge[:n] == edge[WINDOW - 1 :]) & (total >= MIN_WORDS))
+    at = np.flatnonzero((edge[:n] % 2 == 1) & (edge[:n] == edge[WINDOW - 1 :]) & (total >= min_words))
     text = edge[at] // 2
-    line = at - np.searchsorted(start, np.array(firsts)[::2])[text]
-    return text, line.astype(np.int32), a[at].view(np.int64), (b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    word = start[at] - np.array(firsts)[::2][text]
+    return text, word.astype(np.int32), total[at].astype(np.int32), a[at].view(np.int64), (b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def window_hashes(each: list[str], min_words: int = 0, wrap: bool = True) -> tuple[np.ndarray, ...]:
+    """Place in ``each``, first word, number of words, hash and check hash of the windows of ``WINDOW`` lines; white space in a line counts as one space.
+
+    Windows are of the texts' own lines, with ``min_words`` words or more, and, if ``wrap``, of wrapped lines.
+    """
+    words: list[str] = []
+    ends, firsts, own = [], [], []
+    for text in each:
+        firsts.append(len(words))
+        for line in text.splitlines():
+            own.append(len(words))
+            for s in _SENTENCE.findall(line):
+                words += s.split()
+                ends.append(len(words))
+        firsts.append(len(words))
+        words += [""] * APART
+    h, begins = _cut(words, ends, firsts)
+    lines = np.zeros(len(words), bool)
+    lines[own] = True
+    lines[firsts] = True
+    found = [_line_windows(h, lines, firsts, max(min_words, 1), 0)]
+    if wrap:
+        found.append(_line_windows(h, begins, firsts, MIN_WORDS, 1))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -174,8 +194,8 @@ def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield lo, each
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """``h, c, at``: the windows of all documents; ``at`` orders them by doc_id (nulls last), a hash of the text, and line."""
+def _windows(docs: DataFrame, min_words: int, wrap: bool) -> DataFrame:
+    """``h, c, at``: the windows of all documents; ``at`` orders them by doc_id (nulls last), a hash of the text, and first word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(F.length("text") > 0)
 
@@ -183,12 +203,12 @@ def _windows(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, th, text = b.column("doc_id"), b.column("th"), b.column("text")
             for lo, each in _together(text):
-                at, i, h, c = window_hashes(each)
+                at, i, n, h, c = window_hashes(each, min_words, wrap)
                 row = pa.array(lo + at)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), ids.take(row), th.take(row), pa.array(i)], names=["h", "c", "doc_id", "th", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), ids.take(row), th.take(row), pa.array(i), pa.array(n)], names=["h", "c", "doc_id", "th", "i", "n"])
 
-    found = rows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int")
-    return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i").alias("at"))
+    found = rows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int, n int")
+    return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i", "n").alias("at"))
 
 
 def _in_bitmap(windows: DataFrame, twice: DataFrame) -> DataFrame:
@@ -206,9 +226,9 @@ def _in_bitmap(windows: DataFrame, twice: DataFrame) -> DataFrame:
     return windows.mapInArrow(run, windows.schema)
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, starts``: for each document the starts of its windows that occur before, there or in another document."""
-    windows = stored(_windows(docs))
+def repeated_lines(docs: DataFrame, min_words: int = 0, wrap: bool = True) -> DataFrame:
+    """``doc_id, th, spans``: for each document its windows that occur before, there or in another document, as first word * 2^32 + words."""
+    windows = stored(_windows(docs, min_words, wrap))
     # most windows are unique: they go by a count of their hashes alone
     twice = checkpointed(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     size = twice.count()
@@ -216,43 +236,68 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         windows = stored(_in_bitmap(windows, twice))
     else:
         windows = stored(windows.join(F.broadcast(twice) if size <= MAX_BROADCAST_HASHES else twice, "h", "left_semi"))
-    again = windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = small(again, MAX_BROADCAST_WINDOWS)
-    later = windows.join(again, ["h", "c"]).filter(F.col("at") != F.col("first"))
-    return later.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.i").alias("starts"))
+    again = checkpointed(windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = _met(windows, again).filter(F.col("at") != F.col("first"))
+    span = F.shiftleft(F.col("at.i").cast("long"), 32).bitwiseOR(F.col("at.n").cast("long"))
+    return later.groupBy("at.doc_id", "at.th").agg(F.collect_set(span).alias("spans"))
+
 
+def _met(windows: DataFrame, again: DataFrame) -> DataFrame:
+    """``windows`` with the first place of each repeated one.
 
-def without_repeated_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    If there are many of those, the ones that stand so often that no more than MAX_BROADCAST_WINDOWS can stand
+    as often are joined by broadcast, so that a very common window is no single task's.
+    """
+    size = again.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    keys = again.select("h", "c", "first")
+    if size["keys"] <= MAX_BROADCAST_WINDOWS:
+        return windows.join(F.broadcast(keys), ["h", "c"])
+    often = F.col("n") > size["rows"] // max(MAX_BROADCAST_WINDOWS, 1)
+    common = F.broadcast(again.filter(often).select("h", "c", "first"))
+    rest = windows.join(common, ["h", "c"], "left_anti").join(again.filter(~often).select("h", "c", "first"), ["h", "c"])
+    return windows.join(common, ["h", "c"]).unionByName(rest)
+
+
+def _without(text: str, spans: list[int]) -> tuple[str, int]:
+    """``text`` without the words of ``spans``, each with the white space behind it, and how many they are."""
+    words = _SPACED.findall(text)
+    edges = np.zeros(len(words) + 1, np.int64)
+    x = np.array(spans, np.int64)
+    np.add.at(edges, x >> 32, 1)
+    np.subtract.at(edges, (x >> 32) + (x & 0xFFFFFFFF), 1)
+    gone = np.cumsum(edges[:-1]) > 0
+    return "".join(compress(words, ~gone)), int(gone.sum())
+
+
+def without_repeated_lines(docs: DataFrame, removed: str | None = None, min_words: int = 0, wrap: bool = True) -> DataFrame:
     """``docs`` with all its columns, each text without the lines that repeated windows cover.
 
     A window of three lines that occurs before (in a document of smaller doc_id, or further up) is
     removed; what overlapping windows cover is merged first, so a longer passage goes as a whole.
-    The first occurrence stays, unless a repeat overlaps it. Null and empty texts, and texts of
-    fewer than three lines, stay as they are; a text that repeats as a whole becomes empty, its
-    row stays. Rows with equal doc_id and text are one document and get equal results; null ids
-    come last. An empty table gives an empty result. ``removed`` names a column for the number of
-    lines removed.
+    The first occurrence stays, unless a repeat overlaps it. Windows of a text's own lines can be of any
+    length, or of ``min_words`` words at least; ``wrap`` adds windows of wrapped lines. Null and empty texts,
+    and texts of fewer than three lines of either kind, stay as they are; a text that repeats as a whole
+    becomes empty, its row stays. Texts of any length are read whole. Rows with equal doc_id and text are one
+    document and get equal results; null ids come last. An empty table gives an empty result. ``removed``
+    names a column for the number of words removed.
     """
-    hits = checkpointed(repeated_lines(docs))
-    size = hits.count()
-    hits = hits.select(F.col("doc_id").alias("hit_doc"), "th", "starts")
+    hits = repeated_lines(docs, min_words, wrap).select(F.col("doc_id").alias("hit_doc"), "th", "spans")
+    hits = small(hits, MAX_BROADCAST_DOCS, F.size("spans") / SPANS_A_DOC)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("own_doc"), "text", F.xxhash64("text").alias("own_th"))
-    met = packed.join(F.broadcast(hits) if size <= MAX_BROADCAST_DOCS else hits, F.col("own_doc").eqNullSafe(F.col("hit_doc")) & (F.col("own_th") == F.col("th")), "left")
+    met = packed.join(hits, F.col("own_doc").eqNullSafe(F.col("hit_doc")) & (F.col("own_th") == F.col("th")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, gone = b.column("text"), [0] * len(b)
-            if b.column("starts").null_count < len(b):
+            if b.column("spans").null_count < len(b):
                 out = texts.to_pylist()
-                for i, starts in enumerate(b.column("starts").to_pylist()):
-                    if starts:
-                        covered = {j + k for j in starts for k in range(WINDOW)}
-                        out[i] = "".join(x for j, x in enumerate(wrapped_lines(out[i])) if j not in covered)
-                        gone[i] = len(covered)
+                for i, spans in enumerate(b.column("spans").to_pylist()):
+                    if spans:
+                        out[i], gone[i] = _without(out[i], spans)
                 texts = pa.array(out, texts.type)
             yield pa.RecordBatch.from_arrays([b.column("doc"), texts, pa.array(gone, pa.int64())], names=["doc", "cut", "gone"])
 
     kind = packed.schema["doc"].dataType.simpleString()
-    done = met.select("doc", "text", "starts").mapInArrow(run, f"doc {kind}, cut string, gone long")
+    done = met.select("doc", "text", "spans").mapInArrow(run, f"doc {kind}, cut string, gone long")
     columns = [F.col("cut").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns]
     return done.select(*columns, *([F.col("gone").alias(removed)] if removed else []))

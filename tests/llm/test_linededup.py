@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,21 +16,26 @@ def test_lines_join_to_the_text(text):
     assert all(len(x.split()) <= linededup.WRAP for x in lines)
 
 
-def brute(docs):
-    """doc rows -> text, by dictionaries of joined lines in order."""
+def brute(docs, min_words=0, wrap=True):
+    """doc rows -> text and words removed, by dictionaries of windows in order; lines are split here on their own."""
     uniq = sorted(set(docs), key=lambda d: (d[0] is None, d[0], d[2]))
-    seen, out = {}, {}
+    seen, out = set(), {}
     for doc_id, text, _ in uniq:
-        lines = wrapped_lines(text or "")
-        words = [x.split() for x in lines]
-        covered = set()
-        for i in range(len(lines) - 2):
-            if sum(map(len, words[i : i + 3])) >= linededup.MIN_WORDS:
-                key = tuple(" ".join(w) for w in words[i : i + 3])
-                if key in seen:
-                    covered |= {i, i + 1, i + 2}
-                seen[key] = 1
-        out[doc_id, text] = "".join(x for j, x in enumerate(lines) if j not in covered) if covered else text, len(covered)
+        own = [x.split() for x in (text or "").splitlines() if x.split()]
+        kinds = [("own", own, min_words)] + ([("wrapped", [x.split() for x in wrapped_lines(text or "") if x.split()], linededup.MIN_WORDS)] if wrap else [])
+        gone = set()
+        for kind, lines, least in kinds:
+            first = 0
+            for i in range(len(lines) - 2):
+                size = sum(map(len, lines[i : i + 3]))
+                if size >= least:
+                    key = (kind, *(" ".join(w) for w in lines[i : i + 3]))
+                    if key in seen:
+                        gone |= set(range(first, first + size))
+                    seen.add(key)
+                first += len(lines[i])
+        words = re.findall(r"\s*\S+\s*", text or "")
+        out[doc_id, text] = "".join(x for j, x in enumerate(words) if j not in gone) if gone else text, len(gone)
     return sorted(((d, *out[d, t]) for d, t, _ in docs), key=str)
 
 
@@ -37,6 +44,7 @@ LONG = " ".join(f"w{i}" for i in range(70))
 ROWS = [
     (1, None), (2, ""), (3, "one\ntwo"), (4, f"own start\n{P}\nown end"), (5, f"other start here\n{P}\nother end"), (5, f"other start here\n{P}\nother end"), (None, P), (6, P), (7, "same line of five words\n" * 9),
     (8, f"intro. {LONG}"), (9, f"other opening sentence! {LONG} and more"), (10, "\n \n\n" * 20), (11, "a b c d e f g h. " * 3000),
+    (12, "Home\nAbout us\nContact\nLogin\nown text of twelve"), (13, "Home\n\n About  us\nContact\nLogin"), (14, "x\nHome\nAbout us\nContact\nLogin\ny"),
 ]
 
 
@@ -46,7 +54,7 @@ def test_matches_brute_force(spark, monkeypatch):
 
     th = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
     want = brute([(d, t, th[d, t]) for d, t in ROWS])
-    for most in (10**6, 0):
+    for most in (10**6, 2, 0):
         monkeypatch.setattr(linededup, "MAX_BROADCAST_HASHES", most)
         monkeypatch.setattr(linededup, "MAX_BROADCAST_WINDOWS", most)
         monkeypatch.setattr(linededup, "MAX_BROADCAST_DOCS", most)
@@ -54,6 +62,7 @@ def test_matches_brute_force(spark, monkeypatch):
         assert got.columns == ["doc_id", "text", "doc", "th", "gone"]
         assert sorted(((r.doc_id, r.text, r.gone) for r in got.collect()), key=str) == want
     kept = {d: t for d, t, _ in want}
+    assert kept[12] == ROWS[-3][1] and kept[13] == "" and kept[14] == "x\ny"
     assert kept[6] == "" and LONG not in kept[9] and kept[9].startswith("other opening") and kept[4] == ROWS[3][1]
 
 
@@ -95,3 +104,11 @@ def test_bitmap_keeps_all_repeats(spark, monkeypatch):
     for bits in (1 << 26, 8):
         monkeypatch.setattr(linededup, "BITMAP", bits)
         assert sorted(without_repeated_lines(df).collect(), key=str) == want
+
+
+def test_floor_and_own_lines_only(spark):
+    df = spark.createDataFrame([(d, t) for d, t in ROWS if d != 5], "doc_id long, text string").repartition(3)
+    rows = [(d, t, 0) for d, t in ROWS if d != 5]
+    for options in ({"wrap": False}, {"wrap": False, "min_words": 12}, {"min_words": 12}):
+        got = sorted(((r.doc_id, r.text, r.gone) for r in without_repeated_lines(df, removed="gone", **options).collect()), key=str)
+        assert got == brute(rows, **options)
