@@ -11,7 +11,7 @@ For a similarity of shingles (``similar``) the radius is wide, and every block w
 corpus. There tiles are shared values of min-wise keys of the same shingles: two texts of shingle
 similarity s share none of KEYS keys with probability (1 - s)^KEYS, which is 3e-6 at 0.8. The radius
 keeps pairs that stand 3.5 standard deviations farther apart than expected; what it finds is verified
-on sketches of SKETCH min-wise values, which tell the shingle similarity to about 0.025.
+on sketches of SKETCH min-wise values, which tell the shingle similarity to about 0.018.
 """
 
 from __future__ import annotations
@@ -44,10 +44,10 @@ _RNG = np.random.default_rng(3)
 _TIMES = _RNG.integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, KEYS, dtype=np.uint64)
 #: Values (a byte each) of a sketch, their steps, and how far below the asked similarity a sketch's may be.
-SKETCH = 256
+SKETCH = 512
 _SKETCH_TIMES = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH_PLUS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-ALLOWANCE = 0.025
+ALLOWANCE = 0.03
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
