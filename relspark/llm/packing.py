@@ -11,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.common import checkpointed, small
 from relspark.llm.tokens import word_encoder
 
 LIMIT = 2048
 END_ID = 1
 #: UTF-8 bytes of text that make up a group on average.
 GROUP_BYTES = 8 << 20
+#: Partitions of groups; more groups share them.
+MAX_PARTITIONS = 20_000
 
 
 class TournamentTree:
@@ -52,27 +55,45 @@ def first_fit_decreasing(sizes: list[int], limit: int) -> list[int]:
     return bins
 
 
-def pieces(docs: DataFrame, path: str, limit: int, end_id: int, groups: int, seed: int) -> DataFrame:
-    """The documents' ids cut at every ``limit``, each piece with a random group that depends on the seed and the row alone."""
+def told_apart(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, text, mark`` of each row, null texts as empty, and all texts' bytes; ``mark`` is a random number of the id, the text and, among repeated rows, the copy.
+
+    It depends on what the rows hold alone, so a task that is run again gives the same.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    keys = checkpointed(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.sum(F.octet_length("text")).alias("size")))
+    size = keys.agg(F.sum("size")).first()[0] or 0
+    mark = lambda copy: F.xxhash64("k1", "k2", copy)
+    again = keys.filter("copies > 1").select("k1", "k2")
+    if again.isEmpty():
+        return rows.select("doc_id", "text", mark(F.lit(0)).alias("mark")), size
+    again = small(again)
+    once = rows.join(again, ["k1", "k2"], "left_anti").select("doc_id", "text", mark(F.lit(0)).alias("mark"))
+    kept = rows.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
+    copied = kept.select("doc_id", "text", "k1", "k2", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    return once.unionByName(copied.select("doc_id", "text", mark(F.col("copy")).alias("mark"))), size
+
+
+def pieces(rows: DataFrame, path: str, limit: int, end_id: int, groups: int, seed: int) -> DataFrame:
+    """The ids of ``rows(doc_id, text, mark)`` cut at every ``limit``; a document's pieces are in one group, which depends on the seed and the mark alone."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(path)
-        end, width, seen = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize, 0
+        end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
         for b in batches:
             take, start, total, ids, group = [], [], [], [], []
-            for i, own in enumerate(enc.ids(b.column("text").to_pylist())):
+            for i, (own, mark) in enumerate(zip(enc.ids(b.column("text").to_pylist()), b.column("mark").to_pylist(), strict=True)):
                 own += end
                 n = len(own) // width
-                mark = xxhash.xxh64_intdigest(own, seed) + seen
-                seen += 1
+                g = xxhash.xxh64_intdigest(b"%d" % mark, seed) % groups
                 for at in range(0, n, limit):
                     take.append(i)
                     start.append(at)
                     total.append(n)
                     ids.append(own[at * width : (at + limit) * width])
-                    group.append(xxhash.xxh64_intdigest(b"%d %d" % (mark, at), seed) % groups)
+                    group.append(g)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(take, pa.int64())), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32()), pa.array(group, pa.int64())],
                 names=["doc_id", "start", "doc_tokens", "raw", "width", "grp"],
@@ -90,11 +111,14 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, g
     32-bit), ``doc_tokens, sequence_id, offset``; sequences are gapless from offset 0. Pieces are
     cut at multiples of ``limit`` only. Repeated rows and null ids are packed on their own; an
     empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored. The number
-    of groups follows the total size of the texts, so a group stays near ``group_bytes``.
+    of groups follows the total size of the texts, so a group stays near ``group_bytes``, and the
+    number of tasks follows the number of groups. What a group holds depends on the rows and
+    ``seed`` alone, not on how they are partitioned.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, size = told_apart(docs)
     groups = -(-size // group_bytes) or 1
-    cut = pieces(docs, path, limit, end_id, groups, seed)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, MAX_PARTITIONS))
+    cut = pieces(rows, path, limit, end_id, groups, seed).repartition(parts, "grp")
     kind = cut.schema["doc_id"].dataType.simpleString()
 
     def fill(t: pa.Table) -> pa.Table:
