@@ -1,15 +1,16 @@
 """Exact tokenizer calls with a cache of pieces, and token counts of huge documents by overlap resynchronisation.
 
 A text is cut where its tokenizer provably starts afresh, and each distinct piece is encoded by the
-library once a worker; the pieces' ids joined are the text's ids.
+library once a worker; the pieces' ids joined are the text's ids. Huge documents go to the library in
+overlapping chunks over many tasks, which are spliced where neighbours have a stable boundary in common.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +108,12 @@ class WordEncoder:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        if _TANGLED.search(text):
+        # lower-cased first: a letter can become a letter and a mark
+        low = text.lower()
+        if _TANGLED.search(low):
             return _WORDS.findall(text)
-        low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        if not text.isascii():
+            low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return low.replace(".", " .").replace(",", " ,").split()
 
     def learn(self, words: set[str]) -> None:
@@ -143,66 +147,63 @@ def word_encoder(path: str) -> WordEncoder:
     return _word_encoders[path]
 
 
-#: Documents of more characters are encoded in overlapping chunks.
+#: Documents of more characters are encoded in chunks, each with the beginning of the next.
 HUGE = 32_768
-CHUNK = 16_384
-OVERLAP = 256
+CHUNK, OVERLAP = 16_384, 256
+#: How much wider the overlaps get where neighbours share no boundary.
+WIDEN = 8
+#: Where the tokenizer provably starts afresh: between another character and white space.
+_FRESH = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
-def _chunk_counts(texts: list[str], enc: PieceEncoder) -> Iterator[tuple[list[int], list[int]]]:
-    """For each text the ends of its pieces (in characters) and the tokens up to each end."""
-    for t, counts in zip(texts, enc.values(texts), strict=True):
-        yield list(accumulate(map(len, enc.pieces.findall(t)))), list(accumulate(counts))
-
-
-def _cut(chunk: int) -> Callable:
-    """Rows ``doc, no, last, start, text``: chunks at every ``chunk`` characters, each with the next one's text as room for the overlap."""
+def _cut(chunk: int, overlap: int) -> Callable:
+    """Rows ``doc, no, last, start, text``: chunks at every ``chunk`` characters, each with ``overlap`` characters more; the last is the longer one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
-                n = max(1, -(-len(t) // chunk))
+                n = max(1, -(-(len(t) - overlap) // chunk))
                 for i in range(0, n, 64):
                     no = range(i, min(n, i + 64))
                     yield pa.RecordBatch.from_pydict(
-                        {"doc": [d] * len(no), "no": list(no), "last": [k == n - 1 for k in no], "start": [k * chunk for k in no], "text": [t[k * chunk : (k + 2) * chunk] for k in no]},
+                        {"doc": [d] * len(no), "no": list(no), "last": [k == n - 1 for k in no], "start": [k * chunk for k in no], "text": [t[k * chunk : (k + 1) * chunk + overlap] for k in no]},
                         schema=pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("text", pa.string())]),
                     )
 
     return run
 
 
-def _seams(ends: list[int], tokens: list[int], start: int, low: int, high: int) -> tuple[list[int], list[int]]:
-    """The stable boundaries in the overlap that begins at ``low``: absolute offsets, and the chunk's tokens before each.
+def _seams(text: str, ends: list[int], start: int, low: int, high: int) -> tuple[list[int], list[int]]:
+    """The stable boundaries between ``low`` and ``high``: absolute offsets, and the chunk's tokens before each.
 
-    The overlap is widened eightfold until it holds a boundary or reaches ``high``.
+    ``ends`` are the library's end offsets of the tokens. A boundary is where a token ends and the
+    tokenizer starts afresh, whatever stands before and behind.
     """
-    size = OVERLAP
-    while True:
-        at = [(e + start, t) for e, t in zip(ends, tokens, strict=True) if low < e <= min(low + size, high)]
-        if at or low + size >= high:
-            return [a for a, _ in at], [t for _, t in at]
-        size *= 8
+    at, tokens = [], []
+    for m in _FRESH.finditer(text, low, high):
+        i = bisect_right(ends, m.start())
+        if i and ends[i - 1] == m.start():
+            at.append(start + m.start())
+            tokens.append(i)
+    return at, tokens
 
 
-def _encode_chunks(path: str, chunk: int) -> Callable:
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("last", pa.bool_()), ("total", pa.int64()), ("head", longs), ("head_tokens", longs), ("tail", longs), ("tail_tokens", longs)])
+_CODED = pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("last", pa.bool_()), ("total", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("head", "head_tokens", "tail", "tail_tokens"))])
 
+
+def _encode_chunks(path: str, chunk: int, overlap: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, BEFORE_SPACE, len)
+        library = encoder(path, BEFORE_SPACE, len).tokenizer
         for b in batches:
             rows = []
-            texts = b.column("text").to_pylist()
-            for r, t, (ends, tokens) in zip(b.select(["doc", "no", "last", "start"]).to_pylist(), texts, _chunk_counts(texts, enc), strict=True):
-                # the last piece of a chunk that is not the last may go on in the next chunk: its end is no boundary
-                inner = slice(0, len(ends) - (not r["last"]))
-                head = _seams(ends[inner], tokens[inner], r["start"], 0, min(chunk, len(t) - 1)) if r["no"] else ([], [])
-                tail = ([], []) if r["last"] else _seams(ends[inner], tokens[inner], r["start"], chunk, len(t) - 1)
-                rows.append({"doc": r["doc"], "no": r["no"], "last": r["last"], "total": tokens[-1] if tokens else 0, "head": head[0], "head_tokens": head[1], "tail": tail[0], "tail_tokens": tail[1]})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for r, t in zip(b.select(["doc", "no", "last", "start"]).to_pylist(), b.column("text").to_pylist(), strict=True):
+                ends = [e for _, e in library.encode(t, add_special_tokens=False).offsets]
+                head = _seams(t, ends, r["start"], 0, overlap) if r["no"] else ([], [])
+                tail = ([], []) if r["last"] else _seams(t, ends, r["start"], chunk, len(t))
+                rows.append({"doc": r["doc"], "no": r["no"], "last": r["last"], "total": len(ends), "head": head[0], "head_tokens": head[1], "tail": tail[0], "tail_tokens": tail[1]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_CODED)
 
-    return run, schema
+    return run
 
 
 def _splice(rows: pa.Table) -> pa.Table:
@@ -223,24 +224,25 @@ def _splice(rows: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array([chunks[0]["doc"]], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
 
-def huge_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+def huge_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc, n_tokens`` of ``docs(doc long, text)``: chunks spread over all tasks, neighbours spliced by document.
 
-    Documents of which two neighbouring chunks share no stable boundary, not even over a whole
-    chunk, are encoded again in chunks eight times as long, until one chunk holds the document.
+    Each chunk is encoded whole by the library. Neighbours are spliced at an offset in their overlap where
+    both encodings have a boundary and the tokenizer starts afresh. Documents of which two neighbours
+    share none are encoded again with overlaps WIDEN times as wide, and chunks at least as long, until one chunk holds the document.
     """
     out = None
     while True:
-        run, schema = _encode_chunks(path, chunk)
-        cut = docs.mapInArrow(_cut(chunk), "doc long, no long, last boolean, start long, text string")
-        coded = cut.repartition("doc", "no").mapInArrow(run, "doc long, no long, last boolean, total long, head array<long>, head_tokens array<long>, tail array<long>, tail_tokens array<long>")
+        cut = docs.mapInArrow(_cut(chunk, overlap), "doc long, no long, last boolean, start long, text string")
+        coded = cut.repartition("doc", "no").mapInArrow(_encode_chunks(path, chunk, overlap), "doc long, no long, last boolean, total long, head array<long>, head_tokens array<long>, tail array<long>, tail_tokens array<long>")
         done = checkpointed(coded.groupBy("doc").applyInArrow(_splice, "doc long, n_tokens long"))
         good = done.filter("n_tokens IS NOT NULL")
         out = good if out is None else out.unionByName(good)
         failed = done.filter("n_tokens IS NULL")
         if failed.isEmpty():
             return out
-        docs, chunk = docs.join(failed.select("doc"), "doc", "left_semi"), chunk * 8
+        overlap *= WIDEN
+        docs, chunk = docs.join(failed.select("doc"), "doc", "left_semi"), max(chunk, overlap)
 
 
 def token_counts(docs: DataFrame, path: str, keep: Column | None = None) -> DataFrame:

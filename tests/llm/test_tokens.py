@@ -33,11 +33,10 @@ def huge_texts():
 
 
 @pytest.mark.parametrize("chunk", [64, 500])
-def test_huge_documents_match_the_library(spark, monkeypatch, chunk):
-    monkeypatch.setattr(tokens, "OVERLAP", 8)
+def test_huge_documents_match_the_library(spark, chunk):
     rows = list(enumerate(huge_texts()))
     df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
-    got = {r.doc: r.n_tokens for r in tokens.huge_counts(df, BYTE, chunk).collect()}
+    got = {r.doc: r.n_tokens for r in tokens.huge_counts(df, BYTE, chunk, 8).collect()}
     assert got == {i: len(library[BYTE].encode(t, add_special_tokens=False).ids) for i, t in rows}
 
 
@@ -81,3 +80,14 @@ def test_packing(spark):
     total = sum(r.length for r in got)
     assert total / (len(seqs) * limit) > 0.9
     assert pack(df.limit(0), WORD).collect() == []
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    rows = [(i % 50, f"text {i % 40} " * (i % 9)) for i in range(300)] + [(1, "same")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.start, r.ids, r.sequence_id, r.offset) for r in pack(df.repartition(n), WORD, limit=32, group_bytes=500).collect()) for n in (2, 7)]
+    assert got[0] == got[1] and len(got[0]) >= len(rows)
+    groups = {}
+    for d, _, _, s, _ in got[0]:
+        groups.setdefault(s >> 32, []).append(d)
+    assert len(groups) > 5 and max(x.count(1) for x in groups.values()) < 60
