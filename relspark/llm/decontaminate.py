@@ -1,10 +1,10 @@
 """Benchmark decontamination: a broadcast set of test n-grams, probed while the training words are scanned.
 
-Only DataFrame expressions are used, and the documents are scanned once. Any window of k words
-holds a whole aligned block of (k + 1) // 2 words, so a document probes the set with the hashes of
-its aligned blocks only; each window around a block that is found is then looked up among the
-benchmark windows and verified on its words. Only hits (and one marker row a document) reach
-the shuffle.
+Only DataFrame expressions are used. Any window of k words holds a whole aligned block of (k + 1) // 2
+words, so a document probes the set with the hashes of its aligned blocks only; each window around a
+block that is found is then looked up among the benchmark windows and verified on its words. Only hits
+(and one marker row a document) reach the shuffle. The set is sized by the benchmark; the blocks of a
+benchmark that is too large for it are joined by hash instead.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import ascii_lower, keyed, small
+from relspark.llm.common import ascii_lower, checkpointed, keyed, small
 
 WINDOW = 10
-#: Slots of the broadcast hash set at most (a megabyte). A fuller set lets more false candidates through to
-#: the exact lookup; it never misses one.
-MAX_SLOTS = 1 << 22
-#: Slots of a byte of the set, each block taking two slots of about PER_BLOCK.
-PER_BYTE, PER_BLOCK = 4, 16
+#: Blocks of benchmark windows that the broadcast hash set holds at most, PER_BLOCK slots for each (a
+#: megabyte in all, of which an eighth is set); it lets few false candidates through to the exact lookup, and never misses one.
+MAX_BLOCKS, PER_BLOCK = 1 << 18, 16
+#: Slots of a byte of the set; each block sets two slots.
+PER_BYTE = 4
 #: Benchmark windows (about 200 bytes each) up to which their lookup asks for a broadcast.
 MAX_BROADCAST_WINDOWS = 200_000
 #: Documents with hits up to which their removal asks for a broadcast.
@@ -70,15 +70,19 @@ def _slots(h: Column, slots: int) -> list[Column]:
     return [x.bitwiseAND(F.lit(slots - 1)).cast("int") for x in (h, F.shiftrightunsigned(h, 32))]
 
 
-def _block_set(wins: DataFrame, k: int) -> tuple[bytearray, int]:
-    """The hash set of all blocks of the windows of ``k`` words, and its slots: a bit for each slot, four in a byte.
+def _blocks(wins: DataFrame) -> DataFrame:
+    """``h``: the hashes of all blocks of the windows."""
+    size = F.floor((F.col("k") + 1) / 2).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), F.col("k") - size), lambda j: F.xxhash64(F.slice("gram", j + 1, size)))
+    return wins.select(F.explode(hashes).alias("h")).distinct()
+
+
+def _block_set(blocks: DataFrame, n: int) -> tuple[bytearray, int]:
+    """The hash set of the ``n`` blocks, and its slots: a bit for each slot, four in a byte.
 
     It is small (about 4 bytes a block), as the plan carries it.
     """
-    b = _block(k)
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(k - b)), lambda j: _gram_hash("gram", j, b))
-    blocks = wins.filter(F.col("k") == k).select(F.explode(hashes).alias("h")).distinct()
-    slots = min(MAX_SLOTS, 1 << max(10, (PER_BLOCK * blocks.count() - 1).bit_length()))
+    slots = 1 << max(10, (PER_BLOCK * n - 1).bit_length())
     out = bytearray(max(1, slots // PER_BYTE))
     for r in blocks.select(F.explode(F.array(*_slots(F.col("h"), slots))).alias("slot")).distinct().toLocalIterator():
         out[r.slot // PER_BYTE] |= 1 << r.slot % PER_BYTE
@@ -100,6 +104,20 @@ def _probe(k: int, known: bytearray, slots: int) -> Column:
     return F.filter(_block_starts(k), is_known)
 
 
+def _joined(rows: DataFrame, blocks: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` with ``c{k}``, the starts of the aligned blocks of ``w`` that are among ``blocks``, found by a join on their hashes.
+
+    Rows of equal words have equal blocks, so they are met by a hash of the words.
+    """
+    rows = rows.withColumns({"w1": F.xxhash64("w"), "w2": F.xxhash64(F.lit(1), "w")})
+    each = lambda k: F.transform(_block_starts(k), lambda s: F.struct(F.lit(k).alias("k"), s.alias("s"), _gram_hash("w", s, _block(k)).alias("h")))
+    probes = rows.select("w1", "w2", F.explode(F.concat(*map(each, sizes))).alias("x")).select("w1", "w2", "x.*")
+    found = probes.join(small(blocks), "h", "left_semi").groupBy("w1", "w2").agg(*(F.collect_set(F.when(F.col("k") == k, F.col("s"))).alias(f"c{k}") for k in sizes))
+    none = F.array().cast("array<int>")
+    found = small(found, MAX_BROADCAST_DOCS, sum((F.size(f"c{k}") for k in sizes), F.lit(0)) / 10)
+    return rows.join(found, ["w1", "w2"], "left").withColumns({f"c{k}": F.coalesce(f"c{k}", none) for k in sizes}).drop("w1", "w2")
+
+
 def _windows_around(k: int) -> Column:
     """The windows of ``k`` words, as structs (i, k, gram), that hold a block of ``c{k}``."""
 
@@ -113,17 +131,22 @@ def _windows_around(k: int) -> Column:
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[Column]) -> DataFrame:
     """One row a document: ``keep``, ``n_words``, sorted ``hits`` of structs (i, k) counted from 0, ``items``."""
-    wins = benchmark_windows(benchmark, window)
-    sizes = wins.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("k")).alias("k")).first()
+    # lookups carry the items of a window, so their number counts as well
+    wins = checkpointed(benchmark_windows(benchmark, window))
+    own = small(wins.select("h", F.col("gram").alias("own"), "items"), MAX_BROADCAST_WINDOWS, F.size("items"))
+    sizes = sorted(r.k for r in wins.select("k").distinct().collect())
     names = docs.select(*keep).columns
     rows = docs.select(*keep, words(F.col("text")).alias("w")).withColumn("uid", F.monotonically_increasing_id())
-    rows = rows.withColumns({f"c{k}": _probe(k, *_block_set(wins, k)) for k in sizes["k"]})
+    blocks = checkpointed(_blocks(wins))
+    n = blocks.count()
+    if n <= MAX_BLOCKS:
+        known = _block_set(blocks, n)
+        rows = rows.withColumns({f"c{k}": _probe(k, *known) for k in sizes})
+    else:
+        rows = _joined(rows, blocks, sizes)
     marker = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("gram")))
-    rows = rows.select("uid", *names, F.size("w").cast("long").alias("n_words"), F.concat(marker, *map(_windows_around, sizes["k"])).alias("at"))
+    rows = rows.select("uid", *names, F.size("w").cast("long").alias("n_words"), F.concat(marker, *map(_windows_around, sizes)).alias("at"))
     rows = rows.select("uid", *names, "n_words", F.explode("at").alias("at"))
-    if sizes["n"] <= MAX_BROADCAST_WINDOWS:
-        wins = F.broadcast(wins)
-    own = wins.select("h", F.col("gram").alias("own"), "items")
     found = rows.join(own, F.when(F.col("at.i") >= 0, F.xxhash64("at.gram")) == F.col("h"), "left")
     found = found.filter((F.col("at.i") < 0) | (F.col("at.gram") == F.col("own")))
     return found.groupBy("uid").agg(
@@ -169,13 +192,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     ``mode="document"`` removes every document with a hit word; ``mode="span"`` keeps all
     documents and removes the hit words, each with the separators that follow it. Rows of equal
-    doc_id and text are treated alike.
+    doc_id and text are treated alike; null, empty and wordless texts have no hits and stay; texts of any
+    length are read whole; with an empty benchmark, or an empty table, nothing goes.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode is document or span, not {mode}")
     rows = keyed(docs)
     hits = _hits(rows, benchmark, window, [F.col("k1"), F.col("k2")]).filter(F.size("hits") > 0)
-    hits = small(hits.select("k1", "k2", "hits").dropDuplicates(["k1", "k2"]), MAX_BROADCAST_DOCS)
+    hits = small(hits.select("k1", "k2", "hits").dropDuplicates(["k1", "k2"]), MAX_BROADCAST_DOCS, F.size("hits") / 10)
     if mode == "document":
         return rows.join(hits, ["k1", "k2"], "left_anti").select("doc.*")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)

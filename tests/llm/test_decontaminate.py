@@ -60,10 +60,27 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in contamination(some, bench).collect()] == [(2, 0, False)]
 
 
-def test_full_set_and_large_benchmark(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_SLOTS", 2)
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", 0)
+def test_large_benchmark(spark, monkeypatch):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in contamination(docs, bench).collect()]
-    assert sorted(got, key=str) == brute(DOCS, BENCH)
+    for blocks, windows, most in ((1 << 18, 0, 200_000), (0, 200_000, 200_000), (0, 0, 0)):
+        monkeypatch.setattr(decontaminate, "MAX_BLOCKS", blocks)
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", windows)
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_DOCS", most)
+        got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in contamination(docs, bench).collect()]
+        assert sorted(got, key=str) == brute(DOCS, BENCH)
+
+
+def test_few_false_candidates_at_any_size(spark):
+    """Of blocks that are not in the benchmark, few pass the fullest set; larger benchmarks have no set."""
+    n = decontaminate.MAX_BLOCKS // 8
+    bench = spark.range(n).selectExpr("array_join(transform(sequence(0, 9), j -> concat('b', id, 'x', j)), ' ') AS text", "id AS item_id")
+    wins = decontaminate.benchmark_windows(bench)
+    blocks = decontaminate._blocks(wins)
+    known, slots = decontaminate._block_set(blocks, blocks.count())
+    assert len(known) <= 1 << 20
+    docs = spark.range(2000).selectExpr("transform(sequence(0, 49), j -> concat('d', id, 'y', j)) AS w")
+    from pyspark.sql import functions as F
+
+    passed = docs.select(F.sum(F.size(decontaminate._probe(10, known, slots))).alias("n")).first()["n"]
+    assert passed < 0.02 * 2000 * 10
