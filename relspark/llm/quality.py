@@ -146,7 +146,11 @@ def scored(model: Model, each: Iterable[str | None]) -> np.ndarray:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose score is at least the threshold."""
+    """The rows of ``docs``, with all columns, whose score is at least the threshold.
+
+    Scores are those of ``quality``: a null text counts as empty, repeated rows go or stay together,
+    texts of any length are read whole, and without labels all rows stay. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
