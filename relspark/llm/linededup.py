@@ -4,7 +4,7 @@ A text has two kinds of lines, and windows of either kind count. Its own lines a
 ends, blank ones left out; three of them that stand before are cut however short they are. Wrapped
 lines are cut at line ends, after sentences, and inside sentences where the words themselves say so, so
 a passage that many documents hold inside one long paragraph is several lines as well, and the same ones
-wherever in a sentence it begins. Short lines and sentences are joined to wrapped lines of four words at
+wherever in a sentence it begins. Short lines and sentences are joined to wrapped lines of six words at
 least, so that three of them are no chance repeat.
 """
 
@@ -24,18 +24,18 @@ from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
 WRAP = 16
-#: Words that a window of wrapped lines has at least; shorter ones repeat by chance.
-MIN_WORDS = 12
-#: Words between two cuts at least: only windows with a text's first or last line can have fewer than ``MIN_WORDS`` words. Gaps of twice as many are cut again.
-APART = MIN_WORDS // WINDOW
+#: Words between two cuts at least; gaps of twice as many are cut again, so wrapped lines are shorter, and any 50 words in a row hold three whole ones.
+APART = 6
+#: Words that a window of wrapped lines has at least; only windows with a text's first or last line can have fewer, and those repeat by chance.
+MIN_WORDS = APART * WINDOW
 CACHED_WORDS = 200_000
 #: Characters of the texts that are cut together, and rounds of cuts before what is left is cut one by one.
 TOGETHER, ROUNDS = 500_000, 8
 #: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
 #: (about 30, 100 and 200 bytes each).
-MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 100_000
-#: Spans of a document (8 bytes each) that are counted as one document more.
-SPANS_A_DOC = 20
+MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 500_000
+#: Spans of a document (8 bytes each) that are counted as one document.
+SPANS_A_DOC = 10
 #: Bits of the filter for more hashes of repeated windows, and hashes up to which it is used (4 bytes each on the driver).
 BITMAP, MAX_BITMAP_HASHES = 1 << 26, 10_000_000
 
@@ -227,7 +227,7 @@ def _in_bitmap(windows: DataFrame, twice: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 0, wrap: bool = True) -> DataFrame:
-    """``doc_id, th, spans``: for each document its windows that occur before, there or in another document, as first word * 2^32 + words."""
+    """``doc_id, th, spans``: for each document what its windows cover that occur before, there or in another document, merged, as first word * 2^32 + words."""
     windows = stored(_windows(docs, min_words, wrap))
     # most windows are unique: they go by a count of their hashes alone
     twice = checkpointed(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
@@ -239,7 +239,22 @@ def repeated_lines(docs: DataFrame, min_words: int = 0, wrap: bool = True) -> Da
     again = checkpointed(windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = _met(windows, again).filter(F.col("at") != F.col("first"))
     span = F.shiftleft(F.col("at.i").cast("long"), 32).bitwiseOR(F.col("at.n").cast("long"))
-    return later.groupBy("at.doc_id", "at.th").agg(F.collect_set(span).alias("spans"))
+    spans = later.groupBy("at.doc_id", "at.th").agg(F.collect_set(span).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [merged(x.values.to_numpy()) for x in b.column("spans")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(each, pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
+
+    return spans.mapInArrow(run, spans.schema)
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans that overlap or touch as one, in order."""
+    x = np.sort(spans)
+    first, end = x >> 32, np.maximum.accumulate((x >> 32) + (x & 0xFFFFFFFF))
+    new = np.concatenate(([True], first[1:] > end[:-1]))
+    return first[new] << 32 | np.concatenate((end[np.flatnonzero(new)[1:] - 1], end[-1:])) - first[new]
 
 
 def _met(windows: DataFrame, again: DataFrame) -> DataFrame:
