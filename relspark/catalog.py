@@ -119,6 +119,11 @@ class RelationalDB:
             )
         return self._union(parts)
 
+    def key_counts(self, most: int = 5) -> DataFrame:
+        """``child_table, n_fkeys, n_edges, valid`` of every table with foreign keys: those whose keys are all in their parents, and whether they are at most ``most``."""
+        met = self.integrity().groupBy("child_table").agg(F.count("*").alias("n_fkeys"), F.sum(F.col("n_rows") - F.col("n_null") - F.col("n_orphan")).alias("n_edges"))
+        return met.withColumn("valid", F.col("n_fkeys") <= most)
+
     def valid(self, most: int = 5) -> bool:
         """Whether no table has more than ``most`` foreign keys."""
         return all(len(s.fkeys) <= most for s in self.specs.values())

@@ -23,33 +23,41 @@ def cycle(i: Column, every: float, scale: float, low: float = -1.0, high: float
     return F.greatest(F.lit(low), F.least(F.lit(high), F.lit(scale) * F.sin(i / F.lit(float(every)) * F.lit(math.pi))))
 
 
-def ar1(df: DataFrame, order: str, noise: str, rho: float, name: str = "ar", block: int = 4096) -> DataFrame:
+#: Blocks whose end states are chained by one window.
+CHAINED = 4096
+
+
+def ar1(df: DataFrame, order: str, noise: str, rho: float, name: str = "ar", block: int = 256) -> DataFrame:
     """``df(order long from 0, gapless)`` with s(t) = rho s(t-1) + noise(t), s before the first row being 0.
 
-    The series is cut into blocks of rows. Each block is folded on its own from zero; the blocks'
-    end states are then chained, one number a block, and each row adds the decayed state that
-    came in. No window is longer than a block, and the result is the whole recurrence, not a truncation.
+    The series is cut into blocks of rows. Each block is folded on its own from zero. The blocks' end
+    states are a series of the same kind, with rho^block, and are chained in the same way; each row then
+    adds the decayed state that came in. No window is longer than CHAINED rows, and the result is the whole
+    recurrence, not a truncation.
     """
     if not 0 <= rho < 1:
         raise ValueError("rho is at least 0 and below 1")
-    rows = df.withColumn("__b", F.floor(F.col(order) / block)).withColumn("__j", (F.col(order) % block).cast("int"))
-    gathered = rows.groupBy("__b").agg(F.transform(F.array_sort(F.collect_list(F.struct("__j", F.col(noise).cast("double").alias("e")))), lambda x: x["e"]).alias("e"))
+    row = F.struct((F.col(order) % block).cast("int").alias("j"), F.col(noise).cast("double").alias("e"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    gathered = df.groupBy(F.floor(F.col(order) / block).cast("long").alias("__b")).agg(F.array_sort(F.collect_list(row), lambda x, y: x["j"] - y["j"]).alias("x"))
     start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("s"))
 
-    def step(acc: Column, e: Column) -> Column:
-        s = acc["s"] * rho + F.coalesce(e, F.lit(0.0))
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["s"] * rho + F.coalesce(x["e"], F.lit(0.0))
         return F.struct(F.array_append(acc["out"], s).alias("out"), s.alias("s"))
 
-    folded = checkpointed(gathered.select("__b", F.aggregate("e", start, step).alias("f")).select("__b", "f.out", F.col("f.s").alias("last"), F.size("f.out").alias("n")))
-    # one number a block; a state decays by rho^block a block, and below 1e-300 it is no double's concern
-    back = 1 if rho == 0 else max(1, math.ceil(-690 / (block * math.log(rho))))
-    chain = folded.select("__b", "last")
-    w = Window.orderBy("__b").rowsBetween(-back, -1)
-    carried = F.aggregate(F.collect_list("last").over(w), F.lit(0.0), lambda a, x: a * (rho**block) + x)
-    into = F.broadcast(chain.select("__b", carried.alias("__in")))
-    states = folded.select("__b", F.posexplode("out").alias("__j", "__own")).join(into, "__b")
-    value = F.col("__own") + F.col("__in") * F.pow(F.lit(rho), F.col("__j") + 1)
-    return rows.join(states.select("__b", "__j", value.alias(name)), ["__b", "__j"]).select(*df.columns, name)
+    folded = checkpointed(gathered.select("__b", "x", F.aggregate("x", start, step).alias("f")).select("__b", "x", "f.out", F.col("f.s").alias("last")))
+    ends, decay = folded.select("__b", "last"), rho**block
+    n = ends.count()
+    if n > CHAINED:
+        states = ar1(ends, "__b", "last", decay, "__in", block).select((F.col("__b") + 1).alias("__b"), "__in")
+    else:
+        # a state below 1e-300 is no double's concern
+        back = 1 if decay == 0 else max(1, math.ceil(-690 / math.log(decay)))
+        w = Window.orderBy("__b").rowsBetween(-back, -1)
+        states = F.broadcast(ends.select("__b", F.aggregate(F.collect_list("last").over(w), F.lit(0.0), lambda a, x: a * decay + x).alias("__in")))
+    met = folded.join(states, "__b", "left").select(F.coalesce("__in", F.lit(0.0)).alias("__in"), F.explode(F.arrays_zip("x", "out")).alias("z"))
+    value = F.col("z.out") + F.col("__in") * F.pow(F.lit(rho), F.col("z.x.j") + 1)
+    return met.select(F.col("z.x.row").alias("row"), value.alias("__value")).select(*(F.col(f"row.`{c}`") for c in df.columns), F.col("__value").alias(name))
 
 
 def bounded(x: Column, low: float = -1.0, high: float = 1.0) -> Column:

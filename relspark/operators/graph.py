@@ -19,17 +19,21 @@ NUMBER, TEXT, DATETIME, BOOLEAN = range(4)
 def edges(db: RelationalDB, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """``child_table, child_key, fk_col, parent_table, parent_key, child_ts, parent_ts`` of every non-null key that has its parent.
 
-    ``child_key`` is the primary key, or the row key of a table without one.
+    ``child_key`` is the primary key, or the row key of a table without one, which is numbered once for all its
+    foreign keys. A key column that holds times is none and is left out; ``pairs`` of (child, column) leave out all others.
     """
-    parts = []
+    parts, keyed = [], {}
     for child, column, parent in db.fkeys():
-        if pairs is not None and (child, column) not in pairs:
+        times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+        if pairs is not None and (child, column) not in pairs or isinstance(db.tables[child].schema[column].dataType, times):
             continue
         cs, ps = db.specs[child], db.specs[parent]
-        rows = db.tables[child] if cs.pkey else db.keyed(child)
-        ts = lambda s, df: epoch_seconds(F.col(s.time_col)) if s.time_col else F.lit(None).cast("long")
-        left = rows.filter(F.col(column).isNotNull()).select(F.col(cs.pkey or "row_key").cast("long").alias("child_key"), F.col(column).cast("long").alias("k"), ts(cs, rows).alias("child_ts"))
-        right = db.tables[parent].select(F.col(ps.pkey).cast("long").alias("parent_key"), ts(ps, db.tables[parent]).alias("parent_ts"))
+        if not cs.pkey and child not in keyed:
+            keyed[child] = db.keyed(child)
+        rows = db.tables[child] if cs.pkey else keyed[child]
+        ts = lambda s: epoch_seconds(F.col(s.time_col)) if s.time_col else F.lit(None).cast("long")
+        left = rows.filter(F.col(column).isNotNull()).select(F.col(cs.pkey or "row_key").cast("long").alias("child_key"), F.col(column).cast("long").alias("k"), ts(cs).alias("child_ts"))
+        right = db.tables[parent].select(F.col(ps.pkey).cast("long").alias("parent_key"), ts(ps).alias("parent_ts"))
         parts.append(
             left.join(right, F.col("k") == F.col("parent_key")).select(F.lit(child).alias("child_table"), "child_key", F.lit(column).alias("fk_col"), F.lit(parent).alias("parent_table"), "parent_key", "child_ts", "parent_ts")
         )
@@ -83,9 +87,16 @@ def cells(df: DataFrame, table: str, key: str, drop: set[str]) -> DataFrame:
 
 
 def table_cells(db: RelationalDB, name: str) -> DataFrame:
-    """The cells of a table with a primary key: features only, as keys are edges and not cells."""
+    """The cells of a table: features only, as keys are edges and not cells. A table without a primary key goes by its rows' numbers."""
     spec = db.specs[name]
-    return cells(db.tables[name], name, spec.pkey, {spec.pkey, *spec.fkeys})
+    if spec.pkey:
+        return cells(db.tables[name], name, spec.pkey, {spec.pkey, *spec.fkeys})
+    return cells(db.keyed(name), name, "row_key", {"row_key", *spec.fkeys})
+
+
+def database_cells(db: RelationalDB) -> DataFrame:
+    """The cells of all tables, with ``table``."""
+    return reduce(DataFrame.unionByName, [table_cells(db, n).withColumn("table", F.lit(n)) for n in db.specs])
 
 
 def class_ids(cell: DataFrame, words: DataFrame) -> DataFrame:

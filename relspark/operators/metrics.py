@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.storage import numbered
+from relspark.storage import numbered, sums_before
 
 
 def r2(df: DataFrame, y: str, p: str, groups: list[str] | None = None) -> DataFrame:
@@ -22,15 +22,9 @@ def auc(df: DataFrame, label: Column, score: str) -> DataFrame:
     """
     per = df.groupBy(F.col(score).alias("s")).agg(F.count(F.when(label, 1)).alias("pos"), F.count(F.when(~label, 1)).alias("neg"))
     rows = numbered(per, ["s"], "rn")
-    # pairs won = sum over scores of pos * (negatives below + half of those equal); negatives below by blocks of distinct scores
-    block = rows.withColumn("b", F.floor(F.col("rn") / 65536))
-    sizes = block.groupBy("b").agg(F.sum("neg").alias("n"))
-    from pyspark.sql.window import Window
-
-    below = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = block.withColumn("inside", inside).join(F.broadcast(sizes.select("b", below.alias("below"))), "b")
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("inside") + F.col("neg") / 2))
+    # pairs won = sum over scores of pos * (negatives below + half of those equal)
+    met = sums_before(rows, "rn", "neg", "below")
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return met.agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
@@ -43,6 +37,23 @@ def bce_with_logits(y: Column, z: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))
 
 
+def sequence_losses(cells: DataFrame, seq: str, masked: str, loss: Column) -> DataFrame:
+    """``seq, loss, n_masked``: of each sequence the sum of ``loss`` over its masked cells, over their number; 0 without one."""
+    here = F.when(F.col(masked), loss)
+    return cells.groupBy(seq).agg((F.coalesce(F.sum(here), F.lit(0.0)) / F.greatest(F.count_if(F.col(masked)), F.lit(1))).alias("loss"), F.count_if(F.col(masked)).alias("n_masked"))
+
+
+def means(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """The mean of ``value`` by ``groups`` (such as split and family), and ``n``; NaN and null count for nothing."""
+    x = F.when(~F.isnan(value), F.col(value))
+    return df.groupBy(*groups).agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
+
+
+def latency(df: DataFrame, ms: str) -> DataFrame:
+    """``mean, std`` of durations, the deviation being that of the population."""
+    return df.agg(F.avg(ms).alias("mean"), F.coalesce(F.stddev_pop(ms), F.lit(0.0)).alias("std"))
+
+
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 

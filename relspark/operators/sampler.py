@@ -1,7 +1,8 @@
 """Context sequences: seeds, temporally filtered hops with a width cap, budgets, leakage filters and batches.
 
-Traversal is level by level: all parents first, then children, in order of a keyed random number. A hop is
-two joins and a ranked filter; nothing is looked up row by row.
+Traversal is level by level: all parents first, then children, in order of a keyed random number. A hop
+finds how long the visible prefix of a node's children is, draws ranks from it and looks these up: a
+constant number of rows a visit, whatever the node's degree.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relspark.functions.rng import u32
+from relspark.functions.rng import u32, unit
 from relspark.storage import checkpointed, numbered
 
 
@@ -19,35 +20,85 @@ def visible(child_ts: Column, seed_ts: Column) -> Column:
     return child_ts.isNull() | F.coalesce(child_ts <= seed_ts, F.lit(False))
 
 
-def capped_children(frontier: DataFrame, edges: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """``seed_key, seed_ts, node, child_key, child_ts, r``: up to ``width`` visible children of each frontier node, drawn by keyed hash.
+class Adjacency:
+    """Edges as they are looked up by parent: children of the database in order of time, with their ranks, and rows of task tables beside them.
 
-    ``frontier(seed_key, seed_ts, node)`` meets ``edges(parent_key, child_key, child_ts)``. The cap is ranked
-    before the window's exchange as well, so a hub sends on at most ``width`` children a task.
+    ``edges(parent_key, child_key, child_ts)`` may have ``task``: the name of the task table whose row the child is, null for
+    rows of the database. The children are sorted and numbered once, a hub's by many tasks (see ``numbered``).
     """
-    met = frontier.join(edges.select("parent_key", "child_key", "child_ts"), F.col("node") == F.col("parent_key"))
-    met = met.filter(visible(F.col("child_ts"), F.col("seed_ts"))).withColumn("r", u32(seed, F.col("seed_key"), F.col("child_key")))
-    w = Window.partitionBy("seed_key", "node").orderBy("r", "child_key")
-    return met.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= width).select("seed_key", "seed_ts", "node", "child_key", "child_ts", "r")
+
+    def __init__(self, edges: DataFrame):
+        named = edges if "task" in edges.columns else edges.withColumn("task", F.lit(None).cast("string"))
+        flat = named.select(F.col("parent_key").alias("node"), "child_key", "child_ts", "task")
+        rows = numbered(flat.filter("task IS NULL").drop("task"), ["node", F.col("child_ts").asc_nulls_first(), "child_key"], "at")
+        self.first = checkpointed(rows.groupBy("node").agg(F.min("at").alias("first")))
+        self.children = rows.join(self.first, "node").select("node", "child_key", "child_ts", (F.col("at") - F.col("first")).alias("rank"))
+        self.tasks = flat.filter("task IS NOT NULL")
+
+    def visible_counts(self, asks: DataFrame) -> DataFrame:
+        """``node, seed_ts, visible`` for each of ``asks(node, seed_ts)``: how many first children of the node can be seen from the time.
+
+        Children and asks are sorted together; an ask's place less the asks before it is the number of children before it.
+        """
+        ts = F.col("ts").asc_nulls_first()
+        asks = asks.select("node", F.col("seed_ts").alias("ts"), F.lit(1).alias("ask")).distinct()
+        both = self.children.select("node", F.col("child_ts").alias("ts"), F.lit(0).alias("ask")).unionByName(asks)
+        placed = numbered(both, ["node", ts, "ask"], "at").filter("ask = 1")
+        before = numbered(placed, ["at"], "asks")
+        return before.join(self.first, "node").select("node", F.col("ts").alias("seed_ts"), (F.col("at") - F.col("asks") - F.col("first")).alias("visible")).filter("visible > 0")
+
+    def sampled(self, frontier: DataFrame, width: int, seed: int = 0) -> DataFrame:
+        """``seed_key, seed_ts, task, node, child_key, child_ts, r``: up to ``width`` visible children of each row of ``frontier(seed_key, seed_ts, task, node)``.
+
+        If there are more, the visible ones are cut into ``width`` stretches of equal length, and one of each is drawn
+        by keyed hash: ``width`` rows a frontier row, however many children a hub has. Rows of the seed's own task
+        table come besides, without a cap; those of other task tables never do.
+        """
+        counts = self.visible_counts(frontier)
+        same_ts = F.col("f.seed_ts").eqNullSafe(F.col("c.seed_ts"))
+        met = frontier.alias("f").join(counts.alias("c"), (F.col("f.node") == F.col("c.node")) & same_ts).select("f.*", "visible")
+        drawn = met.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("visible", F.lit(width).cast("long")) - 1))) if width > 0 else met.withColumn("j", F.lit(0).cast("long")).limit(0)
+        edge = lambda j: F.floor(j * F.col("visible") / width).cast("long")
+        low, high = edge(F.col("j")), edge(F.col("j") + 1)
+        u = unit(seed, "rank", F.col("seed_key"), F.col("node"), F.col("j"))
+        rank = F.when(F.col("visible") <= width, F.col("j")).otherwise(low + F.floor(u * (high - low)))
+        database = drawn.withColumn("rank", rank).join(self.children, ["node", "rank"])
+        own = frontier.filter("task IS NOT NULL").join(self.tasks, ["node", "task"]).filter(visible(F.col("child_ts"), F.col("seed_ts")))
+        columns = ["seed_key", "seed_ts", "task", "node", "child_key", "child_ts"]
+        return database.select(*columns).unionByName(own.select(*columns)).withColumn("r", u32(seed, F.col("seed_key"), F.col("child_key")))
+
+
+def _with_task(seeds: DataFrame) -> DataFrame:
+    return seeds if "task" in seeds.columns else seeds.withColumn("task", F.lit(None).cast("string"))
+
+
+def capped_children(frontier: DataFrame, edges: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """One hop from ``frontier(seed_key, seed_ts, node)``, which may have ``task``, over ``edges``; see ``Adjacency``."""
+    return Adjacency(edges).sampled(_with_task(frontier).select("seed_key", "seed_ts", "task", "node"), width, seed)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int, width: int, seed: int = 0) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, hops: int, width: int, seed: int = 0, sizes: DataFrame | None = None, length: int = 0) -> DataFrame:
     """``seed_key, node, depth, is_parent, r``: the nodes reached from ``seeds(seed_key, seed_ts, node)`` in up to ``hops`` levels, first visits only.
 
-    ``edges(child_key, parent_key, child_ts)`` hold global node ids. Parents are not filtered by time.
-    Each level is checkpointed; the loop ends early when a level is empty.
+    ``edges(child_key, parent_key, child_ts)`` hold global node ids; ``seeds`` and ``edges`` may have ``task``, see ``Adjacency``.
+    Parents are not filtered by time. With ``sizes(node, n_cells)`` a seed goes no further once its visits have
+    ``length`` cells, as what follows would be beyond its budget. Each level is checkpointed; the loop ends early when a level is empty.
     """
-    front = seeds.select("seed_key", "seed_ts", "node")
+    front = _with_task(seeds).select("seed_key", "seed_ts", "task", "node")
+    graph = Adjacency(edges)
     seen = checkpointed(front.select("seed_key", "node", F.lit(0).alias("depth"), F.lit(True).alias("is_parent"), F.lit(0).cast("long").alias("r")))
     for depth in range(1, hops + 1):
-        up = front.join(edges, F.col("node") == F.col("child_key")).select("seed_key", "seed_ts", F.col("parent_key").alias("node"), F.lit(True).alias("is_parent"), u32(seed, F.col("seed_key"), F.col("parent_key")).alias("r"))
-        down = capped_children(front, edges, width, seed).select("seed_key", "seed_ts", F.col("child_key").alias("node"), F.lit(False).alias("is_parent"), "r")
-        level = up.unionByName(down).groupBy("seed_key", "seed_ts", "node").agg(F.max("is_parent").alias("is_parent"), F.min("r").alias("r"))
+        up = front.join(edges.select("child_key", "parent_key"), F.col("node") == F.col("child_key")).select("seed_key", "seed_ts", "task", F.col("parent_key").alias("node"), F.lit(True).alias("is_parent"), u32(seed, F.col("seed_key"), F.col("parent_key")).alias("r"))
+        down = graph.sampled(front, width, seed).select("seed_key", "seed_ts", "task", F.col("child_key").alias("node"), F.lit(False).alias("is_parent"), "r")
+        level = up.unionByName(down).groupBy("seed_key", "seed_ts", "task", "node").agg(F.max("is_parent").alias("is_parent"), F.min("r").alias("r"))
         level = checkpointed(level.join(seen.select("seed_key", "node"), ["seed_key", "node"], "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("seed_key", "node", F.lit(depth).alias("depth"), "is_parent", "r"))
-        front = level.select("seed_key", "seed_ts", "node")
+        front = level.select("seed_key", "seed_ts", "task", "node")
+        if sizes is not None and depth < hops:
+            full = seen.join(sizes, "node").groupBy("seed_key").agg(F.sum("n_cells").alias("cells")).filter(F.col("cells") >= length)
+            front = checkpointed(front.join(full, "seed_key", "left_anti"))
     return seen
 
 
@@ -73,8 +124,8 @@ def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFr
     ``cells(node, column, ...)``. Visits stop before the cells reach ``length``; leaking cells go after that, and at
     most ``length`` remain. Target values of other rows stay visible. Nodes without cells count none.
     """
-    visits = expand(seeds, edges, hops, width, seed)
-    sizes = cells.groupBy("node").agg(F.count("*").alias("n_cells"))
+    sizes = checkpointed(cells.groupBy("node").agg(F.count("*").alias("n_cells")))
+    visits = expand(seeds, edges, hops, width, seed, sizes, length)
     seen = within_budget(visits.join(sizes, "node", "left").fillna(0, ["n_cells"]), "n_cells", length)
     rows = seen.join(times, "node", "left").join(seeds.select("seed_key", "seed_ts", F.col("node").alias("seed_node")), "seed_key").join(cells, "node")
     kept = rows.filter(~leaks(F.col("column"), dropped, F.col("node"), F.col("seed_node"), F.col("ts"), F.col("seed_ts")))

@@ -109,3 +109,18 @@ def category_booleans(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, c in enumerate(columns):
         df = df.withColumn(c, F.col(c) > 0) if kinds[f"k{i}"] else df.drop(c)
     return df
+
+
+def denormalised(z: Column, mean: Column, std: Column) -> Column:
+    """The value that ``z_score`` made ``z`` of."""
+    return z * std + mean
+
+
+def booleans(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` as booleans: 0 is false, any other number true, null stays."""
+    return df.withColumns({c: F.col(c).cast("boolean") for c in columns})
+
+
+def first_element(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the first element of a list, null for null and empty ones."""
+    return df.withColumn(name, F.get(column, F.lit(0)))

@@ -108,3 +108,8 @@ def full_batches(rows: DataFrame, batch: str, size: int) -> DataFrame:
     """Rows of batches that have all their ``size`` rows."""
     whole = rows.groupBy(batch).agg(F.count("*").alias("__n")).filter(F.col("__n") == size).select(batch)
     return rows.join(whole, batch, "left_semi")
+
+
+def first_steps(rows: DataFrame, batch: str, steps: int) -> DataFrame:
+    """Rows of the first ``steps`` batches, as an evaluation with a step cap sees them."""
+    return rows.filter(F.col(batch) < steps)

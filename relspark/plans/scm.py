@@ -54,7 +54,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
-    return np.vectorize(math.erf, otypes=[float])(x)
+    """The error function to 2e-7, by the rational approximation 7.1.26 of Abramowitz and Stegun."""
+    t = 1 / (1 + 0.3275911 * np.abs(x))
+    fold = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return np.sign(x) * (1 - fold * np.exp(-x * x))
 
 
 #: Activations by name.

@@ -182,20 +182,50 @@ def train_stats_to_val(spark, sf_dir):
 
 # ---- dictionary and cells
 
-_DICT_TABLES = {"customer": (["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ["c_name", "c_mktsegment"]), "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], ["o_orderstatus", "o_orderpriority"])}
+#: The tables' columns, strings, and times.
+_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "labels": "doc_id quality toxic",
+}
+_STRINGS = set("r_name n_name c_name c_mktsegment s_name p_name p_brand p_type o_orderstatus o_orderpriority l_returnflag l_linestatus event_type props text lang source".split())
+#: Tables without a primary key, with their rows' numbers.
+_ROWS = {t: f"(SELECT *, row_number() OVER (ORDER BY {', '.join(f'{c} NULLS FIRST' for c in _COLUMNS[t].split())}) - 1 AS row_key FROM {t})" for t in ("lineitem", "labels")}
 _DICT_SQL = (
     "SELECT row_number() OVER (ORDER BY kind, text) - 1 AS id, kind, text FROM ("
-    + " UNION ".join([f"SELECT 'table' AS kind, '{t}' AS text" for t in _DICT_TABLES] + [f"SELECT 'column', '{c} of {t}'" for t, (cs, _) in _DICT_TABLES.items() for c in cs] + [f"SELECT 'value', {c} FROM {t} WHERE {c} IS NOT NULL" for t, (_, vs) in _DICT_TABLES.items() for c in vs])
+    + " UNION ".join(
+        [f"SELECT 'table' AS kind, '{t}' AS text" for t in _COLUMNS]
+        + [f"SELECT 'column', '{c} of {t}'" for t, cs in _COLUMNS.items() for c in cs.split()]
+        + [f"SELECT 'value', {c} FROM {t} WHERE {c} IS NOT NULL" for t, cs in _COLUMNS.items() for c in cs.split() if c in _STRINGS]
+    )
     + ")"
 )
-_CELLS_SQL = """SELECT o_orderkey AS node_key, 'o_orderstatus of orders' AS "column", 1 AS sem_type, NULL::DOUBLE AS num, o_orderstatus AS txt FROM orders WHERE o_orderstatus IS NOT NULL
-    UNION ALL SELECT o_orderkey, 'o_orderpriority of orders', 1, NULL, o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL
-    UNION ALL SELECT o_orderkey, 'o_totalprice of orders', 0, o_totalprice, NULL FROM orders WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)
-    UNION ALL SELECT o_orderkey, 'o_orderdate of orders', 2, epoch(o_orderdate)::DOUBLE, NULL FROM orders WHERE o_orderdate IS NOT NULL"""
+
+
+def _cell_sql(t: str, c: str) -> str:
+    key = SPECS[t].pkey or "row_key"
+    if c in _STRINGS:
+        kind, num, txt, there = graph.TEXT, "NULL::DOUBLE", c, f"{c} IS NOT NULL"
+    elif c == SPECS[t].time_col:
+        kind, num, txt, there = graph.DATETIME, f"floor(epoch({c}))::DOUBLE", "NULL", f"{c} IS NOT NULL"
+    else:
+        kind, num, txt, there = graph.NUMBER, f"{c}::DOUBLE", "NULL", f"{c} IS NOT NULL AND NOT isnan({c}::DOUBLE)"
+    return f"""SELECT {key}::BIGINT AS node_key, '{c} of {t}' AS "column", {kind} AS sem_type, {num} AS num, {txt} AS txt, '{t}' AS "table" FROM {_ROWS.get(t, t)} WHERE {there}"""
+
+
+_ALL_CELLS_SQL = " UNION ALL ".join(_cell_sql(t, c) for t, cs in _COLUMNS.items() for c in cs.split() if c != SPECS[t].pkey and c not in SPECS[t].fkeys)
+_CELLS_SQL = f"""(SELECT * FROM ({_ALL_CELLS_SQL}) WHERE "table" = 'orders')"""
 
 
 def _dictionary(spark, sf_dir):
-    return graph.dictionary({t: read(spark, sf_dir, t) for t in _DICT_TABLES})
+    return graph.dictionary(open_database(spark, sf_dir).tables)
 
 
 @query(_DICT_SQL)
@@ -203,27 +233,24 @@ def dictionary_values(spark, sf_dir):
     return _dictionary(spark, sf_dir)
 
 
-@query(_CELLS_SQL)
+@query(_ALL_CELLS_SQL)
 def cells_melt(spark, sf_dir):
-    return graph.table_cells(open_database(spark, sf_dir), "orders")
+    return graph.database_cells(open_database(spark, sf_dir))
 
 
-@query(f"SELECT node_key, count(*) AS n_cells, count(txt) AS n_text FROM ({_CELLS_SQL}) GROUP BY node_key")
+@query(f'SELECT "table", node_key, count(*) AS n_cells, count(txt) AS n_text FROM ({_ALL_CELLS_SQL}) GROUP BY ALL')
 def cells_per_node(spark, sf_dir):
-    return cells_melt(spark, sf_dir).groupBy("node_key").agg(F.count("*").alias("n_cells"), F.count("txt").alias("n_text"))
+    return cells_melt(spark, sf_dir).groupBy("table", "node_key").agg(F.count("*").alias("n_cells"), F.count("txt").alias("n_text"))
 
 
-@query(f"SELECT node_key, \"column\", id AS class_id FROM ({_CELLS_SQL}) c JOIN ({_DICT_SQL}) d ON d.kind = 'value' AND d.text = c.txt")
+@query(f"SELECT \"table\", node_key, \"column\", id AS class_id FROM ({_ALL_CELLS_SQL}) c JOIN ({_DICT_SQL}) d ON d.kind = 'value' AND d.text = c.txt")
 def class_ids(spark, sf_dir):
-    return graph.class_ids(cells_melt(spark, sf_dir), _dictionary(spark, sf_dir)).select("node_key", "column", "class_id")
+    return graph.class_ids(cells_melt(spark, sf_dir), _dictionary(spark, sf_dir)).select("table", "node_key", "column", "class_id")
 
 
 # ---- edges
 
 _TS = lambda t, a: f"floor(epoch({a}.{SPECS[t].time_col}))::BIGINT" if SPECS[t].time_col else "NULL::BIGINT"
-_LINE_COLS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-_ROWS = {"lineitem": f"(SELECT *, row_number() OVER (ORDER BY {_LINE_COLS}) - 1 AS row_key FROM lineitem)"}
-
 
 def _edge_sql(child: str, column: str, parent: str) -> str:
     key = SPECS[child].pkey or "row_key"
@@ -231,12 +258,11 @@ def _edge_sql(child: str, column: str, parent: str) -> str:
         FROM {_ROWS.get(child, child)} c JOIN {parent} p ON c.{column} = p.{SPECS[parent].pkey}"""
 
 
-_EDGE_PAIRS = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("events", "user_id", "customer"), ("lineitem", "l_orderkey", "orders")]
-_EDGES_SQL = " UNION ALL ".join(_edge_sql(*x) for x in _EDGE_PAIRS)
+_EDGES_SQL = " UNION ALL ".join(_edge_sql(*x) for x in _FKEYS)
 
 
-def _edges(spark, sf_dir, pairs=_EDGE_PAIRS):
-    return graph.edges(open_database(spark, sf_dir), [(c, k) for c, k, _ in pairs])
+def _edges(spark, sf_dir):
+    return graph.edges(open_database(spark, sf_dir))
 
 
 # in the two edge lists -1 stands for no time
@@ -257,8 +283,7 @@ def parent_ts(spark, sf_dir):
 
 @query(f"SELECT child_table, count(DISTINCT fk_col) AS n_fkeys, count(*) AS n_edges, count(DISTINCT fk_col) <= 5 AS valid FROM ({_EDGES_SQL}) GROUP BY child_table")
 def valid_db(spark, sf_dir):
-    per = _edges(spark, sf_dir).groupBy("child_table", "fk_col").agg(F.count("*").alias("n"))
-    return per.groupBy("child_table").agg(F.count("*").alias("n_fkeys"), F.sum("n").alias("n_edges")).withColumn("valid", F.col("n_fkeys") <= 5)
+    return open_database(spark, sf_dir).key_counts()
 
 
 # ---- sampler: orders are seeds, customers their parents; node ids are customers first, then orders
@@ -276,17 +301,16 @@ def _order_seeds(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child_key").alias("seed_key"), F.col("child_ts").alias("seed_ts"), F.col("child_key").alias("node"))
 
 
-@query(f"SELECT node_key, num FROM ({_CELLS_SQL}) WHERE \"column\" = 'o_totalprice of orders'")
-def seed_items(spark, sf_dir):
-    """Seeds are the rows that own the target cell."""
-    cell = cells_melt(spark, sf_dir)
-    owns = cell.filter(F.col("column") == "o_totalprice of orders")
-    return cell.filter(F.col("sem_type") == graph.NUMBER).join(owns.select("node_key"), "node_key", "left_semi").select("node_key", "num")
+def _draw_sql(seed: str, visible: str, width: int) -> str:
+    """Rows of ``seed`` with ``rank``: the ranks drawn among the first ``visible`` children of ``node``."""
+    j0, j1 = f"(j * {visible} // {width})", f"((j + 1) * {visible} // {width})"
+    u = U.format("concat_ws('|', '0', 'rank', seed_key, node, j)")
+    return f"SELECT *, CASE WHEN {visible} <= {width} THEN j ELSE {j0} + floor({u} * ({j1} - {j0}))::BIGINT END AS rank FROM (SELECT *, unnest(range(least({visible}, {width}))) AS j FROM ({seed}))"
 
 
-_HOP1_SQL = f"""SELECT seed_key, child_key, r FROM (
-    SELECT s.child_key AS seed_key, e.child_key, {U32.format("concat_ws('|', '0', s.child_key, e.child_key)")} AS r, row_number() OVER (PARTITION BY s.child_key ORDER BY {U32.format("concat_ws('|', '0', s.child_key, e.child_key)")}, e.child_key) AS n
-    FROM {_NODES} s JOIN {_NODES} e ON s.parent_key = e.parent_key WHERE e.child_ts IS NULL OR e.child_ts <= s.child_ts) WHERE n <= {WIDTH}"""
+_RANKED_SQL = f"SELECT *, row_number() OVER (PARTITION BY parent_key ORDER BY child_ts NULLS FIRST, child_key) - 1 AS rank FROM {_NODES}"
+_VISIBLE_SQL = f"SELECT child_key AS seed_key, parent_key AS node, count(*) OVER (PARTITION BY parent_key ORDER BY child_ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visible FROM {_NODES}"
+_HOP1_SQL = f"""SELECT s.seed_key, c.child_key, {U32.format("concat_ws('|', '0', s.seed_key, c.child_key)")} AS r FROM ({_draw_sql(_VISIBLE_SQL, 'visible', WIDTH)}) s JOIN ({_RANKED_SQL}) c ON c.parent_key = s.node AND c.rank = s.rank"""
 
 
 @query(_HOP1_SQL)
@@ -297,6 +321,26 @@ def hop1_children(spark, sf_dir):
     return sampler.capped_children(at, e, WIDTH).select("seed_key", "child_key", "r")
 
 
+# every kind of event is a task table: its rows are seeds at their customers; orders are the database's children
+_EVENT_NODE = "(SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + event_id"
+_TASK_SEEDS = f"(SELECT {_EVENT_NODE} AS seed_key, user_id AS node, event_type AS task, floor(epoch(ts))::BIGINT AS seed_ts FROM events)"
+
+
+@query(
+    f"""WITH s AS {_TASK_SEEDS}, v AS (SELECT s.seed_key, s.node, count(*) AS visible FROM s JOIN {_NODES} o ON o.parent_key = s.node AND o.child_ts <= s.seed_ts GROUP BY ALL)
+    SELECT d.seed_key, c.child_key, false AS of_task FROM ({_draw_sql('SELECT * FROM v', 'visible', WIDTH)}) d JOIN ({_RANKED_SQL}) c ON c.parent_key = d.node AND c.rank = d.rank
+    UNION ALL SELECT a.seed_key, b.seed_key, true FROM s a JOIN s b ON a.node = b.node AND a.task = b.task AND b.seed_ts <= a.seed_ts"""
+)
+def task_edges(spark, sf_dir):
+    """A seed sees its customer's orders, capped, and the rows of its own task table, all of them; those of other tasks it doesn't."""
+    n = read(spark, sf_dir, "customer").count() + read(spark, sf_dir, "orders").count()
+    rows = read(spark, sf_dir, "events").select((F.lit(n) + F.col("event_id")).alias("key"), "user_id", F.col("event_type").alias("task"), epoch_seconds(F.col("ts")).alias("at"))
+    database = _order_edges(spark, sf_dir).withColumn("task", F.lit(None).cast("string"))
+    edges = database.unionByName(rows.select(F.col("key").alias("child_key"), F.col("user_id").alias("parent_key"), F.col("at").alias("child_ts"), "task"))
+    seeds = rows.select(F.col("key").alias("seed_key"), F.col("at").alias("seed_ts"), F.col("user_id").alias("node"), "task")
+    return sampler.capped_children(seeds, edges, WIDTH).select("seed_key", "child_key", (F.col("child_key") >= n).alias("of_task"))
+
+
 # level 1 is the seed's customer; level 2 its capped orders but the seed
 _VISITS_SQL = f"""SELECT child_key AS seed_key, child_key AS node, 0 AS depth, true AS is_parent, 0::BIGINT AS r FROM {_NODES}
     UNION ALL SELECT child_key, parent_key, 1, true, {U32.format("concat_ws('|', '0', child_key, parent_key)")} FROM {_NODES}
@@ -328,7 +372,7 @@ def _contexts(spark, sf_dir) -> DataFrame:
     e = _order_edges(spark, sf_dir)
     n = read(spark, sf_dir, "customer").count()
     times = e.select(F.col("child_key").alias("node"), F.col("child_ts").alias("ts"))
-    cell = cells_melt(spark, sf_dir).select((F.col("node_key") + n).alias("node"), "column", "num", "txt")
+    cell = graph.table_cells(open_database(spark, sf_dir), "orders").select((F.col("node_key") + n).alias("node"), "column", "num", "txt")
     return sampler.contexts(_order_seeds(e), e, times, cell, HOPS, WIDTH, 10**6, "o_totalprice of orders", ["o_orderstatus of orders"])
 
 
@@ -359,9 +403,13 @@ def batch_assign(spark, sf_dir):
     return sampler.batches(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], ranks=4, size=32, seed=3)
 
 
-@query(f"SELECT seed_key, node, depth, used FROM ({_BUDGET_SQL}) WHERE used < 8")
+@query(f"SELECT seed_key, node, depth, used FROM ({_BUDGET_SQL}) WHERE used < 7")
 def context_early_stop(spark, sf_dir):
-    return context_budget(spark, sf_dir).filter("used < 8")
+    """Seeds whose visits fill the budget go no further."""
+    e = _order_edges(spark, sf_dir)
+    sizes = e.select(F.col("child_key").alias("node"), F.lit(4).alias("n_cells")).unionByName(e.select(F.col("parent_key").alias("node"), F.lit(3).alias("n_cells")).distinct())
+    visits = sampler.expand(_order_seeds(e), e, HOPS, WIDTH, 0, sizes, 7)
+    return sampler.within_budget(visits.join(sizes, "node"), "n_cells", 7).select("seed_key", "node", "depth", "used")
 
 
 # ---- transforms and nulls
@@ -402,6 +450,14 @@ def implant_null(spark, sf_dir):
     return _nulled(spark, sf_dir)
 
 
+@query(f"SELECT o_orderkey AS node_key FROM ({_NULLED_SQL}) WHERE price IS NOT NULL")
+def seed_items(spark, sf_dir):
+    """Seeds are the rows that own the target cell."""
+    cell = graph.cells(_nulled(spark, sf_dir), "orders", "o_orderkey", {"o_orderkey"})
+    owns = cell.filter(F.col("column") == "price of orders").select("node_key")
+    return cell.select("node_key").distinct().join(owns, "node_key", "left_semi")
+
+
 @query(f"SELECT * FROM ({_NULLED_SQL}) WHERE price IS NOT NULL")
 def dropna_rows(spark, sf_dir):
     return _nulled(spark, sf_dir).dropna()
@@ -426,13 +482,13 @@ def quantize_lazy(spark, sf_dir):
 
 @query("SELECT vec_id, embedding[1]::VARCHAR IS NOT NULL AS has_first, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
 def first_list_elem(spark, sf_dir):
-    first = F.get("embedding", F.lit(0))
-    return read(spark, sf_dir, "embeddings").select("vec_id", first.isNotNull().alias("has_first"), F.round(first.cast("double"), 5).alias("first"))
+    rows = stats.first_element(read(spark, sf_dir, "embeddings"), "embedding", "x")
+    return rows.select("vec_id", F.col("x").isNotNull().alias("has_first"), F.round(F.col("x").cast("double"), 5).alias("first"))
 
 
 @query("SELECT doc_id, quality::BOOLEAN AS quality, toxic::BOOLEAN AS toxic FROM labels")
 def cast_bool(spark, sf_dir):
-    return read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("boolean").alias("quality"), F.col("toxic").cast("boolean").alias("toxic"))
+    return stats.booleans(read(spark, sf_dir, "labels"), ["quality", "toxic"]).select("doc_id", "quality", "toxic")
 
 
 # ---- series over the orders' places
@@ -521,9 +577,18 @@ def task_split_time(spark, sf_dir):
     return _split(read(spark, sf_dir, "orders")).groupBy("split").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
 
 
-@query("SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY source")
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS db, '{c}' AS target, '{'classification' if c in _STRINGS else 'regression'}' AS kind, count(*) AS n_rows FROM {t}"
+        for t, cs in _COLUMNS.items() for c in cs.split() if t != "orders" and (c in _STRINGS or c in _NUMBERS.get(t, ()) and c not in ("p_size", "l_linenumber"))
+    )
+)
 def leave_one_out(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter("source <> 'src3'").groupBy("source").agg(F.count("*").alias("n"))
+    """Every table stands for a database of its own; the tasks of all but orders, with their rows."""
+    db = open_database(spark, sf_dir)
+    left = tasks.leave_out((t for n, df in db.tables.items() for t in tasks.feature_tasks(n, n, df, "")), "orders")
+    rows = spark.createDataFrame([(t.db, t.target, t.kind) for t in left], "db string, target string, kind string")
+    return rows.join(db.counts().select(F.col("table").alias("db"), "n_rows"), "db")
 
 
 @query(f"SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {U32.format(chr(39) + '5|' + chr(39) + ' || o_orderkey')}, o_orderkey) AS n FROM orders) WHERE n <= 3")
@@ -586,6 +651,28 @@ def huber_bce(spark, sf_dir):
     )
 
 
+@query(f"""SELECT split, o_orderpriority AS family, round(avg(y), 4) AS mean, count(*) AS n FROM (SELECT o.o_orderpriority, x.* FROM {_SCORED_SQL} x JOIN orders o USING (o_orderkey)) GROUP BY ALL""")
+def means_by_split(spark, sf_dir):
+    """Means by split and family, here of the orders' values by priority."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("family"))
+    return metrics.means(_scored(spark, sf_dir).join(o, "o_orderkey"), ["split", "family"], "y").select("split", "family", F.round("mean", 4).alias("mean"), "n")
+
+
+@query("""SELECT l_orderkey, round(coalesce(sum(CASE WHEN abs(e) <= 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END) FILTER (l_returnflag = 'R'), 0) / greatest(count(*) FILTER (l_returnflag = 'R'), 1), 5) AS loss, count(*) FILTER (l_returnflag = 'R') AS n_masked
+    FROM (SELECT *, (l_extendedprice - 1000 * l_quantity) * 0.000091371931 AS e FROM lineitem) GROUP BY l_orderkey""")
+def masked_loss(spark, sf_dir):
+    """An order's lines stand for a sequence, returned ones for its masked cells."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("masked", F.col("l_returnflag") == "R")
+    loss = metrics.huber((F.col("l_extendedprice") - 1000 * F.col("l_quantity")) * 0.000091371931, F.lit(0.0))
+    return metrics.sequence_losses(rows, "l_orderkey", "masked", loss).select("l_orderkey", F.round("loss", 5).alias("loss"), "n_masked")
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events")
+def latency_moments(spark, sf_dir):
+    """Mean and population deviation of durations; the events' values stand for them."""
+    return metrics.latency(read(spark, sf_dir, "events"), "value").select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("""SELECT o_custkey, max(v) AS best_val, arg_max(t, (v, -o_orderkey)) AS test_at_best FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice / 1e5) AS v, o_totalprice AS t FROM orders) GROUP BY o_custkey""")
 def best_metric(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 1e5).cast("double").alias("v"), F.col("o_totalprice").alias("t"))
@@ -610,7 +697,7 @@ def prediction_coverage(spark, sf_dir):
 def denormalize(spark, sf_dir):
     df = _scored(spark, sf_dir)
     one = df.filter("split = 'train'").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"))
-    return df.filter("split = 'test'").crossJoin(F.broadcast(one)).select("o_orderkey", F.round(F.col("s") * F.col("sd") + F.col("m"), 3).alias("y"))
+    return df.filter("split = 'test'").crossJoin(F.broadcast(one)).select("o_orderkey", F.round(stats.denormalised(F.col("s"), F.col("m"), F.col("sd")), 3).alias("y"))
 
 
 @query("SELECT round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max FROM events")
@@ -745,6 +832,15 @@ def stream_stats(spark, sf_dir):
     return made.select("event_type", "n", F.round("s", 2).alias("s"), F.round("ss", 1).alias("ss"))
 
 
+@query("""SELECT user_id, min(ts) AS first, count(*) AS n FROM (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+    FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, true) AS new FROM events)) GROUP BY user_id, s""")
+def stream_sessions(spark, sf_dir):
+    """A user's events no further apart than six hours are a session."""
+    made = events.sessions(events.read_stream(spark, sf_dir, "events"), "ts", "user_id", "6 hours", "2 days")
+    out = events.drained(made.select("user_id", F.col("w.start").alias("first"), "n"), "complete")
+    return out.withColumn("first", F.col("first").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
 def stream_parent_join(spark, sf_dir):
     made = events.with_parent(events.read_stream(spark, sf_dir, "events"), read(spark, sf_dir, "customer"), "user_id", "c_custkey")

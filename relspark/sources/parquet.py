@@ -33,19 +33,34 @@ def write_database(db: RelationalDB, path: str, mode: str = "errorifexists") ->
     db.spark.createDataFrame(rows, "name string, keys string").coalesce(1).write.mode(mode).parquet(f"{path}/catalog.parquet")
 
 
-def read_database(spark: SparkSession, path: str, keep: Callable[[str], bool] = lambda name: True) -> RelationalDB:
-    """A database that ``write_database`` wrote; ``keep`` leaves tables out, with the foreign keys to them."""
-    rows = {r.name: json.loads(r["keys"]) for r in spark.read.parquet(f"{path}/catalog.parquet").collect() if keep(r.name)}
-    specs = {n: TableSpec(n, k["pkey_col"], k["time_col"], {c: p for c, p in k["fkey_col_to_pkey_table"].items() if p in rows}) for n, k in rows.items()}
-    return RelationalDB({n: spark.read.parquet(f"{path}/db/{n}.parquet") for n in rows}, specs)
-
-
-def footer_keys(path: str) -> TableSpec:
-    """The keys that a Parquet file's own footer names (``pkey_col``, ``time_col``, ``fkey_col_to_pkey_table``, each JSON)."""
-    import pyarrow.parquet as pq
-
-    meta = pq.read_schema(path).metadata or {}
-    get = lambda k, other: json.loads(meta[k.encode()]) if k.encode() in meta else other
+def read_database(spark: SparkSession, path: str, keep: Callable[[str], bool] = lambda name: True, targets: dict[tuple[str, str], str] | None = None) -> RelationalDB:
+    """A database: the tables under ``db/``, with the keys in ``catalog`` or, without that, in the files' own footers.
+
+    ``keep`` leaves tables out, with the foreign keys to them; ``targets`` names another parent for some (table, column).
+    """
+    if _paths(spark, f"{path}/catalog.parquet"):
+        keys = {r.name: json.loads(r["keys"]) for r in spark.read.parquet(f"{path}/catalog.parquet").collect() if keep(r.name)}
+        found = [TableSpec(n, k["pkey_col"], k["time_col"], k["fkey_col_to_pkey_table"]) for n, k in keys.items()]
+    else:
+        found = [footer_keys(spark, p) for p in _paths(spark, f"{path}/db/*.parquet") if keep(_stem(p))]
+    names, other = {s.name for s in found}, targets or {}
+    specs = {s.name: TableSpec(s.name, s.pkey, s.time_col, {c: t for c, p in s.fkeys.items() if (t := other.get((s.name, c), p)) in names}) for s in found}
+    return RelationalDB({n: spark.read.parquet(f"{path}/db/{n}.parquet") for n in specs}, specs)
+
+
+def footer_keys(spark: SparkSession, path: str) -> TableSpec:
+    """The keys that a Parquet file's own footer names (``pkey_col``, ``time_col``, ``fkey_col_to_pkey_table``, each JSON).
+
+    The file, or the first of a folder, may be in any store that the session can read; only its footer is.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path((_paths(spark, f"{path}/*.parquet") or [path])[0])
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+    try:
+        meta = dict(reader.getFooter().getFileMetaData().getKeyValueMetaData())
+    finally:
+        reader.close()
+    get = lambda k, none: json.loads(meta[k]) if k in meta else none
     return TableSpec(_stem(path), get("pkey_col", None), get("time_col", None), get("fkey_col_to_pkey_table", None) or {})
 
 
@@ -76,6 +91,27 @@ def write_graph(path: str, nodes: DataFrame, edges: DataFrame, dictionary: DataF
     catalog.coalesce(1).write.parquet(f"{path}/tables.parquet")
 
 
+def write_embeddings(vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding") -> None:
+    """Vectors of dictionary entries, in order of their ids, as files of id and vector; one id twice is an error of the caller's."""
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("embedding"))
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/embeddings.parquet")
+
+
+def embedded(cells: DataFrame, spark: SparkSession, path: str, key: str = "class_id") -> DataFrame:
+    """Cells with the vector of their dictionary id; null where there is none."""
+    stored = spark.read.parquet(f"{path}/embeddings.parquet").withColumnRenamed("id", key)
+    return cells.join(stored, key, "left")
+
+
+def write_predictions(preds: DataFrame, path: str, task: str, split: str = "test") -> None:
+    """Predictions of a task's split, one file each split and task; what was there is replaced."""
+    preds.write.mode("overwrite").parquet(f"{path}/predictions/{task}/{split}.parquet")
+
+
+def read_predictions(spark: SparkSession, path: str, task: str, split: str = "test") -> DataFrame:
+    return spark.read.parquet(f"{path}/predictions/{task}/{split}.parquet")
+
+
 def column_id(dictionary: DataFrame, column: str, table: str) -> int:
     """The dictionary id of a column; an unknown one is an error."""
     row = dictionary.filter((F.col("kind") == "column") & (F.col("text") == f"{column} of {table}")).first()

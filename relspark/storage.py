@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,14 +15,22 @@ from pyspark.sql.window import Window
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    the session names none, as in local tests.
+    The folder is the session's ``spark.checkpoint.dir``. A session on one machine that names none gets a
+    temporary one, as in local tests; on a cluster it is an error, as executors share no local folder.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") -> DataFrame:
@@ -50,9 +59,27 @@ def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column
     return met.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("__rn") - F.col("__first")).alias(name))
 
 
+#: Rows of one window without groups.
+WINDOW_ROWS = 65_536
+
+
+def sums_before(df: DataFrame, order: str, value: str, name: str, step: int = 1024) -> DataFrame:
+    """``df(order long, value)``, one row for each ``order`` at most, with ``name``: the sum of ``value`` over all smaller ``order``.
+
+    More than WINDOW_ROWS rows are summed in blocks of ``step`` first, and the blocks in turn.
+    """
+    before = lambda w: F.coalesce(F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if df.count() <= WINDOW_ROWS:
+        return df.withColumn(name, before(Window.partitionBy()))
+    rows = df.withColumn("__b", F.floor(F.col(order) / step).cast("long"))
+    blocks = checkpointed(rows.groupBy("__b").agg(F.sum(value).alias(value)))
+    below = sums_before(blocks, "__b", value, "__below", step).select("__b", "__below")
+    inside = rows.withColumn(name, before(Window.partitionBy("__b")))
+    return inside.join(below, "__b").withColumn(name, F.col(name) + F.col("__below")).select(*df.columns, name)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to a new folder beside the checkpoints and read back: smaller than a checkpoint, and read by column."""
-    checkpointed(df.sparkSession.range(1))
-    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspark.storage import shared_folder
+
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """``{folder}/{table}.parquet`` as a stream, a file or folder of files at a time."""
@@ -43,16 +45,18 @@ def with_parent(stream: DataFrame, parent: DataFrame, key: str, parent_key: str)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """The result of ``stream`` over all that is there now, through a table in the shared checkpoint folder."""
-    from relspark.storage import checkpointed
+    """The result of ``stream`` over all that is there now, through a table in the shared checkpoint folder.
 
+    Each batch has a folder of its own, which it overwrites: a batch that is played again after a failure
+    leaves no row twice. In mode complete the last batch is the result.
+    """
     spark = stream.sparkSession
-    checkpointed(spark.range(1))
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/none")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'last' if mode == 'complete' else number}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")

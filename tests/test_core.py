@@ -160,3 +160,23 @@ def test_task_lists(spark):
     assert tasks.cut_times("2020-01-01", "2020-01-10") == ("2020-01-09", "2020-01-10")
     nodes = spark.createDataFrame([(1, "db"), (2, "train")], "node long, split string")
     assert [r.node for r in tasks.without_database_rows(nodes).collect()] == [2]
+
+
+def test_a_hub_of_many_children_and_seeds(spark):
+    """100,000 children of one parent, each of them a seed: a hop makes width rows a seed, spread over what a seed can see."""
+    edges = spark.range(100_000).select(F.col("id").alias("child_key"), F.lit(-1).cast("long").alias("parent_key"), (F.col("id") * 7 % 100_000).alias("child_ts"))
+    seeds = edges.select(F.col("child_key").alias("seed_key"), F.col("child_ts").alias("seed_ts"), F.col("parent_key").alias("node"))
+    got = sampler.capped_children(seeds, edges, 4)
+    n = got.agg(F.count("*").alias("n"), F.count_if(F.col("child_ts") > F.col("seed_ts")).alias("late"), F.avg(F.col("child_ts") / F.greatest("seed_ts", F.lit(1))).alias("mean")).first()
+    assert n.n == 4 * 99_997 + 1 + 2 + 3 and n.late == 0 and 0.49 < n["mean"] < 0.51
+    assert got.groupBy("seed_key").agg(F.count_distinct("child_key").alias("n")).filter("n < 4").count() == 3
+
+
+def test_task_rows_are_for_seeds_of_their_table(spark):
+    edges = spark.createDataFrame([(1, 0, 5, None), (2, 0, 6, None), (3, 0, 7, None), (10, 0, 1, "a"), (11, 0, 2, "a"), (12, 0, 9, "a"), (20, 0, None, "b")], "child_key long, parent_key long, child_ts long, task string")
+    seeds = spark.createDataFrame([(100, 8, 0, "a"), (101, 8, 0, None), (102, 8, 0, "b"), (103, None, 0, "a")], "seed_key long, seed_ts long, node long, task string")
+    got = {}
+    for r in sampler.capped_children(seeds, edges, 2).collect():
+        got.setdefault(r.seed_key, []).append(r.child_key)
+    assert sorted(x for x in got[100] if x >= 10) == [10, 11] and sorted(x for x in got[102] if x >= 10) == [20]
+    assert all(len([x for x in got[k] if x < 10]) == 2 for k in (100, 101, 102)) and len(got[101]) == 2 and 103 not in got
