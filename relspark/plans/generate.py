@@ -14,7 +14,7 @@ from relspark.functions.series import even_dates
 from relspark.operators.stats import TRANSFORMS, first_of
 from relspark.plans.dag import sample_dag
 from relspark.plans.hsbm import assign
-from relspark.plans.scm import STRATEGIES, Scm, propagate, quantize
+from relspark.plans.scm import STRATEGIES, Scm, propagate
 from relspark.storage import checkpointed
 
 SCHEMA_LAYOUTS = ("BarabasiAlbert", "ReverseRandomTree", "WattsStrogatz")
@@ -121,11 +121,10 @@ def generate(spark: SparkSession, plans: dict[str, TablePlan], config: DatabaseC
             up = raw[q].select(F.col("row_idx").alias(f"{q}_id"), *(F.col(c).cast("double").alias(x) for c, x in zip(take, names, strict=True)))
             df = df.join(up, f"{q}_id")
             foreign += names
-        lazy = str(r.choice(STRATEGIES)) == "lazy"
-        scm = Scm.sample(dict.fromkeys(p.columns, 0) if lazy else p.columns, p.seed, len(foreign))
+        strategy = STRATEGIES[str(r.choice(sorted(STRATEGIES)))]
+        scm = Scm.sample(strategy.modelled(p.columns), p.seed, len(foreign))
         made = propagate(df, "row_idx", size[n], scm, foreign).drop(*foreign)
-        if lazy and any(p.columns.values()):
-            made = quantize(checkpointed(made), "row_idx", size[n], {c: k for c, k in p.columns.items() if k}, p.seed)
+        made = strategy.finished(made, "row_idx", size[n], p.columns, p.seed)
         if p.is_activity:
             made = made.withColumn("date", even_dates(F.col("row_idx").cast("double"), size[n], config.start, config.end))
         raw[n] = checkpointed(made)

@@ -79,3 +79,17 @@ def assign(children: DataFrame, key: str, n_children: int, n_parents: int, child
     drawn = children.withColumns({"__cb": base_cluster(F.col(key), n_children, child_levels), "__u": unit(seed, "cluster", F.col(key)), "__v": unit(seed, "member", F.col(key))})
     met = drawn.join(F.broadcast(cdf), (F.col("__cb") == F.col("cb")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")))
     return met.select(*children.columns, (F.col("first") + F.floor(F.col("__v") * F.col("size"))).cast("long").alias(name))
+
+
+def pair_weight(a: int, b: int, parents: list[int], children: list[int], seed: int) -> float:
+    """The weight of one pair of finest clusters: the product of the levels' weights of their digits."""
+    out = 1.0
+    for k, p in enumerate(level_matrices(parents, children, seed)):
+        out *= p[a // math.prod(parents[k + 1 :]) % parents[k], b // math.prod(children[k + 1 :]) % children[k]]
+    return float(out)
+
+
+def bipartite(children: DataFrame, key: str, n_children: int, n_parents: int, child_levels: list[int], parent_levels: list[int], seed: int = 0) -> DataFrame:
+    """``parent, child`` with the finest cluster of either, ``parent_cluster, child_cluster``: the graph as a table of edges, one for each child."""
+    edges = assign(children.select(key), key, n_children, n_parents, child_levels, parent_levels, seed)
+    return edges.select("parent", F.col(key).alias("child"), base_cluster(F.col("parent"), n_parents, parent_levels).alias("parent_cluster"), base_cluster(F.col(key), n_children, child_levels).alias("child_cluster"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.plans.dag import LAYOUTS, Dag, sample_dag
+from relspark.storage import checkpointed
 
 
 def _fold(xs: Column, start: float, step: Callable) -> Column:
@@ -93,14 +95,29 @@ ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "sine_mix": lambda x: (np.sin(x) + np.sin(2.3 * x + 0.7) + np.sin(0.4 * x - 1.1)) / 3,
 }
 
+def _truncated(r: np.random.Generator, i: int, o: int) -> np.ndarray:
+    """Standard normals within two deviations."""
+    x = r.normal(size=(i, o))
+    while (far := np.abs(x) > 2).any():
+        x[far] = r.normal(size=int(far.sum()))
+    return x
+
+
+def _sparse(r: np.random.Generator, i: int, o: int) -> np.ndarray:
+    """Small normals, half of each output's inputs zero."""
+    x = r.normal(0, 0.01, (i, o))
+    x[r.permuted(np.tile(np.arange(i)[:, None], o), axis=0) < -(-i // 2)] = 0
+    return x
+
+
 #: Weight initialisers by name: (generator, inputs, outputs) -> matrix.
 INITIALISERS: dict[str, Callable] = {
-    "normal": lambda r, i, o: r.normal(0, 1, (i, o)),
-    "uniform": lambda r, i, o: r.uniform(-1, 1, (i, o)),
+    "kaiming_normal": lambda r, i, o: r.normal(0, math.sqrt(2 / i), (i, o)),
+    "kaiming_uniform": lambda r, i, o: r.uniform(-1, 1, (i, o)) * math.sqrt(6 / i),
     "xavier_normal": lambda r, i, o: r.normal(0, math.sqrt(2 / (i + o)), (i, o)),
     "xavier_uniform": lambda r, i, o: r.uniform(-1, 1, (i, o)) * math.sqrt(6 / (i + o)),
-    "kaiming_normal": lambda r, i, o: r.normal(0, math.sqrt(2 / i), (i, o)),
-    "orthogonal": lambda r, i, o: np.linalg.qr(r.normal(size=(max(i, o), max(i, o))))[0][:i, :o],
+    "trunc_normal": _truncated,
+    "sparse": _sparse,
 }
 
 
@@ -141,30 +158,121 @@ class Mlp:
         return np.clip(x @ self.weights[-1], -1e6, 1e6)
 
 
+@lru_cache(maxsize=1024)
+def _beta_table(a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points t and the distribution function of sin(t)^2 there, for a variable of Beta(a, b) with a, b >= 1/2."""
+    t = np.linspace(0, np.pi / 2, 2049)
+    w = np.sin(t) ** (2 * a - 1) * np.cos(t).clip(0) ** (2 * b - 1)
+    run = np.concatenate(([0.0], np.cumsum((w[1:] + w[:-1]) / 2)))
+    return t, run / run[-1]
+
+
 def _beta(u: np.ndarray, a: float, b: float) -> np.ndarray:
-    """Draws of Kumaraswamy's distribution: shaped like Beta(a, b), with an inverse in closed form."""
-    return (1 - (1 - u) ** (1 / b)) ** (1 / a)
+    """Draws of Beta(a, b) by its inverse distribution function, to a grid of 2048 cells."""
+    t, run = _beta_table(a, b)
+    return np.sin(np.interp(u, run, t)) ** 2
 
 
 EMBEDDING = 8
-#: Kinds of source nodes: uniform, clipped normal, beta-like, a trend with a cycle over the row's place, and a mixture of these by row.
-SOURCES = ("uniform", "gaussian", "beta", "ts", "mixed")
+#: Random streams of a node.
+STREAMS = 64
+
+
+@dataclass(frozen=True)
+class Source:
+    """What a source node draws by row: the parameters of all kinds, of which its kind uses some."""
+
+    kind: str
+    a: float
+    b: float
+    rho: float
+    shares: tuple[float, ...]
+
+    @classmethod
+    def sample(cls, r: np.random.Generator, categories: int) -> Source:
+        shares = r.dirichlet(np.ones(categories)) if categories else ()
+        return cls(str(r.choice(sorted(SOURCES))), float(r.uniform(0.5, 5)), float(r.uniform(0.05, 0.5)), float(r.uniform(0, 0.9)), tuple(map(float, shares)))
+
+
+class Draws:
+    """Uniforms of a node's streams for some rows of a table of ``n``."""
+
+    def __init__(self, seed: int, node: int, rows: np.ndarray, n: int):
+        self.seed, self.node, self.rows, self.n = seed, node, rows, max(n, 1)
+
+    def uniform(self, stream: int, rows: np.ndarray | None = None) -> np.ndarray:
+        return _counter(self.seed, STREAMS * self.node + stream, self.rows if rows is None else rows)
+
+    def normal(self, stream: int, rows: np.ndarray | None = None) -> np.ndarray:
+        return _normal(self.uniform(stream, rows), self.uniform(stream + 1, rows))
+
+    def ar1(self, stream: int, rho: float) -> np.ndarray:
+        """AR(1) noise at the rows, from as many noises before each as weigh more than 1e-9."""
+        taps = rho ** np.arange(1 if rho == 0 else math.ceil(math.log(1e-9) / math.log(rho)))
+        low, high = int(self.rows.min()), int(self.rows.max())
+        if high - low <= 8 * len(self.rows):
+            e = self.normal(stream, np.arange(low - len(taps) + 1, high + 1))
+            e[: max(0, len(taps) - 1 - low)] = 0  # before the table
+            return np.convolve(e, taps, "valid")[self.rows - low]
+        return sum(w * np.where(self.rows >= k, self.normal(stream, self.rows - k), 0) for k, w in enumerate(taps))
+
+    def series(self, stream: int, s: Source, shift: float = 0.0) -> np.ndarray:
+        """Trend, cycle and AR(1) noise over the rows' places, each within -1 and 1, averaged."""
+        at = self.rows / self.n
+        noise = np.clip(s.b * self.ar1(stream, s.rho), -1, 1)
+        return (np.minimum(2 * at ** min(s.a + shift, 2.0) - 1, 1) + np.sin(np.pi * (at / s.b + shift)) + noise) / 3
+
+
+def _category(u: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The first category whose running share exceeds ``u``; ``shares`` are one row for all or one a row."""
+    run = np.cumsum(np.atleast_2d(shares), axis=1)
+    return np.minimum((u[:, None] >= run / run[:, -1:]).sum(axis=1), run.shape[1] - 1).astype(float)
+
+
+def _independent(d: Draws, s: Source) -> np.ndarray:
+    return _category(d.uniform(6), np.array(s.shares))
+
+
+def _series_category(d: Draws, s: Source) -> np.ndarray:
+    """A draw from the softmax of a series for each category."""
+    x = np.exp(np.stack([d.series(8 + 2 * (k % 20), s, k / len(s.shares)) for k in range(len(s.shares))], axis=1))
+    return _category(d.uniform(6), x)
+
+
+def _mixed(d: Draws, s: Source) -> np.ndarray:
+    each = [SOURCES[k][0](d, s) for k in ("uniform", "gaussian", "beta")]
+    return np.choose(np.floor(3 * d.uniform(7)).astype(int), each)
+
+
+#: Kinds of source nodes by name: a number in [-1, 1], and a category, from a node's draws.
+SOURCES: dict[str, tuple[Callable[[Draws, Source], np.ndarray], Callable[[Draws, Source], np.ndarray]]] = {
+    "uniform": (lambda d, s: 2 * d.uniform(0) - 1, _independent),
+    "gaussian": (lambda d, s: np.clip(d.normal(1) / 2, -1, 1), _independent),
+    "beta": (lambda d, s: 2 * _beta(d.uniform(3), s.a, 10 * s.b) - 1, _independent),
+    "ts": (lambda d, s: d.series(4, s), _series_category),
+    "mixed": (_mixed, _independent),
+}
 
 
 @dataclass
 class Scm:
-    """A table's causal graph. Some nodes are its columns; ``categories`` holds the number of categories, 0 for a number."""
+    """A table's causal graph. Some nodes are its columns; ``categories`` holds the number of categories, 0 for a number.
+
+    Values are encoded along edges, numbers as they are and categories by an embedding, aggregated with the noise of
+    the node, and decoded: a number as an output, a category as that of the most similar embedding.
+    """
 
     seed: int
     dag: Dag
     columns: dict[str, int]
     categories: dict[int, int]
-    sources: dict[int, tuple[str, float, float]]
+    sources: dict[int, Source]
+    embeddings: dict[int, np.ndarray]
     encoders: dict[tuple[int, int], Mlp]
     decoders: dict[int, Mlp]
-    aggregation: str
+    aggregation: dict[int, str]
     noise: dict[int, tuple[float, float]]
-    foreign: dict[int, Mlp] = field(default_factory=dict)
+    foreign: dict[tuple[int, int], Mlp] = field(default_factory=dict)
     n_foreign: int = 0
 
     @classmethod
@@ -174,53 +282,51 @@ class Scm:
         n = len(columns) + math.ceil(len(columns) / r.uniform(0.3, 0.9)) + 3
         dag = sample_dag(n, layout or str(r.choice(sorted(LAYOUTS))), seed)
         at = r.choice(n, len(columns), replace=False).tolist()
-        categories = {v: int(r.choice([0, 0, *range(2, 11)])) for v in range(n)}
+        categories = {v: int(r.integers(2, 11)) if r.random() < 0.5 else 0 for v in range(n)}
         categories |= dict(zip(at, columns.values(), strict=True))
         roots = [v for v in range(n) if not dag.parents(v)]
+        inner = [v for v in range(n) if v not in roots]
         return cls(
             seed, dag, dict(zip(columns, at, strict=True)), categories,
-            {v: (str(r.choice(SOURCES)), float(r.uniform(0.5, 5)), float(r.uniform(0.05, 0.5))) for v in roots},
-            {e: Mlp.sample(r, 1, EMBEDDING) for e in dag.edges},
-            {v: Mlp.sample(r, EMBEDDING, max(1, categories[v])) for v in range(n) if v not in roots},
-            str(r.choice(sorted(_ARRAYS))),
-            {v: (float(r.uniform(0.5, 5)), float(r.uniform(0.5, 5))) for v in range(n)},
-            {v: Mlp.sample(r, n_foreign, EMBEDDING) for v in range(n) if v not in roots} if n_foreign else {},
+            {v: Source.sample(r, categories[v]) for v in roots},
+            {v: r.normal(size=(k, EMBEDDING)) for v, k in categories.items() if k},
+            {(p, v): Mlp.sample(r, EMBEDDING if categories[p] else 1, EMBEDDING) for p, v in dag.edges},
+            {v: Mlp.sample(r, EMBEDDING, EMBEDDING if categories[v] else 1) for v in inner},
+            {v: str(r.choice(sorted(_ARRAYS))) for v in inner},
+            {v: (float(r.uniform(0.5, 5)), float(r.uniform(0.5, 5))) for v in inner},
+            {(f, v): Mlp.sample(r, 1, EMBEDDING) for f in range(n_foreign) for v in inner},
             n_foreign,
         )
 
-    def _source(self, v: int, rows: np.ndarray, n: int) -> np.ndarray:
-        kind, a, b = self.sources[v]
-        u, w = _counter(self.seed, 4 * v, rows), _counter(self.seed, 4 * v + 1, rows)
-        of = {
-            "uniform": lambda: 2 * u - 1,
-            "gaussian": lambda: np.clip(_normal(u, w) / 2, -1, 1),
-            "beta": lambda: 2 * _beta(u, a, 10 * b) - 1,
-            "ts": lambda: (np.minimum((rows / max(n, 1)) ** min(a, 2.0) * 2 - 1, 1) + np.sin(np.pi * rows / max(b * n, 1)) + b * (2 * u - 1)) / 3,
-        }
-        if kind == "mixed":
-            which = np.floor(3 * _counter(self.seed, 4 * v + 3, rows)).astype(int)
-            x = np.choose(which, [of["uniform"](), of["gaussian"](), of["beta"]()])
-        else:
-            x = of[kind]()
-        k = self.categories[v]
-        return np.minimum(np.floor((x + 1) / 2 * k), k - 1) if k else x
+    def encoded(self, p: int, v: int, value: np.ndarray) -> np.ndarray:
+        """The embedding of node ``p``'s value on its edge to ``v``."""
+        return self.encoders[p, v](self.embeddings[p][value.astype(int)] if self.categories[p] else value[:, None])
+
+    def decoded(self, v: int, x: np.ndarray) -> np.ndarray:
+        out = self.decoders[v](x)
+        return (out @ self.embeddings[v].T).argmax(axis=1).astype(float) if self.categories[v] else out[:, 0]
+
+    def node_noise(self, v: int, rows: np.ndarray) -> np.ndarray:
+        """A draw of the node's Beta distribution for each dimension of each row, over their number."""
+        d = Draws(self.seed, v, rows, 1)
+        return np.stack([_beta(d.uniform(50 + k), *self.noise[v]) for k in range(EMBEDDING)], axis=1) / EMBEDDING
 
     def run(self, rows: np.ndarray, n: int, foreign: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """The columns' values for these rows of a table of ``n``; ``foreign`` holds their parents' features. Sources ignore it."""
         values: dict[int, np.ndarray] = {}
         for layer in self.dag.generations():
             for v in layer:
-                up = self.dag.parents(v)
-                if not up:
-                    values[v] = self._source(v, rows, n)
+                if v in self.sources:
+                    s = self.sources[v]
+                    values[v] = SOURCES[s.kind][bool(self.categories[v])](Draws(self.seed, v, rows, n), s)
                     continue
-                parts = [np.clip(self.dag.edges[p, v] * self.encoders[p, v](values[p][:, None]), -1e4, 1e4) for p in up]
-                if foreign is not None and self.foreign:
-                    weight = 1 / (len(up) + 1) if self.aggregation == "sum" else 1.0
-                    parts.append(np.clip(weight * self.foreign[v](np.nan_to_num(foreign)), -1e4, 1e4))
-                noise = _beta(_counter(self.seed, 4 * v + 2, rows), *self.noise[v]) / EMBEDDING
-                out = self.decoders[v](np.clip(noise[:, None] + _ARRAYS[self.aggregation](np.stack(parts)), -1e6, 1e6))
-                values[v] = out.argmax(axis=1).astype(float) if self.categories[v] else out[:, 0]
+                how = self.aggregation[v]
+                parts = [self.dag.edges[p, v] * self.encoded(p, v, values[p]) for p in self.dag.parents(v)]
+                if foreign is not None and self.n_foreign:
+                    weight = 1 / self.n_foreign if how == "sum" else 1.0
+                    parts += [weight * self.foreign[f, v](np.nan_to_num(foreign[:, f : f + 1])) for f in range(self.n_foreign)]
+                met = _ARRAYS[how](np.stack([np.clip(x, -1e4, 1e4) for x in parts]))
+                values[v] = self.decoded(v, np.clip(self.node_noise(v, rows) + met, -1e6, 1e6))
         return {c: values[v] for c, v in self.columns.items()}
 
 
@@ -241,8 +347,31 @@ def quantize(rows: DataFrame, key: str, n: int, columns: dict[str, int], seed: i
     return rows
 
 
-#: How a table's categories come about: decoded inside the model, or as numbers that are cut afterwards.
-STRATEGIES = ("eager", "lazy")
+class Eager:
+    """Categories are nodes of the model and decoded inside it."""
+
+    def modelled(self, columns: dict[str, int]) -> dict[str, int]:
+        """The columns as the model has them."""
+        return columns
+
+    def finished(self, rows: DataFrame, key: str, n: int, columns: dict[str, int], seed: int) -> DataFrame:
+        """The table, from what the model made."""
+        return rows
+
+
+class Lazy(Eager):
+    """The model has numbers only; categories are cut from them afterwards."""
+
+    def modelled(self, columns: dict[str, int]) -> dict[str, int]:
+        return dict.fromkeys(columns, 0)
+
+    def finished(self, rows: DataFrame, key: str, n: int, columns: dict[str, int], seed: int) -> DataFrame:
+        cut = {c: k for c, k in columns.items() if k}
+        return quantize(checkpointed(rows), key, n, cut, seed) if cut else rows
+
+
+#: How a table's categories come about, by name.
+STRATEGIES: dict[str, Eager] = {"eager": Eager(), "lazy": Lazy()}
 
 
 def propagate(rows: DataFrame, key: str, n: int, scm: Scm, foreign: list[str] | None = None) -> DataFrame:

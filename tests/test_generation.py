@@ -6,7 +6,8 @@ from relspark.catalog import SchemaError, TableSpec, entity_tables, to_dot, topo
 from relspark.plans import hsbm
 from relspark.plans.dag import LAYOUTS, WEIGHTS, sample_dag
 from relspark.plans.generate import DatabaseConfig, make_database, plan_schema
-from relspark.plans.scm import ACTIVATIONS, INITIALISERS, Scm, propagate
+from relspark.plans import scm
+from relspark.plans.scm import ACTIVATIONS, INITIALISERS, SOURCES, STRATEGIES, Scm, propagate
 from relspark.sources.ddl import parse_ddl, schema_edges
 
 SHOP = """
@@ -60,6 +61,9 @@ def test_registries():
         assert np.isfinite(f(x)).all()
     assert len(ACTIVATIONS) == 29 and len(INITIALISERS) == 6 and len(WEIGHTS) == 4
     assert abs(ACTIVATIONS["gelu"](np.array([1.0]))[0] - 0.8413447) < 1e-6 and ACTIVATIONS["hardswish"](np.array([1.0]))[0] == 4 / 6
+    r = np.random.default_rng(0)
+    assert all(f(r, 6, 5).shape == (6, 5) for f in INITIALISERS.values()) and (INITIALISERS['sparse'](r, 6, 5) == 0).sum() == 15
+    assert len(SOURCES) == 5 and set(STRATEGIES) == {'eager', 'lazy'}
     with pytest.raises(ValueError):
         sample_dag(3, "Ring", 0)
 
@@ -107,3 +111,50 @@ def test_database_from_ddl(spark):
     assert set(db.tables) == {"people", "items", "sales"}
     assert {r.level for r in db.tables["people"].select("level").distinct().collect()} <= {"low", "mid", "it's high"}
     assert "date" in db.tables["sales"].columns and "date" not in db.tables["items"].columns
+
+
+def test_scm_is_the_plain_loop():
+    """Each row on its own, each node in turn, with scalars."""
+    for seed in range(4):
+        m = Scm.sample({"n": 0, "c": 4}, seed, n_foreign=2)
+        rows, up = np.arange(3, 40, 3), np.random.default_rng(seed).normal(size=(13, 2))
+        got = m.run(rows, 50, up)
+        for i, row in enumerate(rows):
+            value = {}
+            for v in (v for layer in m.dag.generations() for v in layer):
+                if v in m.sources:
+                    value[v] = SOURCES[m.sources[v].kind][m.categories[v] > 0](scm.Draws(m.seed, v, np.array([row]), 50), m.sources[v])[0]
+                    continue
+                each = []
+                for p in m.dag.parents(v):
+                    x = m.embeddings[p][int(value[p])] if m.categories[p] else np.array([value[p]])
+                    each.append(np.clip(m.dag.edges[p, v] * m.encoders[p, v](x[None])[0], -1e4, 1e4))
+                each += [np.clip(m.foreign[f, v](np.array([[up[i, f]]]))[0] * (0.5 if m.aggregation[v] == "sum" else 1), -1e4, 1e4) for f in range(2)]
+                met = {"sum": np.sum, "max": np.max, "product": np.prod, "logexp": np.logaddexp.reduce}[m.aggregation[v]](np.array(each), axis=0)
+                out = m.decoders[v](np.clip(m.node_noise(v, np.array([row]))[0] + met, -1e6, 1e6)[None])[0]
+                value[v] = float(np.argmax(m.embeddings[v] @ out)) if m.categories[v] else out[0]
+            assert all(np.isclose(got[c][i], value[v], rtol=1e-6, atol=1e-9) for c, v in m.columns.items())
+
+
+def test_sources_have_their_distributions():
+    rows = np.arange(20_000)
+    d = scm.Draws(3, 5, rows, len(rows))
+    s = scm.Source("beta", 2.0, 0.3, 0.8, (0.1, 0.6, 0.3))
+    x = (SOURCES["beta"][0](d, s) + 1) / 2
+    assert abs(x.mean() - 2 / 5) < 0.01 and abs(x.var() - 6 / (25 * 6)) < 0.005
+    share = np.bincount(SOURCES["uniform"][1](d, s).astype(int), minlength=3) / len(rows)
+    assert np.allclose(share, s.shares, atol=0.02)
+    a = d.ar1(4, 0.8)
+    assert abs(np.corrcoef(a[1:], a[:-1])[0, 1] - 0.8) < 0.02 and abs(a.std() - 1 / 0.6) < 0.08
+    some = np.array([19_999, 5, 700])
+    assert np.allclose(scm.Draws(3, 5, some, len(rows)).ar1(4, 0.8), a[some], atol=1e-8)
+    for number, category in SOURCES.values():
+        x, k = number(d, s), category(d, s)
+        assert np.isfinite(x).all() and np.abs(x).max() <= 1 and set(np.unique(k)) <= {0.0, 1.0, 2.0}
+
+
+def test_bipartite_edges(spark):
+    got = hsbm.bipartite(spark.range(60), "id", 60, 30, [2, 3], [2, 3], 4).collect()
+    assert len(got) == 60 and sorted(r.child for r in got) == list(range(60)) and all(0 <= r.parent < 30 and r.parent_cluster == r.parent // 5 and r.child_cluster == r.child // 10 for r in got)
+    near = sum(r.parent_cluster == r.child_cluster for r in got)
+    assert near > 45 and hsbm.pair_weight(4, 4, [2, 3], [2, 3], 4) == 0.9 * 0.9
