@@ -99,6 +99,16 @@ def database_cells(db: RelationalDB) -> DataFrame:
     return reduce(DataFrame.unionByName, [table_cells(db, n).withColumn("table", F.lit(n)) for n in db.specs])
 
 
+def node_records(cell: DataFrame, edge: DataFrame) -> DataFrame:
+    """``table, node_key, cells, parents``: each row's cells in order of column, and its parents in order of foreign key.
+
+    ``cell`` is as ``database_cells`` gives it, ``edge`` as ``edges``. Both arrays are as long as a row is wide at most.
+    """
+    each = cell.groupBy("table", "node_key").agg(F.array_sort(F.collect_list(F.struct("column", "sem_type", "num", "txt"))).alias("cells"))
+    up = edge.groupBy(F.col("child_table").alias("table"), F.col("child_key").alias("node_key")).agg(F.array_sort(F.collect_list(F.struct("fk_col", "parent_table", "parent_key"))).alias("parents"))
+    return each.join(up, ["table", "node_key"], "full").withColumn("parents", F.coalesce("parents", F.array().cast(up.schema["parents"].dataType))).withColumn("cells", F.coalesce("cells", F.array().cast(each.schema["cells"].dataType)))
+
+
 def class_ids(cell: DataFrame, words: DataFrame) -> DataFrame:
     """Text cells with the dictionary id of their value."""
     values = words.filter("kind = 'value'").select(F.col("id").alias("class_id"), F.col("text").alias("v"))

@@ -118,7 +118,9 @@ def leaks(column: Column, dropped: list[str], node: Column, seed: Column, ts: Co
 
 
 def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFrame, hops: int, width: int, length: int, target: str, dropped: list[str], seed: int = 0) -> DataFrame:
-    """``seed_key, node, depth, ts, column, ..., pos, is_target``: each seed's context, its cells in order of column and node.
+    """``seed_key, node, depth, ts, parents, column, ..., pos, is_target``: each seed's context, its cells in order of column and node.
+
+    ``parents`` holds the nodes that the cell's row refers to.
 
     ``seeds(seed_key, seed_ts, node)``, ``edges(child_key, parent_key, child_ts)``, ``times(node, ts)`` and
     ``cells(node, column, ...)``. Visits stop before the cells reach ``length``; leaking cells go after that, and at
@@ -127,7 +129,8 @@ def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFr
     sizes = checkpointed(cells.groupBy("node").agg(F.count("*").alias("n_cells")))
     visits = expand(seeds, edges, hops, width, seed, sizes, length)
     seen = within_budget(visits.join(sizes, "node", "left").fillna(0, ["n_cells"]), "n_cells", length)
-    rows = seen.join(times, "node", "left").join(seeds.select("seed_key", "seed_ts", F.col("node").alias("seed_node")), "seed_key").join(cells, "node")
+    parents = edges.groupBy(F.col("child_key").alias("node")).agg(F.sort_array(F.collect_set("parent_key")).alias("parents"))
+    rows = seen.join(times, "node", "left").join(parents, "node", "left").join(seeds.select("seed_key", "seed_ts", F.col("node").alias("seed_node")), "seed_key").join(cells, "node")
     kept = rows.filter(~leaks(F.col("column"), dropped, F.col("node"), F.col("seed_node"), F.col("ts"), F.col("seed_ts")))
     w = Window.partitionBy("seed_key").orderBy("column", "node")
     marked = kept.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < length)

@@ -286,6 +286,19 @@ def valid_db(spark, sf_dir):
     return open_database(spark, sf_dir).key_counts()
 
 
+@query(
+    f"""SELECT "table", node_key, coalesce(n_cells, 0) AS n_cells, coalesce(columns, '') AS columns, coalesce(parents, '') AS parents
+    FROM (SELECT "table", node_key, count(*) AS n_cells, string_agg("column", ',' ORDER BY "column") AS columns FROM ({_ALL_CELLS_SQL}) GROUP BY ALL)
+    FULL JOIN (SELECT child_table AS "table", child_key AS node_key, string_agg(parent_table || ':' || parent_key, ',' ORDER BY fk_col) AS parents FROM ({_EDGES_SQL}) GROUP BY ALL) USING ("table", node_key)"""
+)
+def node_records(spark, sf_dir):
+    """Every row of every table with its cells and parents."""
+    db = open_database(spark, sf_dir)
+    made = graph.node_records(graph.database_cells(db), graph.edges(db))
+    parents = F.transform("parents", lambda p: F.concat_ws(":", p["parent_table"], p["parent_key"]))
+    return made.select("table", "node_key", F.size("cells").cast("long").alias("n_cells"), F.array_join("cells.column", ",").alias("columns"), F.array_join(parents, ",").alias("parents"))
+
+
 # ---- sampler: orders are seeds, customers their parents; node ids are customers first, then orders
 
 _NODES = "(SELECT (SELECT count(*) FROM customer) + o_orderkey AS child_key, o_custkey AS parent_key, epoch(o_orderdate)::BIGINT AS child_ts FROM orders)"

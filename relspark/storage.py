@@ -71,11 +71,13 @@ def sums_before(df: DataFrame, order: str, value: str, name: str, step: int = 10
     before = lambda w: F.coalesce(F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if df.count() <= WINDOW_ROWS:
         return df.withColumn(name, before(Window.partitionBy()))
-    rows = df.withColumn("__b", F.floor(F.col(order) / step).cast("long"))
-    blocks = checkpointed(rows.groupBy("__b").agg(F.sum(value).alias(value)))
-    below = sums_before(blocks, "__b", value, "__below", step).select("__b", "__below")
-    inside = rows.withColumn(name, before(Window.partitionBy("__b")))
-    return inside.join(below, "__b").withColumn(name, F.col(name) + F.col("__below")).select(*df.columns, name)
+    name_of = f"{order}_block"
+    block = F.floor(F.col(order) / step).cast("long").alias(name_of)
+    blocks = checkpointed(df.groupBy(block).agg(F.sum(value).alias("total")))
+    below = sums_before(blocks, name_of, "total", "below", step).select(name_of, "below").alias("b")
+    inside = df.select("*", block).withColumn("inside", before(Window.partitionBy(name_of))).alias("i")
+    met = inside.join(below, F.col(f"i.{name_of}") == F.col(f"b.{name_of}"))
+    return met.select(*(F.col(f"i.{c}") for c in df.columns), (F.col("inside") + F.col("below")).alias(name))
 
 
 def stored(df: DataFrame) -> DataFrame:

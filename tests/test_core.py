@@ -180,3 +180,65 @@ def test_task_rows_are_for_seeds_of_their_table(spark):
         got.setdefault(r.seed_key, []).append(r.child_key)
     assert sorted(x for x in got[100] if x >= 10) == [10, 11] and sorted(x for x in got[102] if x >= 10) == [20]
     assert all(len([x for x in got[k] if x < 10]) == 2 for k in (100, 101, 102)) and len(got[101]) == 2 and 103 not in got
+
+
+def test_database_by_footers_and_sinks(spark, tmp_path):
+    import json
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def put(name, table, pkey, time=None, **fkeys):
+        os.makedirs(tmp_path / "db", exist_ok=True)
+        meta = {"fkey_col_to_pkey_table": json.dumps(fkeys)} | ({"pkey_col": json.dumps(pkey)} if pkey else {}) | ({"time_col": json.dumps(time)} if time else {})
+        pq.write_table(table.replace_schema_metadata(meta), tmp_path / "db" / f"{name}.parquet")
+
+    put("a", pa.table({"k": [0, 1]}), "k")
+    put("other", pa.table({"k": [0]}), "k")
+    put("b", pa.table({"id": [0, 1], "x": [1, 0], "when": pa.array([0, 1], pa.timestamp("us"))}), "id", None, x="other", when="a")
+    db = parquet.read_database(spark, str(tmp_path), targets={("b", "x"): "a"})
+    assert db.specs["b"].fkeys == {"x": "a", "when": "a"} and db.specs["a"].pkey == "k"
+    # a key that holds times is none
+    assert {(e.fk_col, e.child_key, e.parent_key) for e in graph.edges(db).collect()} == {("x", 0, 1), ("x", 1, 0)}
+    assert set(parquet.read_database(spark, str(tmp_path), keep=lambda n: n != "other").specs) == {"a", "b"}
+
+    vectors = spark.createDataFrame([(2, [1.0, 0.5]), (0, [0.0, 1.0])], "id long, embedding array<double>")
+    parquet.write_embeddings(vectors, str(tmp_path))
+    cells = spark.createDataFrame([(7, 2), (8, 1)], "node long, class_id long")
+    assert {(r.node, tuple(r.embedding or ())) for r in parquet.embedded(cells, spark, str(tmp_path)).collect()} == {(7, (1.0, 0.5)), (8, ())}
+    for n in (1, 2):
+        parquet.write_predictions(spark.range(n), str(tmp_path), "t")
+    assert parquet.read_predictions(spark, str(tmp_path), "t").count() == 2
+
+
+def test_sums_before_and_steps(spark, monkeypatch):
+    from relspark import storage
+
+    monkeypatch.setattr(storage, "WINDOW_ROWS", 5)
+    df = spark.range(100).select((F.col("id") * 3).alias("at"), (F.col("id") % 4).alias("v")).repartition(3)
+    got = {r["at"]: r.s for r in storage.sums_before(df, "at", "v", "s", 7).collect()}
+    assert got == {3 * i: sum(j % 4 for j in range(i)) for i in range(100)}
+    assert tasks.first_steps(spark.range(10).withColumnRenamed("id", "batch"), "batch", 3).count() == 3
+
+
+def test_chained_blocks(spark, monkeypatch):
+    monkeypatch.setattr(series, "CHAINED", 3)
+    df = spark.range(500).select(F.col("id").alias("i"), (F.col("id") % 7 - 3.0).alias("e"), F.lit("x").alias("__b"))
+    state, want = 0.0, []
+    for i in range(500):
+        state = 0.95 * state + i % 7 - 3.0
+        want.append(state)
+    got = series.ar1(df, "i", "e", 0.95, block=8).orderBy("i")
+    assert got.columns == ["i", "e", "__b", "ar"] and np.allclose([r.ar for r in got.collect()], want)
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from relspark import storage
+
+    none = SimpleNamespace(isEmpty=lambda: True)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError):
+        storage.shared_folder(fake)
