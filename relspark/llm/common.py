@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 #: Rows of an Arrow batch: documents are long, and a task holds a batch several times over.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:

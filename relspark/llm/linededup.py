@@ -28,7 +28,7 @@ WRAP = 16
 APART = 6
 #: Words that a window of wrapped lines has at least; only windows with a text's first or last line can have fewer, and those repeat by chance.
 MIN_WORDS = APART * WINDOW
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
 #: Characters of the texts that are cut together, and rounds of cuts before what is left is cut one by one.
 TOGETHER, ROUNDS = 500_000, 8
 #: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
@@ -206,6 +206,8 @@ def _windows(docs: DataFrame, min_words: int, wrap: bool) -> DataFrame:
                 at, i, n, h, c = window_hashes(each, min_words, wrap)
                 row = pa.array(lo + at)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), ids.take(row), th.take(row), pa.array(i), pa.array(n)], names=["h", "c", "doc_id", "th", "i", "n"])
+        # the worker stays for other work
+        _hashes.clear()
 
     found = rows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int, n int")
     return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i", "n").alias("at"))

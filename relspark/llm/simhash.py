@@ -35,8 +35,9 @@ TILE = 512
 #: Distinct fingerprints that share a block value and are compared in one task: the mean share of
 #: a task, within these bounds. Larger buckets are cut by population count and hash into pairs of tiles over many tasks.
 LEAST_BUCKET, BUCKET = 256, 8192
-#: Rows of such a tile: an ALONG-th of its bucket, within half of the same bounds.
-ALONG = 32
+#: Rows of such a tile: an ALONG-th of its bucket, within half of the same bounds. Beyond NARROW bits, population counts
+#: keep few pairs of tiles apart, and tiles are by hash alone.
+ALONG, NARROW = 8, 8
 
 #: Min-wise keys of a text, and the seeded steps that make them.
 KEYS = 8
@@ -220,7 +221,7 @@ def bucket_links(keyed: DataFrame, radius: int, bucket: int | None = None, sketc
 
 def _hot_links(keyed: DataFrame, radius: int, bucket: int, with_sketches: Callable[[DataFrame], DataFrame], least: int) -> DataFrame:
     """The links inside large buckets: tiles by population count and hash, one task group for each pair of tiles in reach."""
-    keyed = keyed.withColumn("pc", F.bit_count("fp"))
+    keyed = keyed.withColumn("pc", F.bit_count("fp") if radius <= NARROW else F.lit(0))
     size = F.greatest(F.lit(bucket // 2), F.least(F.lit(BUCKET // 2), F.first("n") / ALONG))
     counts = keyed.groupBy("b", "v", "pc").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
     rows = keyed.join(counts, ["b", "v", "pc"]).select("b", "v", "fp", F.struct("pc", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk")).alias("tile"))
