@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relspark.functions.rng import u32, unit
-from relspark.storage import checkpointed, numbered
+from relspark.storage import checkpointed, numbered, running_within
 
 
 def visible(child_ts: Column, seed_ts: Column) -> Column:
@@ -30,22 +30,18 @@ class Adjacency:
     def __init__(self, edges: DataFrame):
         named = edges if "task" in edges.columns else edges.withColumn("task", F.lit(None).cast("string"))
         flat = named.select(F.col("parent_key").alias("node"), "child_key", "child_ts", "task")
-        rows = numbered(flat.filter("task IS NULL").drop("task"), ["node", F.col("child_ts").asc_nulls_first(), "child_key"], "at")
-        self.first = checkpointed(rows.groupBy("node").agg(F.min("at").alias("first")))
-        self.children = rows.join(self.first, "node").select("node", "child_key", "child_ts", (F.col("at") - F.col("first")).alias("rank"))
+        self.children = running_within(flat.filter("task IS NULL").drop("task"), ["node"], [F.col("child_ts").asc_nulls_first(), "child_key"], {}, place="rank")
         self.tasks = flat.filter("task IS NOT NULL")
 
     def visible_counts(self, asks: DataFrame) -> DataFrame:
         """``node, seed_ts, visible`` for each of ``asks(node, seed_ts)``: how many first children of the node can be seen from the time.
 
-        Children and asks are sorted together; an ask's place less the asks before it is the number of children before it.
+        Children and asks are sorted together, once; an ask's answer is the running count of children in its node.
         """
-        ts = F.col("ts").asc_nulls_first()
-        asks = asks.select("node", F.col("seed_ts").alias("ts"), F.lit(1).alias("ask")).distinct()
-        both = self.children.select("node", F.col("child_ts").alias("ts"), F.lit(0).alias("ask")).unionByName(asks)
-        placed = numbered(both, ["node", ts, "ask"], "at").filter("ask = 1")
-        before = numbered(placed, ["at"], "asks")
-        return before.join(self.first, "node").select("node", F.col("ts").alias("seed_ts"), (F.col("at") - F.col("asks") - F.col("first")).alias("visible")).filter("visible > 0")
+        asks = asks.select("node", F.col("seed_ts").alias("ts"), F.lit(1).alias("ask"), F.lit(0).alias("child")).distinct()
+        both = self.children.select("node", F.col("child_ts").alias("ts"), F.lit(0).alias("ask"), F.lit(1).alias("child")).unionByName(asks)
+        counted = running_within(both, ["node"], [F.col("ts").asc_nulls_first(), "ask"], {"visible": "child"})
+        return counted.filter("ask = 1 AND visible > 0").select("node", F.col("ts").alias("seed_ts"), "visible")
 
     def sampled(self, frontier: DataFrame, width: int, seed: int = 0) -> DataFrame:
         """``seed_key, seed_ts, task, node, child_key, child_ts, r``: up to ``width`` visible children of each row of ``frontier(seed_key, seed_ts, task, node)``.

@@ -14,6 +14,7 @@ from relspark.operators import graph, metrics, sampler, stats, tasks
 from relspark.plans import hsbm
 from relspark.plans.generate import DatabaseConfig, TablePlan, generate
 from relspark.plans.scm import AGGREGATIONS, Scm, propagate
+from relspark.storage import running_within
 from relspark.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,11 +49,15 @@ U = f"({U32} / 4294967296.0)"
     GROUP BY a.o_orderkey"""
 )
 def temporal_neighbors(spark, sf_dir):
-    """For each order, its customer's other orders up to its time. A range frame instead of a self-join: each order is read once."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    o = read(spark, sf_dir, "orders")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    return o.select("o_orderkey", (F.count("*").over(w) - 1).alias("n_before"), F.round((F.sum(cents).over(w) - cents) / 100, 2).alias("total_before"))
+    """For each order, its customer's other orders up to its time: running sums over (customer, time), no self-join.
+
+    Orders of one time are summed first, and a customer's times are scanned by many tasks (see ``running_within``).
+    """
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    at = o.groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n"), F.sum("cents").alias("sum"))
+    upto = running_within(at, ["o_custkey"], ["o_orderdate"], {"n_upto": "n", "sum_upto": "sum"}).drop("n", "sum")
+    met = o.join(upto, ["o_custkey", "o_orderdate"], "left")
+    return met.select("o_orderkey", F.coalesce(F.col("n_upto") - 1, F.lit(0)).alias("n_before"), F.coalesce(F.round((F.col("sum_upto") - F.coalesce("cents", F.lit(0))) / 100, 2), F.lit(0.0)).alias("total_before"))
 
 
 # ---- catalog and graph

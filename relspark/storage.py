@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,10 +57,71 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") ->
 
 def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], name: str = "rn") -> DataFrame:
     """``df`` with ``name``: the row's place from 0 within its group; a group of any size is sorted by many tasks."""
-    rows = numbered(df, [*groups, *order], "__rn")
-    first = rows.groupBy(*groups).agg(F.min("__rn").alias("__first"))
-    met = rows.alias("r").join(first.alias("f"), [F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups])
-    return met.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("__rn") - F.col("__first")).alias(name))
+    return running_within(df, groups, order, {}, place=name)
+
+
+def running_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], sums: dict[str, str], place: str | None = None, start: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with running sums within groups, a group of any size summed by many tasks.
+
+    ``sums`` names, for each new column, the integer column to sum, in the order ``order`` within ``groups``, the row's own
+    value included (a null counts 0). ``place`` is the row's place from 0 in its group, ``start`` the group's first place in the order of all rows:
+    a number for the group. ``keep`` are the columns to carry on (default: all; the groups always).
+
+    One range partitioning and sort by (groups, order), then a scan of each partition. A group that goes on from
+    partition to partition is carried over by the partitions' last sums, one row a partition. Groups of null are groups; groups are no floats.
+    The scanned rows are checkpointed, so that sums and carries come from one evaluation.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [c for c in df.columns if keep is None or c in {*keep, *groups, *sums.values()}]
+    rows = df.repartitionByRange(parts, *groups, *order).sortWithinPartitions(*groups, *order).select(*kept)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    values, n = [*sums.values()], len(sums)
+    added = ["__part", "__at", "__head", "__n", *(f"__s{i}" for i in range(n))]
+    schema = f"{fields}, __part int, __at long, __head boolean, __n long" + "".join(f", __s{i} long" for i in range(n))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, head, last = TaskContext.get().partitionId(), 0, True, None
+        run = np.zeros(n + 1, np.int64)
+        for b in batches:
+            m = b.num_rows
+            if not m:
+                continue
+            new = np.zeros(m, bool)
+            for g in groups:
+                column = b.column(g)
+                differs = lambda x, y: (pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False)) | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
+                new[1:] |= differs(column.slice(1), column.slice(0, m - 1))
+                if last is not None:
+                    new[:1] |= differs(column.slice(0, 1), last[g])
+            last = {g: b.column(g).slice(m - 1) for g in groups}
+            segment = np.cumsum(new)
+            starts = np.concatenate(([0], np.flatnonzero(new)))[segment]
+            own = np.stack([np.ones(m, np.int64), *(pc.fill_null(b.column(c), 0).cast(pa.int64()).to_numpy() for c in values)])
+            total = np.cumsum(own, axis=1)
+            local = total - (total - own)[:, starts] + np.where(segment == 0, run[:, None], 0)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(np.full(m, part, np.int32)), pa.array(at + np.arange(m)), pa.array((segment == 0) & head), *map(pa.array, local)], names=[*kept, *added]
+            )
+            at, head, run = at + m, head and not segment[-1], local[:, -1]
+
+    rows = checkpointed(rows.mapInArrow(scan, schema))
+    totals = [f"__{x}" for x in ("n", *(f"s{i}" for i in range(n)))]
+    group = F.struct(*groups)
+    ends = rows.groupBy("__part").agg(F.count("*").alias("rows"), F.min_by(group, "__at").alias("first"), F.max_by(group, "__at").alias("last"), F.max_by(F.struct(*totals), "__at").alias("run"))
+    ends = checkpointed(ends)
+    # one row a partition, twice: what its first group has before it, and what its last group has in it
+    asks = ends.select("__part", F.col("first").alias("g"), F.lit(0).alias("gives"), "rows", *(F.lit(0).cast("long").alias(t) for t in totals))
+    gives = ends.select("__part", F.col("last").alias("g"), F.lit(1).alias("gives"), F.lit(0).cast("long").alias("rows"), *(F.col(f"run.{t}") for t in totals))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.orderBy("__part", "gives").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = asks.unionByName(gives).select("__part", "gives", before("rows", Window.partitionBy()).alias("__before"), *(before(t, Window.partitionBy("g")).alias(f"{t}_before") for t in totals))
+    met = rows.join(F.broadcast(carried.filter("gives = 0").drop("gives")), "__part")
+    whole = {t: F.col(t) + F.when(F.col("__head"), F.col(f"{t}_before")).otherwise(0) for t in totals}
+    out = [F.col(f"`{c}`") for c in kept] + [whole[f"__s{i}"].alias(name) for i, name in enumerate(sums)]
+    if place:
+        out.append((whole["__n"] - 1).alias(place))
+    if start:
+        out.append((F.col("__before") + F.col("__at") - whole["__n"] + 1).alias(start))
+    return met.select(*out)
 
 
 #: Rows of one window without groups.

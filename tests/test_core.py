@@ -1,3 +1,4 @@
+import random
 import tempfile
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from relspark.catalog import RelationalDB, TableSpec, open_database
 from relspark.functions import rng, series
 from relspark.operators import graph, metrics, sampler, stats, tasks
+from relspark import storage
 from relspark.sources import parquet
 from relspark.storage import numbered, numbered_within
 
@@ -242,3 +244,20 @@ def test_cluster_needs_a_shared_folder(spark):
     fake = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))), conf=SimpleNamespace(get=lambda k, d: d))
     with pytest.raises(ValueError):
         storage.shared_folder(fake)
+
+
+def test_running_sums_cross_partitions(spark):
+    """One group with most rows, null groups and null values; sums, places and starts against a loop."""
+    r = random.Random(1)
+    data = [(r.choice([None, "a", "hot", "hot", "hot", "b", ""]), i, r.choice([None, 1, 5, -3])) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, o long, v long")
+    want, run, first = {}, {}, {}
+    for k, (g, o, v) in enumerate(sorted(data, key=lambda x: (x[0] is not None, x[0] or "", x[1]))):
+        n, total = run.get(g, (0, 0))
+        run[g] = n + 1, total + (v or 0)
+        want[o] = n, total + (v or 0), first.setdefault(g, k)
+    got = storage.running_within(df, ["g"], ["o"], {"total": "v"}, place="place", start="start")
+    assert {x.o: (x.place, x.total, x.start) for x in got.collect()} == want
+    # a hot group is scanned by all tasks
+    assert got.filter("g = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+    assert storage.running_within(df.limit(0), ["g"], ["o"], {"total": "v"}).count() == 0
