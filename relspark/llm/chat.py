@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relspark.storage import numbered_within
+from relspark.storage import numbered
 
 #: Kinds of events. A delta adds to its message and begins it if it is new; an edit replaces its text; a regeneration
 #: also takes back every message that began between the message's beginning and itself.
@@ -48,7 +48,8 @@ def turn_log(turns: DataFrame) -> DataFrame:
     conversation; other columns are ignored. A conversation of any length is put in order by many tasks.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = numbered_within(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), "role", "text"], "message")
+    # the place among all turns tells messages apart, and orders those of a conversation
+    placed = numbered(rows, ["conv_id", F.col("turn").asc_nulls_first(), "role", "text"], "message")
     cuts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(DELTA_CHARS))
     each = placed.select("conv_id", "message", "role", "text", F.explode(cuts).alias("at"))
     piece = F.substring(F.col("text"), F.col("at") + 1, F.lit(DELTA_CHARS))
