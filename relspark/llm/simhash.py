@@ -129,15 +129,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: Column | None = None,
     return rows.mapInArrow(run, f"doc_id {kind.dataType.simpleString()}, fp long" + ", keys array<long>, sketch binary" * keys)
 
 
-def tile_links(fps: np.ndarray, radius: int, tile: int = TILE, sketches: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links within ``radius`` among ``fps`` (uint64): the linked ones and the representative of each.
+def tile_links(fps: np.ndarray, radius: int, tile: int = TILE, sketches: np.ndarray | None = None, least: int = 0, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links within ``radius`` among ``fps`` (uint64): the linked ones and the representative of each, by ``ids`` if given.
 
     With ``sketches`` (a row of bytes each) a link also needs ``least`` equal bytes.
     """
+    ids = fps if ids is None else ids
     counts = np.bitwise_count(fps)
     order = np.argsort(counts, kind="stable")
     fps, counts = fps[order], counts[order].astype(np.int64)
-    sketches = None if sketches is None else sketches[order]
+    sketches, ids = None if sketches is None else sketches[order], ids[order]
     label = np.arange(len(fps))
     for a in range(0, len(fps), tile):
         rows, low = fps[a : a + tile], counts[a]
@@ -154,7 +155,7 @@ def tile_links(fps: np.ndarray, radius: int, tile: int = TILE, sketches: np.ndar
                     roots = np.unique(np.append(label[at], label[a + r]))
                     label[np.isin(label, roots[1:])] = roots[0]
     at = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[at], fps[label[at]]
+    return ids[at], ids[label[at]]
 
 
 def _block_masks(radius: int) -> list[tuple[int, int]]:
@@ -166,25 +167,26 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket: int | None =
     """``src, dst``: links that span the components of ``distinct(fp long)`` within ``radius`` bits."""
     blocks = F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask)).alias("v")) for i, (lo, mask) in enumerate(_block_masks(radius))))
     keyed = distinct.select("fp", F.explode(blocks).alias("x")).select("fp", "x.b", "x.v")
-    return bucket_links(keyed, radius, bucket)
+    return bucket_links(keyed.withColumn("item", F.col("fp")), radius, bucket)
 
 
 def _links_of(columns: dict[str, np.ndarray], lo: int, hi: int, radius: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     sketches = columns.get("sketch")
-    return tile_links(columns["fp"][lo:hi].view(np.uint64), radius, sketches=None if sketches is None else sketches[lo:hi], least=least)
+    fps, ids = columns["fp"][lo:hi].view(np.uint64), columns["item"][lo:hi]
+    return tile_links(fps, radius, sketches=None if sketches is None else sketches[lo:hi], least=least, ids=ids)
 
 
 def _columns(t: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: t.column(c).to_numpy() for c in t.schema.names if c in ("b", "v", "fp")}
+    out = {c: t.column(c).to_numpy() for c in t.schema.names if c in ("b", "v", "fp", "item")}
     if "sketch" in t.schema.names:
         out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     return out
 
 
 def bucket_links(keyed: DataFrame, radius: int, bucket: int | None = None, sketches: DataFrame | None = None, least: int = 0) -> DataFrame:
-    """``src, dst``: links that span the components, within ``radius`` bits, of each bucket (b, v) of ``keyed(fp long, b int, v long)``.
+    """``src, dst``: links that span the components, within ``radius`` bits, of each bucket (b, v) of ``keyed(item long, fp long, b int, v long)``, by item.
 
-    With ``sketches(fp, sketch)`` a link also needs ``least`` equal bytes. Buckets of more than ``bucket`` rows
+    With ``sketches(item, sketch)`` a link also needs ``least`` equal bytes. Buckets of more than ``bucket`` rows
     (by default what suits the sizes, see ``BUCKET``) are compared by many tasks.
     """
     shared = keyed.groupBy("b", "v").agg(F.count("*").alias("n")).filter("n > 1")
@@ -200,7 +202,7 @@ def bucket_links(keyed: DataFrame, radius: int, bucket: int | None = None, sketc
             new = np.flatnonzero((x["b"][1:] != x["b"][:-1]) | (x["v"][1:] != x["v"][:-1])) + 1
             cuts = np.concatenate(([0], new, [len(t)])) if last else np.concatenate(([0], new))
             found = [_links_of(x, i, j, radius, least) for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False) if j > i + 1]
-            src, dst = (np.concatenate([y[k] for y in found] or [np.array([], np.uint64)]).view(np.int64) for k in (0, 1))
+            src, dst = (np.concatenate([y[k] for y in found] or [np.array([], np.int64)]) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"]), t.slice(int(cuts[-1]))
 
         for batch in batches:
@@ -211,9 +213,9 @@ def bucket_links(keyed: DataFrame, radius: int, bucket: int | None = None, sketc
             yield out(rest, True)[0]
 
     def with_sketches(rows: DataFrame) -> DataFrame:
-        return rows if sketches is None else rows.join(sketches, "fp")
+        return rows if sketches is None else rows.join(sketches, "item")
 
-    usual = with_sketches(keyed.filter(F.col("n") <= bucket).select("b", "v", "fp")).repartition(parts, "b", "v").sortWithinPartitions("b", "v", "fp")
+    usual = with_sketches(keyed.filter(F.col("n") <= bucket).select("b", "v", "fp", "item")).repartition(parts, "b", "v").sortWithinPartitions("b", "v", "fp", "item")
     links = usual.mapInArrow(cold, "src long, dst long")
     hot = keyed.filter(F.col("n") > bucket)
     return links if hot.isEmpty() else links.unionByName(_hot_links(hot, radius, bucket, with_sketches, least))
@@ -224,7 +226,7 @@ def _hot_links(keyed: DataFrame, radius: int, bucket: int, with_sketches: Callab
     keyed = keyed.withColumn("pc", F.bit_count("fp") if radius <= NARROW else F.lit(0))
     size = F.greatest(F.lit(bucket // 2), F.least(F.lit(BUCKET // 2), F.first("n") / ALONG))
     counts = keyed.groupBy("b", "v", "pc").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
-    rows = keyed.join(counts, ["b", "v", "pc"]).select("b", "v", "fp", F.struct("pc", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk")).alias("tile"))
+    rows = keyed.join(counts, ["b", "v", "pc"]).select("b", "v", "fp", "item", F.struct("pc", F.pmod(F.xxhash64("fp", "item"), F.col("chunks")).alias("chunk")).alias("tile"))
     tiles = counts.select("b", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct("pc", c.cast("long").alias("chunk")))).alias("tile"))
     other = tiles.withColumnRenamed("tile", "other")
     pairs = tiles.join(other, ["b", "v"]).filter((F.col("other") >= F.col("tile")) & (F.col("other.pc") - F.col("tile.pc") <= radius))
@@ -234,9 +236,9 @@ def _hot_links(keyed: DataFrame, radius: int, bucket: int, with_sketches: Callab
 
     def compare(t: pa.Table) -> pa.Table:
         src, dst = _links_of(_columns(t), 0, len(t), radius, least)
-        return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
+        return pa.table({"src": src, "dst": dst})
 
-    met = with_sketches(rows.join(sides, ["b", "v", "tile"]).select("b", "v", "pair", "fp"))
+    met = with_sketches(rows.join(sides, ["b", "v", "tile"]).select("b", "v", "pair", "fp", "item"))
     return met.groupBy("b", "v", "pair").applyInArrow(compare, "src long, dst long")
 
 
@@ -249,28 +251,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep: Co
     component_id is null. An empty table gives an empty result. Columns other than ``doc_id`` and
     ``text`` are ignored. ``keep`` names another id expression.
     """
-    fps = checkpointed(fingerprints(docs, shingle, keep))
+    fps = checkpointed(fingerprints(docs, shingle, keep).withColumn("item", F.col("fp")))
     return _components(fps, fingerprint_links(fps.select("fp").distinct(), radius, bucket))
 
 
 def _components(fps: DataFrame, links: DataFrame) -> DataFrame:
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = checkpointed(fps.groupBy("item").agg(F.min("doc_id").alias("low")))
     roots = connected_components(links)
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = distinct.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(labelled.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(labelled.join(lows, "root").select("item", "component_id"), "item").select("doc_id", "fp", "component_id")
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: Column | None = None, bucket: int | None = None) -> DataFrame:
     """As ``near_duplicates``, but linking texts whose shingle similarity is at least ``similarity``, within what fingerprints and sketches tell.
 
-    Compared are the fingerprints of texts that share a min-wise key of their shingles. Texts of one
-    fingerprint are one, and have the least of their sketches.
+    Compared are texts that share a min-wise key of their shingles, by fingerprints and then by sketches. Only texts of one
+    fingerprint and one sketch are taken as one without a look; those of one fingerprint alone are compared like any others.
     """
-    fps = checkpointed(fingerprints(docs, shingle, keep, keys=True))
-    keyed = fps.select("fp", F.posexplode("keys").alias("b", "v")).distinct()
-    sketches = fps.groupBy("fp").agg(F.min("sketch").alias("sketch"))
-    return _components(fps.select("doc_id", "fp"), bucket_links(keyed, wide_radius(similarity), bucket, sketches, sketch_matches(similarity)))
+    fps = checkpointed(fingerprints(docs, shingle, keep, keys=True).withColumn("item", F.xxhash64("fp", "sketch")))
+    keyed = fps.select("item", "fp", F.posexplode("keys").alias("b", "v")).distinct()
+    sketches = fps.groupBy("item").agg(F.min("sketch").alias("sketch"))
+    return _components(fps.select("doc_id", "fp", "item"), bucket_links(keyed, wide_radius(similarity), bucket, sketches, sketch_matches(similarity)))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

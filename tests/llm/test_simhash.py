@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -92,3 +94,14 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.near_duplicates(df).collect() == []
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "c d"), (None, "c d")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str) == [(4, 4), (None, 4), (None, None), (None, None)]
+
+
+def test_different_texts_of_one_fingerprint_stay(spark):
+    """A repeated banner sets every bit of the fingerprint; the texts behind it share next to nothing."""
+    r = random.Random(4)
+    banner = " ".join(["read this first please now"] * 400)
+    rows = [(i, banner + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(300))) for i in range(20)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)] + [(200, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({x.fp for x in simhash.fingerprints(df, 5).collect()}) == 1
+    assert sorted(x.doc_id for x in simhash.deduplicated(df).collect()) == list(range(20))
