@@ -108,12 +108,13 @@ def running_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column
     totals = [f"__{x}" for x in ("n", *(f"s{i}" for i in range(n)))]
     group = F.struct(*groups)
     ends = rows.groupBy("__part").agg(F.count("*").alias("rows"), F.min_by(group, "__at").alias("first"), F.max_by(group, "__at").alias("last"), F.max_by(F.struct(*totals), "__at").alias("run"))
-    ends = checkpointed(ends)
-    # one row a partition, twice: what its first group has before it, and what its last group has in it
-    asks = ends.select("__part", F.col("first").alias("g"), F.lit(0).alias("gives"), "rows", *(F.lit(0).cast("long").alias(t) for t in totals))
-    gives = ends.select("__part", F.col("last").alias("g"), F.lit(1).alias("gives"), F.lit(0).cast("long").alias("rows"), *(F.col(f"run.{t}") for t in totals))
+    # two rows a partition: what its first group has before it, and what its last group has in it
+    none = F.lit(0).cast("long")
+    ask = F.struct(F.col("first").alias("g"), F.lit(0).alias("gives"), "rows", *(none.alias(t) for t in totals))
+    give = F.struct(F.col("last").alias("g"), F.lit(1).alias("gives"), none.alias("rows"), *(F.col(f"run.{t}").alias(t) for t in totals))
+    both = ends.select("__part", F.explode(F.array(ask, give)).alias("x")).select("__part", "x.*")
     before = lambda c, w: F.coalesce(F.sum(c).over(w.orderBy("__part", "gives").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = asks.unionByName(gives).select("__part", "gives", before("rows", Window.partitionBy()).alias("__before"), *(before(t, Window.partitionBy("g")).alias(f"{t}_before") for t in totals))
+    carried = both.select("__part", "gives", before("rows", Window.partitionBy()).alias("__before"), *(before(t, Window.partitionBy("g")).alias(f"{t}_before") for t in totals))
     met = rows.join(F.broadcast(carried.filter("gives = 0").drop("gives")), "__part")
     whole = {t: F.col(t) + F.when(F.col("__head"), F.col(f"{t}_before")).otherwise(0) for t in totals}
     out = [F.col(f"`{c}`") for c in kept] + [whole[f"__s{i}"].alias(name) for i, name in enumerate(sums)]
