@@ -67,6 +67,26 @@ class NodeSpace:
         return _union(parts)
 
 
+    def sizes(self) -> DataFrame:
+        """``node, n_cells`` of every row: its features that are neither null nor NaN."""
+        parts = []
+        for t, spec in self.db.specs.items():
+            valued = [F.when(F.col(f"`{f.name}`").isNotNull() & (~F.isnan(f"`{f.name}`") if f.dataType.typeName() in ("double", "float") else F.lit(True)), 1).otherwise(0) for f in self.db.tables[t].schema if f.name not in {spec.pkey, *spec.fkeys}]
+            parts.append(self.rows[t].select(self.node(t, F.col(self.key(t))).alias("node"), sum(valued, F.lit(0)).cast("long").alias("n_cells")))
+        return _union(parts)
+
+    def cells(self) -> DataFrame:
+        """``node, table, column, cell, sem_type, num, txt`` of every feature value; ``cell`` is the column's place in its row."""
+        from relspark.operators import graph
+
+        parts = []
+        for t, spec in self.db.specs.items():
+            place = F.create_map(*(x for i, f in enumerate(self.db.tables[t].schema) for x in (F.lit(f"{f.name} of {t}"), F.lit(i))))
+            flat = graph.cells(self.rows[t], t, self.key(t), {self.key(t), spec.pkey, *spec.fkeys})
+            parts.append(flat.select(self.node(t, F.col("node_key")).alias("node"), F.lit(t).alias("table"), "column", place[F.col("column")].alias("cell"), "sem_type", "num", "txt"))
+        return _union(parts)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

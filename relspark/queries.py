@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from relspark.catalog import SPECS, entity_tables, epoch_seconds, open_database, topological_generations
 from relspark.functions import rng, series
-from relspark.operators import graph, metrics, sampler, stats, tasks
+from relspark.operators import graph, metrics, sampler, stats, tasks, traversal
 from relspark.plans import hsbm
 from relspark.plans.generate import DatabaseConfig, TablePlan, generate
 from relspark.plans.scm import AGGREGATIONS, Scm, propagate
@@ -430,6 +430,53 @@ def context_early_stop(spark, sf_dir):
     return sampler.within_budget(visits.join(sizes, "node"), "n_cells", 7).select("seed_key", "node", "depth", "used")
 
 
+# ---- exact traversal over all tables and keys: a task asks about every customer at one time
+
+TASK_TIME, LENGTH, BREADTH = 946684800, 1024, 128
+_KEY_RANGES = " UNION ALL ".join(f"SELECT '{t}' AS t, min({SPECS[t].pkey or 'row_key'}) AS low, max({SPECS[t].pkey or 'row_key'}) AS high FROM {_ROWS.get(t, t)}" for t in SPECS)
+_BASES = f"(SELECT t, coalesce(sum(high - low + 1) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT - low AS base, sum(high - low + 1) OVER ()::BIGINT AS task FROM ({_KEY_RANGES}))"
+
+
+def _customer_task(spark, sf_dir):
+    """The row graph with a task table of one row a customer: seeds, edges, and the ids of the graph."""
+    space = traversal.NodeSpace(open_database(spark, sf_dir))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") + space.end).alias("row"), F.lit(TASK_TIME).cast("long").alias("at"), F.lit("activity").alias("task"))
+    asks = rows.select(F.col("row").alias("child_key"), space.node("customer", F.col("c_custkey")).alias("parent_key"), F.col("at").alias("child_ts"), F.lit(0).alias("pos"), "task")
+    edges = space.edges().withColumn("task", F.lit(None).cast("string")).unionByName(asks)
+    seeds = rows.select(F.col("c_custkey").alias("seed_key"), F.col("at").alias("seed_ts"), F.col("row").alias("node"), "task")
+    return space, seeds, edges
+
+
+def _walks(spark, sf_dir):
+    space, seeds, edges = _customer_task(spark, sf_dir)
+    sizes = space.sizes().unionByName(seeds.select("node", F.lit(1).cast("long").alias("n_cells")))
+    return traversal.traverse(seeds, edges, sizes, LENGTH, BREADTH)
+
+
+@query()
+def temporal_walks(spark, sf_dir):
+    """Every customer's context as one walker would collect it, over all tables and foreign keys: 128 children wide, 1024 cells long."""
+    return _walks(spark, sf_dir)
+
+
+_NEAR_SQL = f"""SELECT c_custkey AS seed_key, b.base + c_custkey AS node, base, task FROM customer, {_BASES} b WHERE b.t = 'customer'"""
+_KIDS_SQL = f"""SELECT *, row_number() OVER (PARTITION BY parent_key ORDER BY child_ts, child_key) - 1 AS rank FROM (
+    SELECT base + o_orderkey AS child_key, o_custkey AS parent_key, floor(epoch(o_orderdate))::BIGINT AS child_ts FROM orders, {_BASES} WHERE t = 'orders'
+    UNION ALL SELECT base + event_id, user_id, floor(epoch(ts))::BIGINT FROM events, {_BASES} WHERE t = 'events')"""
+
+
+@query(
+    f"""WITH s AS ({_NEAR_SQL}), k AS ({_KIDS_SQL}), v AS (SELECT s.seed_key, s.node, count(*) AS visible FROM s JOIN k ON k.parent_key = s.seed_key AND k.child_ts <= {TASK_TIME} GROUP BY ALL)
+    SELECT seed_key, 0 AS at, task + seed_key AS node, 0 AS depth FROM s UNION ALL SELECT seed_key, 1, node, 1 FROM s
+    UNION ALL SELECT c_custkey, 2, base + c_nationkey, 2 FROM customer, {_BASES} WHERE t = 'nation'
+    UNION ALL SELECT d.seed_key, 3 + row_number() OVER (PARTITION BY d.seed_key ORDER BY {U32.format("concat_ws('|', '0', d.seed_key, k.child_key)")}, k.child_key), k.child_key, 2
+    FROM ({_draw_sql('SELECT * FROM v', 'visible', BREADTH)}) d JOIN k ON k.parent_key = d.seed_key AND k.rank = d.rank"""
+)
+def temporal_walks_near(spark, sf_dir):
+    """The walks' visits up to depth 2, in order: the task row, its customer, the nation (its region comes fourth), then the customer's orders and events."""
+    return _walks(spark, sf_dir).filter("depth <= 2").select("seed_key", "at", "node", "depth")
+
+
 # ---- transforms and nulls
 
 
