@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relspark.functions.rng import u32, unit
-from relspark.storage import checkpointed, numbered, running_within
+from relspark.storage import bucketed, checkpointed, numbered, running_within
 
 
 def visible(child_ts: Column, seed_ts: Column) -> Column:
@@ -24,13 +24,16 @@ class Adjacency:
     """Edges as they are looked up by parent: children of the database in order of time, with their ranks, and rows of task tables beside them.
 
     ``edges(parent_key, child_key, child_ts)`` may have ``task``: the name of the task table whose row the child is, null for
-    rows of the database. The children are sorted and numbered once, a hub's by many tasks (see ``numbered``).
+    rows of the database. The children are sorted and numbered once, a hub's by many tasks (see ``running_within``). With
+    ``stored`` they are kept bucketed by (node, rank), for many hops: a hop then moves what it asks for, and not the children.
     """
 
-    def __init__(self, edges: DataFrame):
+    def __init__(self, edges: DataFrame, stored: bool = False):
         named = edges if "task" in edges.columns else edges.withColumn("task", F.lit(None).cast("string"))
         flat = named.select(F.col("parent_key").alias("node"), "child_key", "child_ts", "task")
         self.children = running_within(flat.filter("task IS NULL").drop("task"), ["node"], [F.col("child_ts").asc_nulls_first(), "child_key"], {}, place="rank")
+        if stored:
+            self.children = bucketed(self.children, ["node", "rank"])
         self.tasks = flat.filter("task IS NOT NULL")
 
     def visible_counts(self, asks: DataFrame) -> DataFrame:
@@ -39,7 +42,8 @@ class Adjacency:
         Children and asks are sorted together, once; an ask's answer is the running count of children in its node.
         """
         asks = asks.select("node", F.col("seed_ts").alias("ts"), F.lit(1).alias("ask"), F.lit(0).alias("child")).distinct()
-        both = self.children.select("node", F.col("child_ts").alias("ts"), F.lit(0).alias("ask"), F.lit(1).alias("child")).unionByName(asks)
+        met = self.children.join(asks.select("node").distinct(), "node", "left_semi")
+        both = met.select("node", F.col("child_ts").alias("ts"), F.lit(0).alias("ask"), F.lit(1).alias("child")).unionByName(asks)
         counted = running_within(both, ["node"], [F.col("ts").asc_nulls_first(), "ask"], {"visible": "child"})
         return counted.filter("ask = 1 AND visible > 0").select("node", F.col("ts").alias("seed_ts"), "visible")
 

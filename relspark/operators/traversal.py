@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from relspark.catalog import RelationalDB, epoch_seconds
 from relspark.operators.sampler import Adjacency
-from relspark.storage import checkpointed
+from relspark.storage import bucketed, checkpointed
 
 
 class NodeSpace:
@@ -119,7 +119,7 @@ def ancestors(edges: DataFrame, sizes: DataFrame, generations: int = 16) -> Data
         if step.isEmpty():
             break
         found = found.unionByName(step)
-    return checkpointed(found.groupBy("node").agg(F.collect_set(F.struct("child", "parent", "pos", "cells")).alias("steps")))
+    return found.groupBy("node").agg(F.collect_set(F.struct("child", "parent", "pos", "cells")).alias("steps"))
 
 
 VISIT = "seed_key long, at int, node long, depth int, used long"
@@ -185,8 +185,8 @@ def traverse(seeds: DataFrame, edges: DataFrame, sizes: DataFrame, length: int,
     """
     front = (seeds if "task" in seeds.columns else seeds.withColumn("task", F.lit(None).cast("string"))).select("seed_key", "seed_ts", "task", "node")
     front = checkpointed(front)
-    graph, above = Adjacency(edges.drop("pos")), ancestors(edges, sizes, generations)
-    cells = checkpointed(sizes.select("node", F.col("n_cells").cast("long").alias("n_cells")))
+    graph, above = Adjacency(edges.drop("pos"), stored=True), bucketed(ancestors(edges, sizes, generations), ["node"])
+    cells = bucketed(sizes.select("node", F.col("n_cells").cast("long").alias("n_cells")), ["node"])
     visits = over = None
 
     def sized(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql.window import Window
 
 from relspark.catalog import SPECS, entity_tables, epoch_seconds, open_database, topological_generations
 from relspark.functions import rng, series
-from relspark.operators import graph, metrics, sampler, stats, tasks, traversal
+from relspark.operators import epochs, graph, metrics, sampler, stats, tasks, traversal
 from relspark.plans import hsbm
 from relspark.plans.generate import DatabaseConfig, TablePlan, generate
 from relspark.plans.scm import AGGREGATIONS, Scm, propagate
-from relspark.storage import running_within
+from relspark.sources.batches import read_batches
+from relspark.storage import numbered, running_within, shared_folder
 from relspark.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,6 +423,48 @@ def batch_assign(spark, sf_dir):
     return sampler.batches(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], ranks=4, size=32, seed=3)
 
 
+# an epoch without a sort: the item at each position of epoch 1, by the keyed permutation
+RANKS, SIZE, EPOCH = 4, 32, 1
+_POSITIONS_SQL = f"""(WITH RECURSIVE n AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM orders)),
+    w AS (SELECT p, p // b AS l, p % b AS r, 0 AS j FROM n, range(n.n) t(p)
+        UNION ALL SELECT p, CASE WHEN j % 2 = 0 THEN (l + {U32.format("concat_ws('|', '3', '{EPOCH}', j % 6, r)").replace('{EPOCH}', str(EPOCH))}) % a ELSE l END,
+            CASE WHEN j % 2 = 0 THEN r ELSE (r + {U32.format("concat_ws('|', '3', '{EPOCH}', j % 6, l)").replace('{EPOCH}', str(EPOCH))}) % b END, j + 1 FROM w, n WHERE j = 0 OR j % 6 <> 0 OR l * b + r >= n.n),
+    i AS (SELECT p, l * b + r AS item FROM w, n WHERE j > 0 AND j % 6 = 0 AND l * b + r < n.n),
+    s AS (SELECT unnest(range(((n + {RANKS * SIZE - 1}) // {RANKS * SIZE}) * {RANKS * SIZE})) AS q, n FROM n)
+    SELECT q // {RANKS * SIZE} AS batch, (q % {RANKS * SIZE}) // {SIZE} AS rank, q % {SIZE} AS slot, item, q < n AS own FROM s JOIN i ON i.p = q % n)"""
+_PLACED_SQL = "(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS item FROM orders)"
+
+
+@query(f"SELECT o_orderkey, batch, rank, slot, own FROM {_POSITIONS_SQL} JOIN {_PLACED_SQL} USING (item)")
+def epoch_batches(spark, sf_dir):
+    """Each slot's order: items are numbered once, and an epoch is arithmetic on positions."""
+    items = numbered(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "item")
+    placed = epochs.positions(spark, items.count(), RANKS, SIZE, 3, EPOCH).join(items, "item")
+    return placed.select("o_orderkey", "batch", F.col("rank").cast("long").alias("rank"), F.col("slot").cast("long").alias("slot"), "own")
+
+
+@query(
+    f"""SELECT batch, rank, slot * {BUDGET} + k AS at, CASE WHEN x.pos IS NULL THEN -1 ELSE x.node END AS node, coalesce(x.is_target, false) AS is_target, x.pos IS NULL AS is_padding
+    FROM {_POSITIONS_SQL} JOIN {_PLACED_SQL} o USING (item), range({BUDGET}) t(k)
+    LEFT JOIN (SELECT seed_key, node, row_number() OVER (PARTITION BY seed_key ORDER BY "column", node) - 1 AS pos, node = seed_key AND "column" = 'o_totalprice of orders' AS is_target FROM ({_LEAK_SQL})) x
+    ON x.seed_key = o.o_orderkey + (SELECT count(*) FROM customer) AND x.pos = k"""
+)
+def context_batches(spark, sf_dir):
+    """The orders' contexts as dense batches, read rank by rank through the data source from a store of fixed-length planes."""
+    none = F.lit(None)
+    cells = _contexts(spark, sf_dir).filter(F.col("pos") < BUDGET)
+    number = F.when(F.col("column") == "o_totalprice of orders", F.col("num"))
+    times = F.when(F.col("column") == "o_orderdate of orders", F.col("num"))
+    planes = {"table": none, "col": F.pmod(F.xxhash64("column"), F.lit(1 << 20)), "class_value": none, "sem_type": none, "number": number, "text": none, "datetime": times, "boolean": none, "is_task_node": F.col("column") == "o_totalprice of orders", "time": F.col("ts")}
+    dense = epochs.dense_items(cells.withColumns(planes), BUDGET)
+    path = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+    epochs.write_items(dense, path)
+    made = read_batches(spark, path, ranks=RANKS, size=SIZE, seed=3, epoch=EPOCH)
+    each = F.arrays_zip("node", "is_target", "is_padding")
+    flat = made.select("batch", "rank", F.posexplode(each).alias("at", "x"))
+    return flat.select("batch", F.col("rank").cast("long").alias("rank"), F.col("at").cast("long").alias("at"), "x.node", "x.is_target", "x.is_padding")
+
+
 @query(f"SELECT seed_key, node, depth, used FROM ({_BUDGET_SQL}) WHERE used < 7")
 def context_early_stop(spark, sf_dir):
     """Seeds whose visits fill the budget go no further."""

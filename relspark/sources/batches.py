@@ -7,6 +7,7 @@ items, and reads just their files and rows. The store is in any file system that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +44,8 @@ class ContextBatches(DataSource):
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         number = lambda name, none=None: int(options.get(name, none))
-        self.path, self.n, self.per_file = options["path"], number("n"), number("per_file")
+        self.path = re.sub("^file:/+", "/", options["path"])
+        self.n, self.per_file = number("n"), number("per_file")
         self.ranks, self.size, self.seed, self.epoch = number("ranks", 1), number("size", 32), number("seed", 0), number("epoch", 0)
         self.per = self.ranks * self.size
         self.ranks_read = [number("rank")] if "rank" in options else list(range(self.ranks))

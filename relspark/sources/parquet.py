@@ -85,7 +85,8 @@ def write_task(df: DataFrame, path: str, task: str, split_col: str = "split") ->
 
 def write_graph(path: str, nodes: DataFrame, edges: DataFrame, dictionary: DataFrame, catalog: DataFrame) -> None:
     """The row graph: cells by node, edges by parent and time, the dictionary and the table list; each range-partitioned on its lookup key."""
-    nodes.repartitionByRange("node_key").sortWithinPartitions("node_key").write.parquet(f"{path}/nodes.parquet")
+    by = [c for c in ("table", "node_key") if c in nodes.columns]
+    nodes.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{path}/nodes.parquet")
     edges.repartitionByRange("parent_table", "parent_key").sortWithinPartitions("parent_table", "parent_key", F.col("child_ts").asc_nulls_first()).write.parquet(f"{path}/edges.parquet")
     dictionary.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/dictionary.parquet")
     catalog.coalesce(1).write.parquet(f"{path}/tables.parquet")

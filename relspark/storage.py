@@ -151,3 +151,17 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """``df`` as a table of files bucketed and sorted by ``keys`` in the shared checkpoint folder: joins on these keys don't move it again.
+
+    There are as many ``buckets`` as shuffle partitions unless said otherwise, so that the other side of a join is dealt to match.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = uuid.uuid4().hex
+    table = name or f"relspark_{unique}"
+    rows = df.repartition(n, *keys).sortWithinPartitions(*keys)
+    rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/bucketed-{unique}").saveAsTable(table)
+    return spark.table(table)

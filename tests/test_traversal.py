@@ -4,8 +4,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from relspark.operators import traversal
+from relspark.operators import sampler, traversal
 
 
 def u32(*parts):
@@ -90,3 +91,21 @@ def test_no_seeds_and_cells_of_visits(spark):
     got = traversal.visited_cells(visits, seeds, times, cells, "a", ["b"], 2).orderBy("pos").collect()
     assert [(x.pos, x.node, x.column, x.is_target) for x in got] == [(0, 1, "a", True), (1, 2, "b", False)]
     assert [(x.node, x.column) for x in traversal.visited_cells(visits, seeds, times, cells, "a", [], 2).orderBy("pos").collect()] == [(1, "a"), (1, "b")]
+
+
+def test_a_stored_hop_moves_only_what_it_asks_for(spark):
+    """The plan of a hop over bucketed children has an exchange on the side of the asks, and none on the children's."""
+    edges = spark.range(2000).selectExpr("id AS child_key", "id % 7 AS parent_key", "id % 50 AS child_ts")
+    seeds = spark.range(40).selectExpr("id AS seed_key", "id AS seed_ts", "CAST(NULL AS STRING) AS task", "id % 7 AS node")
+    plain, stored = sampler.Adjacency(edges), sampler.Adjacency(edges, stored=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        asks = seeds.select("node", F.col("seed_key").alias("rank"))
+        plan = asks.join(stored.children, ["node", "rank"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert asks.join(plain.children, ["node", "rank"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") >= 2
+        assert sorted(stored.sampled(seeds, 5).collect()) == sorted(plain.sampled(seeds, 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
