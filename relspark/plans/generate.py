@@ -14,7 +14,7 @@ from relspark.functions.series import even_dates
 from relspark.operators.stats import TRANSFORMS, first_of
 from relspark.plans.dag import sample_dag
 from relspark.plans.hsbm import assign
-from relspark.plans.scm import STRATEGIES, Scm, propagate
+from relspark.plans.scm import STRATEGIES, Eager, Scm, propagate
 from relspark.storage import checkpointed
 
 SCHEMA_LAYOUTS = ("BarabasiAlbert", "ReverseRandomTree", "WattsStrogatz")
@@ -101,28 +101,32 @@ def _finished(df: DataFrame, plan: TablePlan, config: DatabaseConfig) -> DataFra
 def generate(spark: SparkSession, plans: dict[str, TablePlan], config: DatabaseConfig, rows: dict[str, DataFrame] | None = None) -> RelationalDB:
     """The database of ``plans``: tables in topological order, each one map over its rows after the joins with its parents.
 
-    ``rows``: tables whose ``row_idx`` replace generated places 0..n-1 (n is their count). Equal seeds give
+    A row is conditioned on all columns of its parents, each encoded for the child. ``rows``: tables whose ``row_idx`` replace generated places 0..n-1 (n is their count). Equal seeds give
     equal databases under any partitioning.
     """
     specs = {n: TableSpec(n, "row_idx", "date" if p.is_activity else None, {f"{q}_id": q for q in p.parents}) for n, p in plans.items()}
     order = sorted(plans, key=lambda n: (topological_generations(specs)[n], n))
     raw: dict[str, DataFrame] = {}
+    strategies: dict[str, Eager] = {}
     size = {n: rows[n].count() if rows and n in rows else p.n_rows for n, p in plans.items()}
     for n in order:
         p, r = plans[n], np.random.default_rng(plans[n].seed + 1)
         df = rows[n].select(F.col("row_idx").cast("long")) if rows and n in rows else spark.range(size[n]).withColumnRenamed("id", "row_idx")
         foreign: list[str] = []
+        kinds: list[list[int]] = []
         for q in p.parents:
             depth = int(r.integers(1, 4))
             child_levels, parent_levels = r.integers(1, 4, depth).tolist(), r.integers(1, 4, depth).tolist()
             df = assign(df, "row_idx", size[n], size[q], child_levels, parent_levels, int(r.integers(1 << 31)), f"{q}_id")
-            take = [c for c in plans[q].columns][:4]
+            take = list(plans[q].columns)
             names = [f"__{q}_{c}" for c in take]
+            # codes that were cut from numbers come as numbers, codes of categories as these
+            kinds.append([plans[q].columns[c] if strategies[q].codes else 0 for c in take])
             up = raw[q].select(F.col("row_idx").alias(f"{q}_id"), *(F.col(c).cast("double").alias(x) for c, x in zip(take, names, strict=True)))
             df = df.join(up, f"{q}_id")
             foreign += names
-        strategy = STRATEGIES[str(r.choice(sorted(STRATEGIES)))]
-        scm = Scm.sample(strategy.modelled(p.columns), p.seed, len(foreign))
+        strategy = strategies[n] = STRATEGIES[str(r.choice(sorted(STRATEGIES)))]
+        scm = Scm.sample(strategy.modelled(p.columns), p.seed, [k for k in kinds if k])
         made = propagate(df, "row_idx", size[n], scm, foreign).drop(*foreign)
         made = strategy.finished(made, "row_idx", size[n], p.columns, p.seed)
         if p.is_activity:

@@ -1,4 +1,4 @@
-"""Foreign keys by a hierarchical stochastic block model, as a range join on small per-cluster CDFs."""
+"""Foreign keys by a hierarchical stochastic block model: a descent of the levels for each row, over the shares of its own cluster."""
 
 from __future__ import annotations
 
@@ -42,43 +42,67 @@ def _sizes(n: int, blocks: int) -> np.ndarray:
     return np.array([max(0, min(n, (k + 1) * size) - k * size) if k < blocks - 1 else max(0, n - k * size) for k in range(blocks)], float)
 
 
-def cdf_rows(n_parents: int, parents: list[int], children: list[int], seed: int) -> list[tuple[int, int, float, float, int, int]]:
-    """(child cluster, parent cluster, lo, hi, first parent, parents): weights are cluster sizes times the product of the levels' weights.
+def descent_rows(n_parents: int, parents: list[int], children: list[int], seed: int) -> list[tuple[int, list[tuple[int, int, list[float], list[float]]]]]:
+    """For each finest child cluster a step a level: (branches, edge, shares off the edge, shares on it).
 
-    There are clusters x clusters rows, however many rows the tables have.
+    Shares are running, over the level's parent clusters, weighted by the parents that lie below. Clusters are blocks of equal size but for the last
+    that has parents, the edge: a descent that has kept to the edge's branches takes the second shares, any other the first.
+    One row a child cluster, each of as many numbers as the levels have clusters.
     """
     levels = level_matrices(parents, children, seed)
-    total_a, total_b = math.prod(parents), math.prod(children)
-    log = np.zeros((total_a, total_b))
-    for k, p in enumerate(levels):
-        da = np.arange(total_a) // math.prod(parents[k + 1 :]) % parents[k]
-        db = np.arange(total_b) // math.prod(children[k + 1 :]) % children[k]
-        log += np.log(p)[da][:, db]
-    size = _sizes(n_parents, total_a)
-    w = np.exp(log - log.max(axis=0)) * size[:, None]
-    hi = np.cumsum(w / w.sum(axis=0), axis=0)
-    block = max(1, -(-n_parents // total_a))
+    size = _sizes(n_parents, math.prod(parents))
+    last = int(np.flatnonzero(size)[-1])
+    edge = [last // math.prod(parents[k + 1 :]) % h for k, h in enumerate(parents)]
     out = []
-    for b in range(total_b):
-        lo, last = 0.0, int(np.flatnonzero(size)[-1])
-        for a in np.flatnonzero(size).tolist():
-            top = 2.0 if a == last else float(hi[a, b])
-            out.append((b, a, lo, top, a * block, int(size[a])))
-            lo = top
+    for cb in range(math.prod(children)):
+        off, on, steps = float(size[0]), float(size[last]), []
+        for k in reversed(range(len(parents))):
+            p = levels[k][:, cb // math.prod(children[k + 1 :]) % children[k]]
+            full = p * off
+            cut = np.where(np.arange(len(p)) < edge[k], full, 0.0)
+            cut[edge[k]] = p[edge[k]] * on
+            off, on = float(full.sum()), float(cut.sum())
+            running = [(np.cumsum(w) / w.sum()).tolist() for w in (full, cut)]
+            # what is left by rounding goes to the last branch
+            running[0][-1] = 2.0
+            running[1][edge[k] :] = [2.0] * (len(p) - edge[k])
+            steps.append((parents[k], edge[k], *running))
+        out.append((cb, steps[::-1]))
     return out
 
 
+STEPS = "cb int, steps array<struct<branches:int,edge:int,off:array<double>,on:array<double>>>"
+
+
+def descend(steps: Column, u: Column) -> Column:
+    """The finest parent cluster that uniform ``u`` leads to: at each level the branch whose share holds it, then what is left of it within that share."""
+
+    def step(at: Column, s: Column) -> Column:
+        shares = F.when(at["on"], s["on"]).otherwise(s["off"])
+        branch = F.size(F.filter(shares, lambda c: c <= at["u"]))
+        low = F.when(branch == 0, 0.0).otherwise(F.try_element_at(shares, branch))
+        high = F.least(F.try_element_at(shares, branch + 1), F.lit(1.0))
+        return F.struct((at["a"] * s["branches"] + branch).alias("a"), ((at["u"] - low) / F.greatest(high - low, F.lit(1e-300))).alias("u"), (at["on"] & (branch == s["edge"])).alias("on"))
+
+    start = F.struct(F.lit(0).alias("a"), u.alias("u"), F.lit(True).alias("on"))
+    return F.aggregate(steps, start, step, lambda at: at["a"])
+
+
 def assign(children: DataFrame, key: str, n_children: int, n_parents: int, child_levels: list[int], parent_levels: list[int], seed: int = 0, name: str = "parent") -> DataFrame:
     """``children(key: 0-based place)`` with ``name``: the drawn parent's place, one for each row.
 
-    A first uniform picks the parent cluster from the child cluster's CDF (a broadcast range
-    join on a table of clusters x clusters rows), a second the parent within it.
+    A first uniform descends the levels to the parent cluster, a second picks the parent within it. The shares come by a
+    broadcast join on the child's cluster, a table of one row a cluster whatever the tables' sizes; a row takes as many steps as there are levels.
     """
-    rows = cdf_rows(n_parents, parent_levels, child_levels, seed)
-    cdf = children.sparkSession.createDataFrame(rows, "cb int, ca int, lo double, hi double, first long, size long")
+    rows = descent_rows(n_parents, parent_levels, child_levels, seed)
+    shares = children.sparkSession.createDataFrame(rows, STEPS)
+    block = max(1, -(-n_parents // math.prod(parent_levels)))
+    last = math.prod(parent_levels) - 1
     drawn = children.withColumns({"__cb": base_cluster(F.col(key), n_children, child_levels), "__u": unit(seed, "cluster", F.col(key)), "__v": unit(seed, "member", F.col(key))})
-    met = drawn.join(F.broadcast(cdf), (F.col("__cb") == F.col("cb")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")))
-    return met.select(*children.columns, (F.col("first") + F.floor(F.col("__v") * F.col("size"))).cast("long").alias(name))
+    met = drawn.join(F.broadcast(shares), F.col("__cb") == F.col("cb")).withColumn("__ca", descend(F.col("steps"), F.col("__u")).cast("long"))
+    first = F.col("__ca") * block
+    size = F.when(F.col("__ca") < last, F.least(F.lit(n_parents), first + block)).otherwise(F.lit(n_parents)) - first
+    return met.select(*children.columns, (first + F.floor(F.col("__v") * size)).cast("long").alias(name))
 
 
 def pair_weight(a: int, b: int, parents: list[int], children: list[int], seed: int) -> float:

@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +91,43 @@ ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "clamp": lambda x: np.clip(x, -1, 1),
     "signed_log": lambda x: np.sign(x) * np.log1p(np.abs(x)),
     "bent_identity": lambda x: (np.sqrt(x * x + 1) - 1) / 2 + x,
-    "sine_mix": lambda x: (np.sin(x) + np.sin(2.3 * x + 0.7) + np.sin(0.4 * x - 1.1)) / 3,
 }
 
+#: Ranges of a sine mixture: components, frequencies (log-uniform).
+SINES, FREQUENCIES = (3, 7), (0.1, 10.0)
+
+
+@dataclass(frozen=True)
+class SineMix:
+    """A sum of sine waves whose number, heights, frequencies and phases are drawn once: a function that each layer has of its own."""
+
+    heights: np.ndarray
+    frequencies: np.ndarray
+    phases: np.ndarray
+
+    @classmethod
+    def sample(cls, r: np.random.Generator) -> SineMix:
+        n = int(r.integers(SINES[0], SINES[1] + 1))
+        low, high = map(math.log, FREQUENCIES)
+        return cls(r.normal(size=n), np.exp(r.uniform(low, high, n)), r.uniform(0, 2 * np.pi, n))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x, dtype=float)
+        for h, f, p in zip(self.heights, self.frequencies, self.phases, strict=True):
+            out += h * np.sin(f * x + p)
+        return out
+
+
+#: By this name a layer draws a mixture of its own; called by name it is one fixed mixture.
+ACTIVATIONS["sine_mix"] = SineMix.sample(np.random.default_rng(0))
+
+
+def _layer_activation(r: np.random.Generator) -> str | SineMix:
+    """The name of a drawn activation, or a sine mixture of the layer's own."""
+    name = str(r.choice(sorted(ACTIVATIONS)))
+    return SineMix.sample(r) if name == "sine_mix" else name
+
+
 def _truncated(r: np.random.Generator, i: int, o: int) -> np.ndarray:
     """Standard normals within two deviations."""
     x = r.normal(size=(i, o))
@@ -138,7 +171,7 @@ def _normal(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 @dataclass
 class Mlp:
     weights: list[np.ndarray]
-    activations: list[str]
+    activations: list[str | SineMix]
     scales: list[float]
 
     @classmethod
@@ -150,27 +183,39 @@ class Mlp:
         weights = []
         for i, o in zip(sizes, sizes[1:], strict=False):
             weights.append(init(r, i, o) * (r.random((i, o)) < density) / density)
-        return cls(weights, [str(r.choice(sorted(ACTIVATIONS))) for _ in weights[1:]], [math.exp(r.uniform(-1, 1)) for _ in weights[1:]])
+        return cls(weights, [_layer_activation(r) for _ in weights[1:]], [math.exp(r.uniform(-1, 1)) for _ in weights[1:]])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         for w, a, s in zip(self.weights, self.activations, self.scales, strict=False):
-            x = np.clip(s * ACTIVATIONS[a](x @ w), -1e6, 1e6)
+            x = np.clip(s * (ACTIVATIONS[a] if isinstance(a, str) else a)(x @ w), -1e6, 1e6)
         return np.clip(x @ self.weights[-1], -1e6, 1e6)
 
 
-@lru_cache(maxsize=1024)
-def _beta_table(a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
-    """Points t and the distribution function of sin(t)^2 there, for a variable of Beta(a, b) with a, b >= 1/2."""
-    t = np.linspace(0, np.pi / 2, 2049)
-    w = np.sin(t) ** (2 * a - 1) * np.cos(t).clip(0) ** (2 * b - 1)
-    run = np.concatenate(([0.0], np.cumsum((w[1:] + w[:-1]) / 2)))
-    return t, run / run[-1]
+def _gamma(shape: float, tries: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """``n`` exact draws of Gamma(shape), by squeezing a cubed normal and trying again where it is rejected (about one in twenty).
 
-
-def _beta(u: np.ndarray, a: float, b: float) -> np.ndarray:
-    """Draws of Beta(a, b) by its inverse distribution function, to a grid of 2048 cells."""
-    t, run = _beta_table(a, b)
-    return np.sin(np.interp(u, run, t)) ** 2
+    ``tries(k, at)`` are uniforms of stream ``k`` for the draws ``at``: each draw has streams of its own, so it depends on no other.
+    A shape below 1 is drawn one higher and scaled back by a power of a uniform.
+    """
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    out, at, k = np.empty(n), np.arange(n), 1
+    while len(at):
+        x = _normal(tries(k, at), tries(k + 1, at))
+        v = (1 + c * x) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            good = (v > 0) & (np.log(tries(k + 2, at)) < 0.5 * x * x + d * (1 - v + np.log(v)))
+        out[at[good]] = d * v[good]
+        at, k = at[~good], k + 3
+    return out if shape >= 1 else out * tries(0, np.arange(n)) ** (1 / shape)
+
+
+def beta(seed: int, stream: int, rows: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Exact draws of Beta(a, b) for ``rows``, by counter: the share of one gamma draw in two."""
+    draw = lambda side: lambda k, at: _counter(seed * 1_000_003 + 2 * k + side + 1, stream, rows[at])
+    x, y = (_gamma(shape, draw(side), len(rows)) for side, shape in enumerate((a, b)))
+    # both can be nothing when both shapes are small
+    return np.divide(x, x + y, out=np.full(len(rows), 0.5), where=x + y > 0)
 
 
 EMBEDDING = 8
@@ -206,6 +251,9 @@ class Draws:
     def normal(self, stream: int, rows: np.ndarray | None = None) -> np.ndarray:
         return _normal(self.uniform(stream, rows), self.uniform(stream + 1, rows))
 
+    def beta(self, stream: int, a: float, b: float) -> np.ndarray:
+        return beta(self.seed, STREAMS * self.node + stream, self.rows, a, b)
+
     def ar1(self, stream: int, rho: float) -> np.ndarray:
         """AR(1) noise at the rows, from as many noises before each as weigh more than 1e-9."""
         taps = rho ** np.arange(1 if rho == 0 else math.ceil(math.log(1e-9) / math.log(rho)))
@@ -248,7 +296,7 @@ def _mixed(d: Draws, s: Source) -> np.ndarray:
 SOURCES: dict[str, tuple[Callable[[Draws, Source], np.ndarray], Callable[[Draws, Source], np.ndarray]]] = {
     "uniform": (lambda d, s: 2 * d.uniform(0) - 1, _independent),
     "gaussian": (lambda d, s: np.clip(d.normal(1) / 2, -1, 1), _independent),
-    "beta": (lambda d, s: 2 * _beta(d.uniform(3), s.a, 10 * s.b) - 1, _independent),
+    "beta": (lambda d, s: 2 * d.beta(3, s.a, 10 * s.b) - 1, _independent),
     "ts": (lambda d, s: d.series(4, s), _series_category),
     "mixed": (_mixed, _independent),
 }
@@ -272,12 +320,17 @@ class Scm:
     decoders: dict[int, Mlp]
     aggregation: dict[int, str]
     noise: dict[int, tuple[float, float]]
-    foreign: dict[tuple[int, int], Mlp] = field(default_factory=dict)
-    n_foreign: int = 0
+    foreign: list[Mlp] = field(default_factory=list)
+    foreign_embeddings: list[np.ndarray | None] = field(default_factory=list)
+    foreign_shares: list[float] = field(default_factory=list)
 
     @classmethod
-    def sample(cls, columns: dict[str, int], seed: int, n_foreign: int = 0, layout: str | None = None) -> Scm:
-        """``columns``: names to numbers of categories (0: a number). ``n_foreign``: how many parent features a row brings."""
+    def sample(cls, columns: dict[str, int], seed: int, parents: list[list[int]] | None = None, layout: str | None = None) -> Scm:
+        """``columns``: names to numbers of categories (0: a number). ``parents``: for each parent table the numbers of categories of all its columns.
+
+        Each parent column has an encoder for this child, and a categorical one a table of embeddings.
+        """
+        features = [(k, 1 / len(table)) for table in parents or [] for k in table]
         r = np.random.default_rng(seed)
         n = len(columns) + math.ceil(len(columns) / r.uniform(0.3, 0.9)) + 3
         dag = sample_dag(n, layout or str(r.choice(sorted(LAYOUTS))), seed)
@@ -294,14 +347,28 @@ class Scm:
             {v: Mlp.sample(r, EMBEDDING, EMBEDDING if categories[v] else 1) for v in inner},
             {v: str(r.choice(sorted(_ARRAYS))) for v in inner},
             {v: (float(r.uniform(0.5, 5)), float(r.uniform(0.5, 5))) for v in inner},
-            {(f, v): Mlp.sample(r, 1, EMBEDDING) for f in range(n_foreign) for v in inner},
-            n_foreign,
+            [Mlp.sample(r, EMBEDDING if k else 1, EMBEDDING) for k, _ in features],
+            [r.normal(size=(k, EMBEDDING)) if k else None for k, _ in features],
+            [share for _, share in features],
         )
 
     def encoded(self, p: int, v: int, value: np.ndarray) -> np.ndarray:
         """The embedding of node ``p``'s value on its edge to ``v``."""
         return self.encoders[p, v](self.embeddings[p][value.astype(int)] if self.categories[p] else value[:, None])
 
+    def encoded_parents(self, foreign: np.ndarray) -> list[np.ndarray]:
+        """The embeddings of the parents' columns, once for all nodes; a missing number is 0 and a missing category no direction."""
+        out = []
+        for f, (mlp, table) in enumerate(zip(self.foreign, self.foreign_embeddings, strict=True)):
+            x = foreign[:, f]
+            if table is None:
+                out.append(mlp(np.nan_to_num(x)[:, None]))
+            else:
+                there = np.isfinite(x)
+                code = np.where(there, x, 0).astype(int) % len(table)
+                out.append(mlp(table[code] * there[:, None]))
+        return out
+
     def decoded(self, v: int, x: np.ndarray) -> np.ndarray:
         out = self.decoders[v](x)
         return (out @ self.embeddings[v].T).argmax(axis=1).astype(float) if self.categories[v] else out[:, 0]
@@ -309,11 +376,12 @@ class Scm:
     def node_noise(self, v: int, rows: np.ndarray) -> np.ndarray:
         """A draw of the node's Beta distribution for each dimension of each row, over their number."""
         d = Draws(self.seed, v, rows, 1)
-        return np.stack([_beta(d.uniform(50 + k), *self.noise[v]) for k in range(EMBEDDING)], axis=1) / EMBEDDING
+        return np.stack([d.beta(50 + k, *self.noise[v]) for k in range(EMBEDDING)], axis=1) / EMBEDDING
 
     def run(self, rows: np.ndarray, n: int, foreign: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """The columns' values for these rows of a table of ``n``; ``foreign`` holds their parents' features. Sources ignore it."""
         values: dict[int, np.ndarray] = {}
+        above = self.encoded_parents(foreign) if foreign is not None and self.foreign else []
         for layer in self.dag.generations():
             for v in layer:
                 if v in self.sources:
@@ -322,9 +390,7 @@ class Scm:
                     continue
                 how = self.aggregation[v]
                 parts = [self.dag.edges[p, v] * self.encoded(p, v, values[p]) for p in self.dag.parents(v)]
-                if foreign is not None and self.n_foreign:
-                    weight = 1 / self.n_foreign if how == "sum" else 1.0
-                    parts += [weight * self.foreign[f, v](np.nan_to_num(foreign[:, f : f + 1])) for f in range(self.n_foreign)]
+                parts += [(share if how == "sum" else 1.0) * x for share, x in zip(self.foreign_shares, above, strict=False)]
                 met = _ARRAYS[how](np.stack([np.clip(x, -1e4, 1e4) for x in parts]))
                 values[v] = self.decoded(v, np.clip(self.node_noise(v, rows) + met, -1e6, 1e6))
         return {c: values[v] for c, v in self.columns.items()}
@@ -350,6 +416,9 @@ def quantize(rows: DataFrame, key: str, n: int, columns: dict[str, int], seed: i
 class Eager:
     """Categories are nodes of the model and decoded inside it."""
 
+    #: Whether a child sees this table's categories as such.
+    codes = True
+
     def modelled(self, columns: dict[str, int]) -> dict[str, int]:
         """The columns as the model has them."""
         return columns
@@ -362,6 +431,8 @@ class Eager:
 class Lazy(Eager):
     """The model has numbers only; categories are cut from them afterwards."""
 
+    codes = False
+
     def modelled(self, columns: dict[str, int]) -> dict[str, int]:
         return dict.fromkeys(columns, 0)
 

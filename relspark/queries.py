@@ -910,7 +910,7 @@ def hsbm_assign(spark, sf_dir):
 def scm_propagate(spark, sf_dir):
     """Causal columns for every order, conditioned on its customer's balance."""
     o = parent_gather(spark, sf_dir).select("o_orderkey", F.col("c_acctbal").cast("double").alias("balance"))
-    model = Scm.sample({"amount": 0, "grade": 5, "flag": 2}, seed=13, n_foreign=1, layout="Layered")
+    model = Scm.sample({"amount": 0, "grade": 5, "flag": 2}, seed=13, parents=[[0]], layout="Layered")
     return propagate(o, "o_orderkey", o.count(), model, ["balance"])
 
 

@@ -70,7 +70,7 @@ def test_registries():
 
 def test_scm_is_finite_and_independent_of_partitions(spark):
     for seed in range(6):
-        model = Scm.sample({"n": 0, "c": 3, "m": 0}, seed, n_foreign=1)
+        model = Scm.sample({"n": 0, "c": 3, "m": 0}, seed, parents=[[0]])
         rows = spark.range(200).select(F.col("id").alias("k"), (F.col("id") / 7).alias("up"))
         one = propagate(rows.coalesce(1), "k", 200, model, ["up"]).orderBy("k").collect()
         many = propagate(rows.repartition(7), "k", 200, model, ["up"]).orderBy("k").collect()
@@ -116,8 +116,11 @@ def test_database_from_ddl(spark):
 def test_scm_is_the_plain_loop():
     """Each row on its own, each node in turn, with scalars."""
     for seed in range(4):
-        m = Scm.sample({"n": 0, "c": 4}, seed, n_foreign=2)
-        rows, up = np.arange(3, 40, 3), np.random.default_rng(seed).normal(size=(13, 2))
+        # two parents: one of a number and a category, one of a category
+        m = Scm.sample({"n": 0, "c": 4}, seed, parents=[[0, 3], [5]])
+        rows, up = np.arange(3, 40, 3), np.random.default_rng(seed).normal(size=(13, 3))
+        up[:, 1], up[:, 2] = np.arange(13) % 3, np.arange(13) % 5
+        up[4] = np.nan
         got = m.run(rows, 50, up)
         for i, row in enumerate(rows):
             value = {}
@@ -129,7 +132,10 @@ def test_scm_is_the_plain_loop():
                 for p in m.dag.parents(v):
                     x = m.embeddings[p][int(value[p])] if m.categories[p] else np.array([value[p]])
                     each.append(np.clip(m.dag.edges[p, v] * m.encoders[p, v](x[None])[0], -1e4, 1e4))
-                each += [np.clip(m.foreign[f, v](np.array([[up[i, f]]]))[0] * (0.5 if m.aggregation[v] == "sum" else 1), -1e4, 1e4) for f in range(2)]
+                for f, share in enumerate((0.5, 0.5, 1.0)):
+                    there = not np.isnan(up[i, f])
+                    x = np.array([up[i, f] if there else 0.0]) if f == 0 else m.foreign_embeddings[f][int(up[i, f])] if there else np.zeros(scm.EMBEDDING)
+                    each.append(np.clip(m.foreign[f](x[None])[0] * (share if m.aggregation[v] == "sum" else 1), -1e4, 1e4))
                 met = {"sum": np.sum, "max": np.max, "product": np.prod, "logexp": np.logaddexp.reduce}[m.aggregation[v]](np.array(each), axis=0)
                 out = m.decoders[v](np.clip(m.node_noise(v, np.array([row]))[0] + met, -1e6, 1e6)[None])[0]
                 value[v] = float(np.argmax(m.embeddings[v] @ out)) if m.categories[v] else out[0]
@@ -158,3 +164,54 @@ def test_bipartite_edges(spark):
     assert len(got) == 60 and sorted(r.child for r in got) == list(range(60)) and all(0 <= r.parent < 30 and r.parent_cluster == r.parent // 5 and r.child_cluster == r.child // 10 for r in got)
     near = sum(r.parent_cluster == r.child_cluster for r in got)
     assert near > 45 and hsbm.pair_weight(4, 4, [2, 3], [2, 3], 4) == 0.9 * 0.9
+
+
+def test_beta_draws_are_exact_in_the_tails():
+    """Where the distribution function is known in full: arcsine, powers, and their mirror images; no draw depends on its batch."""
+    n = 200_000
+    rows = np.arange(n)
+    for a, b, cdf in ((0.5, 0.5, lambda x: 2 / np.pi * np.arcsin(np.sqrt(x))), (0.5, 1, np.sqrt), (3, 1, lambda x: x**3), (1, 4, lambda x: 1 - (1 - x) ** 4)):
+        x = scm.beta(7, 3, rows, a, b)
+        for at in (1e-8, 1e-6, 1e-4, 1e-2, 0.1, 0.5, 0.9, 0.99, 0.9999):
+            want = n * cdf(at)
+            assert abs((x < at).sum() - want) < 5 * np.sqrt(want * (1 - cdf(at))) + 1, (a, b, at)
+        some = np.array([199_999, 3, 77])
+        assert (scm.beta(7, 3, some, a, b) == x[some]).all()
+
+
+def test_sine_mixtures_are_drawn_for_each_layer():
+    r = np.random.default_rng(1)
+    mixes = [a for _ in range(200) for a in scm.Mlp.sample(r, 3, 2).activations if not isinstance(a, str)]
+    assert len(mixes) > 5 and len({m.phases.tobytes() for m in mixes}) == len(mixes) and {len(m.phases) for m in mixes} <= set(range(3, 8))
+    m, x = mixes[0], 0.3
+    assert np.isclose(m(np.array([x]))[0], sum(h * np.sin(f * x + p) for h, f, p in zip(m.heights, m.frequencies, m.phases, strict=True)))
+
+
+@pytest.mark.parametrize("fifth", [0, 4])
+def test_all_columns_of_a_parent_count(spark, fifth):
+    """A child changes when the fifth column of its parent does, a number or a category."""
+    model = Scm.sample({"y": 0, "z": 0}, 5, parents=[[0, 0, 2, 0, fifth]])
+    rows = spark.range(60).select(F.col("id").alias("k"), *(F.col("id") % 2 * 1.0 if i == 2 else (F.col("id") / 60).alias("x") for i in range(4)))
+    rows = rows.toDF("k", "a", "b", "c", "d")
+    other = lambda by: {r.k: (r.y, r.z) for r in propagate(rows.withColumn("e", (F.col("k") + by) % 4 * 1.0), "k", 60, model, ["a", "b", "c", "d", "e"]).collect()}
+    one, two = other(0), other(1)
+    assert one == other(4) and sum(one[k] != two[k] for k in one) > 50
+
+
+def test_descent_draws_as_the_whole_table_would(spark):
+    """Evenly spaced uniforms fall into the shares of the product of all levels' weights; five levels, and a last cluster that is cut."""
+    for levels, parents in (([3, 3, 3, 3, 3], 2430), ([2, 3], 17), ([3, 2, 2], 40)):
+        total = int(np.prod(levels))
+        size = hsbm._sizes(parents, total)
+        rows = hsbm.descent_rows(parents, levels, levels, 4)
+        assert len(rows) == total and all(len(s) == len(levels) for _, s in rows)
+        for cb in (0, total // 2, total - 1):
+            w = np.array([hsbm.pair_weight(a, cb, levels, levels, 4) for a in range(total)]) * size
+            shares = spark.createDataFrame([rows[cb]], hsbm.STEPS)
+            n = 20_000
+            got = spark.range(n).crossJoin(F.broadcast(shares)).select(hsbm.descend(F.col("steps"), (F.col("id") + 0.5) / n).alias("a")).groupBy("a").count().collect()
+            count = np.zeros(total)
+            for r in got:
+                count[r.a] = r["count"]
+            # evenly spaced numbers fall into each share to within one
+            assert np.abs(count - n * w / w.sum()).max() <= 1.01
