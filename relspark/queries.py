@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relspark.catalog import SPECS, entity_tables, epoch_seconds, open_database, topological_generations
-from relspark.functions import rng, series
+from relspark.functions import rng, series, sql
+from relspark.functions.encode import encode
 from relspark.operators import epochs, graph, metrics, sampler, stats, tasks, traversal
 from relspark.plans import hsbm
 from relspark.plans.generate import DatabaseConfig, TablePlan, generate
 from relspark.plans.scm import AGGREGATIONS, Scm, propagate
+from relspark.sources import parquet
 from relspark.sources.batches import read_batches
-from relspark.storage import numbered, running_within, shared_folder
+from relspark.storage import checkpointed, numbered, running_within, shared_folder
 from relspark.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -833,6 +835,38 @@ def embedding_lookup(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(e, "doc_id")
 
 
+@query(
+    f"""SELECT c."table", c.node_key, c."column", v.id AS value_id, n.id AS column_id, 64 AS value_dims, 64 AS column_dims, CASE WHEN c.txt = '' THEN 0.0 ELSE 1.0 END AS value_norm
+    FROM ({_ALL_CELLS_SQL}) c JOIN ({_DICT_SQL}) v ON v.kind = 'value' AND v.text = c.txt JOIN ({_DICT_SQL}) n ON n.kind = 'column' AND n.text = c."column\""""
+)
+def cell_embeddings(spark, sf_dir):
+    """Every text cell with the vectors of its value and of its column's name: both are entries of the dictionary, encoded and stored once."""
+    words = checkpointed(_dictionary(spark, sf_dir))
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    parquet.write_embeddings(encode(words), path)
+    texts = graph.class_ids(cells_melt(spark, sf_dir), words)
+    names = words.filter("kind = 'column'").select(F.col("id").alias("column_id"), F.col("text").alias("column"))
+    met = parquet.embedded(texts.join(names, "column"), spark, path).withColumnRenamed("embedding", "value_vector")
+    met = parquet.embedded(met, spark, path, "column_id")
+    norm = F.round(F.sqrt(F.aggregate("value_vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 3)
+    return met.select("table", "node_key", "column", F.col("class_id").alias("value_id"), "column_id", F.size("value_vector").alias("value_dims"), F.size("embedding").alias("column_dims"), norm.alias("value_norm"))
+
+
+@query(
+    """SELECT l_orderkey, round(max(x) + ln(sum(exp(x - top))), 6) AS logexp, round(sum(x), 6) AS total, round((max(x) + min(x)) / 2, 6) AS middle, round(max(sign(d) * ln(1 + abs(d))), 8) AS log_discount
+    FROM (SELECT l_orderkey, l_quantity / 10 AS x, max(l_quantity / 10) OVER (PARTITION BY l_orderkey) AS top, l_discount - 0.05 AS d FROM lineitem) GROUP BY l_orderkey"""
+)
+def sql_functions(spark, sf_dir):
+    """The registries from SQL text: an aggregation of an array, a transform, and a user's aggregate."""
+    sql.register(spark)
+    sql.register_aggregate(spark, "middle_of", lambda xs: (xs.max() + xs.min()) / 2)
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("relspark_lineitem")
+    arrays = """SELECT l_orderkey, agg_logexp(xs) AS logexp, agg_sum(xs) AS total, log_discount FROM
+        (SELECT l_orderkey, collect_list(l_quantity / 10) AS xs, max(tf_log(l_discount - 0.05D)) AS log_discount FROM relspark_lineitem GROUP BY l_orderkey)"""
+    own = "SELECT l_orderkey, middle_of(l_quantity / 10) AS middle FROM relspark_lineitem GROUP BY l_orderkey"
+    return spark.sql(f"SELECT l_orderkey, round(logexp, 6) AS logexp, round(total, 6) AS total, round(middle, 6) AS middle, round(log_discount, 8) AS log_discount FROM ({arrays}) JOIN ({own}) USING (l_orderkey)")
+
+
 # ---- row-wise parent aggregation
 
 _PARENTS_SQL = "(SELECT l_orderkey, greatest(-1e4, least(1e4, 0.313721931 * l_quantity)) AS a, greatest(-1e4, least(1e4, -2.000713939 * l_discount)) AS b, greatest(-1e4, least(1e4, 0.00101137717 * l_extendedprice)) AS c, l_linenumber, l_partkey FROM lineitem)"
