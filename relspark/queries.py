@@ -20,6 +20,7 @@ from relspark.sources import parquet
 from relspark.sources.batches import read_batches
 from relspark.storage import checkpointed, numbered, running_within, shared_folder
 from relspark.streaming import events
+from relspark.streaming.adjacency import placed_children
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -996,6 +997,13 @@ def stream_dedup(spark, sf_dir):
     return events.drained(made.select("event_id", "event_type"), "append")
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY time_bucket(INTERVAL 1 MILLISECOND, ts), event_id) - 1 AS rank FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL")
+def stream_adjacency(spark, sf_dir):
+    """Each event's place among its user's, given as the watermark passes it."""
+    made = placed_children(events.read_stream(spark, sf_dir, "events"), "user_id", "event_id", "ts")
+    return events.drained(made, "append").select(F.col("parent_key").alias("user_id"), F.col("child_key").alias("event_id"), "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
