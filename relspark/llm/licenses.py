@@ -9,6 +9,7 @@ diagonal band are aligned once, over template and document words, within the ban
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -47,6 +48,25 @@ TEMPLATES = {
         later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
         the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
         more details.""",
+    "bsd-3-clause-whole": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    "isc-whole": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
         provided that the above copyright notice and this permission notice appear in all copies.""",
     "mit-line": "Released under the MIT License.",
@@ -55,6 +75,15 @@ TEMPLATES = {
         rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
         persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
         this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "mit-whole": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
 }
@@ -136,6 +165,14 @@ class Index:
         """How far an alignment may drift from its hits' diagonals."""
         return min(16, len(self.words[k]) // 8 + 1)
 
+    def exact(self, numbers: np.ndarray, k: int, low: int, high: int) -> int | None:
+        """The first place of the band at which the template stands word by word."""
+        t = self.words[k]
+        for d in range(max(low, 0), min(high, len(numbers) - len(t)) + 1):
+            if numbers[d] == t[0] and np.array_equal(numbers[d : d + len(t)], t):
+                return d
+        return None
+
     def align(self, numbers: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int]:
         """Matched words and the first and last of them in the document, of the longest common subsequence within the band."""
         t, band = self.words[k].tolist(), self.band(k)
@@ -161,7 +198,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """``doc_id, license, coverage, matched_words, start, end``: a row for each template found in a text.
 
     ``start`` and ``end`` (exclusive) are code points of the matched part; ``coverage`` is the share of
-    the template's words that a band's alignment matches in order. Overlapping finds of one
+    the template's words that a band's alignment matches in order; a template that stands there word by word needs no alignment. Overlapping finds of one
     template keep the better one (ties: the first); finds of different templates may overlap. Null
     and empty texts, and texts without a template, give no row; repeated rows repeat theirs; an
     empty table or no templates give none. Columns other than ``doc_id`` and ``text`` are ignored.
@@ -179,15 +216,18 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         spans = [m.span() for m in _WORD.finditer(low)]
         finds: dict[int, list[tuple[float, int, int, int]]] = defaultdict(list)
         for k, a, b in bands:
-            m, s, e = index.align(numbers, k, a, b)
+            at = index.exact(numbers, k, a, b)
+            m, s, e = index.align(numbers, k, a, b) if at is None else (len(index.words[k]), at, at + len(index.words[k]) - 1)
             if m >= coverage * len(index.words[k]):
                 finds[k].append((-m / len(index.words[k]), spans[s][0], spans[e][1], m))
         out = []
         for k, each in finds.items():
             taken: list[tuple[int, int]] = []
             for c, s, e, m in sorted(each):
-                if all(e <= x or s >= y for x, y in taken):
-                    taken.append((s, e))
+                # finds that are taken don't overlap, so only the nearest on either side can be in the way
+                i = bisect_left(taken, (s, e))
+                if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+                    insort(taken, (s, e))
                     out.append((index.names[k], round(-c, 6), m, s, e))
         return out
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from functools import lru_cache
 
 from hypothesis import given, settings
@@ -58,3 +60,59 @@ def test_alignment_is_the_banded_common_subsequence(doc):
         got = index.align(numbers, k, low, high)
         assert got[0] == best(0, 0)
         assert got[0] / len(t) >= 0 and COVERAGE > 0
+
+
+def plain_finds(text, templates):
+    """Every template in a text by lists and slices: hits of selected grams, bands, a full table a band, and the better of overlapping finds."""
+    words = [(m[0].lower(), *m.span()) for m in licenses._WORD.finditer(text)]
+    doc, out = [w[0] for w in words], []
+    for name, t in templates.items():
+        t = t.lower().split()
+        index = Index(templates)
+        k = index.names.index(name)
+        grams = [tuple(t[i : i + 3]) for i in range(len(t) - 2)]
+        chosen = {grams[i] for i in range(len(grams)) for g in [index.grams(index.words[k])[i]] if (k, i) in index.posts[int(g)]}
+        at = sorted({j - i for j in range(len(doc) - 2) for i, g in enumerate(grams) if g in chosen and tuple(doc[j : j + 3]) == g and (k, i) in index.posts[int(index.grams(index.words[k])[i])]})
+        bands, band = [], index.band(k)
+        for d in at:
+            if bands and d - bands[-1][0] <= band:
+                bands[-1][1] = d
+            else:
+                bands.append([d, d])
+        finds = []
+        for low, high in bands:
+            whole = [d for d in range(low, high + 1) if doc[max(d, 0) : d + len(t)] == t]
+            best = (0, 0, -1)
+            table = {}
+            for i in range(len(t)):
+                for j in range(max(0, low - band + i), min(len(doc), high + band + i + 1)):
+                    here = max(table.get((i - 1, j), (0, 0, -1)), table.get((i, j - 1), (0, 0, -1)))
+                    if t[i] == doc[j]:
+                        m, s, _ = table.get((i - 1, j - 1), (0, 0, -1))
+                        here = max(here, (m + 1, s if m else -j, j))
+                    table[i, j] = here
+                    best = max(best, here)
+            m, s, e = (len(t), -whole[0], whole[0] + len(t) - 1) if whole else best
+            if m >= COVERAGE * len(t):
+                finds.append((-m / len(t), words[-s][1], words[e][2], m))
+        kept = []
+        for c, s, e, m in sorted(finds):
+            if all(e <= x or s >= y for x, y in kept):
+                kept.append((s, e))
+                out.append((name, round(-c, 6), m, s, e))
+    return out
+
+
+def test_query_against_plain_lists(spark):
+    r = random.Random(6)
+    templates = {"one": "a b c d e f g a b", "two": "b c d x y z", "three": "a b a b a b c"}
+    rows = [(i, " ".join(r.choice(["a b c d e f g a b", "b c d x y z", "a b a b a b c", *"abcdxyzq", "e f g"]) for _ in range(r.randrange(30)))) for i in range(60)]
+    want = sorted(((d, *x) for d, t in rows for x in plain_finds(t, templates)), key=str)
+    assert len(want) > 100 and found(spark, rows, templates=templates) == want
+
+
+def test_a_long_text_of_one_notice(spark):
+    began = time.time()
+    text = (re.sub(r"\s+", " ", TEMPLATES["mit-line"]) + " ") * 160_000
+    assert len(text) > 5_000_000 and len(found(spark, [(1, text)])) == 160_000
+    assert time.time() - began < 60
