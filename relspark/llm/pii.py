@@ -3,7 +3,9 @@
 Protected entities are pattern matches (addresses, numbers) and keys: long runs of letters and digits
 mixed. How much a term t near an entity e reveals of it is measured as in information-theoretic
 sanitisation: PMI(e; t) = log2(n(e, t) N / (n(e) n(t))) against the information content
-IC(e) = log2(N / n(e)). A term whose PMI reaches DISCLOSURE of IC is generalised where it stands
+IC(e) = log2(N / n(e)). Few sightings prove little, so PMI is weighed by n(e, t) / (n(e, t) + PRIOR) and by m / (m + PRIOR), m the lesser of
+n(e) and n(t): a term that was seen once with an entity seen once counts 0.44 of its PMI, and takes three texts to be generalised and ten to be removed
+if it never stands elsewhere. A term whose weighed PMI reaches DISCLOSURE of IC is generalised where it stands
 near e, one that reaches DETERMINES of it is removed. An entity counts as itself and as a member of its
 class (mail domain, network, issuer, area), so that evidence on a class adds up over its members. All
 numbers are numbers of distinct texts, and all are exact: a text that is there many times is one.
@@ -30,6 +32,8 @@ SECRET = "secret"
 CONTEXT, REACH = 8, 160
 #: Shares of an entity's information from which a term is generalised, and removed.
 DISCLOSURE, DETERMINES = 2 / 3, 0.9
+#: What is added to numbers of sightings: as much doubt as half a sighting to the contrary.
+PRIOR = 0.5
 #: Different words that a task counts before it hands them on.
 COUNTED = 300_000
 
@@ -195,6 +199,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     frequency = seen.select(F.explode(F.arrays_zip("w", "n")).alias("x")).select(F.col("x.w").alias("t"), "x.n").join(terms, "t", "left_semi").groupBy("t").agg(F.round(F.sum("n")).alias("n_t"))
     weighed = pairs.join(frequency, "t").join(entity_texts, "e")
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
+    few = F.least("n_e", "n_t")
+    pmi = pmi * F.col("n_et") / (F.col("n_et") + PRIOR) * few / (few + PRIOR)
     share = F.when(F.col("n_e") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_e")))
     risky = weighed.withColumn("share", share).filter(F.col("share") >= DISCLOSURE - 1e-9).select("e", "t", F.when(F.col("share") >= DETERMINES - 1e-9, "remove").otherwise("generalise").alias("kind"))
     flagged = (
@@ -207,8 +213,19 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "th", F.concat("base", F.coalesce("terms", none)).alias("spans"))
 
 
+def general(term: str) -> str:
+    """The class of a term by its shape: numbers by their digits, codes of letters and digits, names and acronyms by their capitals, else words."""
+    if term.isdigit():
+        return f"[NUMBER OF {len(term)} DIGITS]"
+    if any(map(str.isdigit, term)):
+        return "[CODE]"
+    if term.isupper():
+        return "[ACRONYM]"
+    return "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with every span replaced: patterns by [KIND], generalised terms by [TERM], removed ones by nothing.
+    """``doc_id, text`` with every span replaced: patterns by [KIND], generalised terms by what they are (see ``general``), removed ones by nothing.
 
     Overlapping spans are replaced as one, by the first of them. Null texts stay null.
     """
@@ -223,7 +240,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 parts, end = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= end:
-                        parts += [text[end : s["start"]], {"generalise": "[TERM]", "remove": ""}.get(s["kind"], f"[{s['kind'].upper()}]")]
+                        what = general(text[s["start"] : s["end"]]) if s["kind"] == "generalise" else "" if s["kind"] == "remove" else f"[{s['kind'].upper()}]"
+                        parts += [text[end : s["start"]], what]
                     end = max(end, s["end"])
                 out.append(None if text is None else "".join([*parts, text[end:]]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])

@@ -44,18 +44,20 @@ def test_long_runs_stay_fast():
 
 
 def test_terms_that_reveal_an_entity(spark):
-    rows = [(i, f"text number {i}: the patient Zephyrine wrote from ann@clinic.org about item{i}") for i in range(6)]
-    rows += [(i, f"plain words about the weather and text number {i}") for i in range(10, 200)] + [(300, None), (301, ""), (302, "x ann@clinic.org"), (302, "x ann@clinic.org"), (None, "10.1.1.1")]
+    rows = [(i, f"text number {i}: the patient Zephyrine wrote from ann@clinic.org about item{i}") for i in range(12)] + [(20 + i, f"ask Ondine or ann@clinic.org for leaf {i}") for i in range(4)]
+    rows += [(i, f"plain words about the weather and text number {i}") for i in range(30, 220)] + [(300, None), (301, ""), (302, "x ann@clinic.org"), (302, "x ann@clinic.org"), (None, "10.1.1.1")]
     df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, start int").repartition(3)
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in find_pii(df).collect()}
     assert find_pii(df).count() == len(rows)
     text = rows[0][1]
     terms = {text[s:e]: k for k, s, e in got[0][1:]}
     assert got[0][0] == ("email", text.index("ann@"), text.index(" about"))
-    assert terms.get("Zephyrine") == "remove" and "patient" in terms and "the" not in terms and "number" not in terms and terms.get("item0") == "remove"
-    assert got[300] == got[301] == [] and got[None] == [("ip", 0, 8)] and got[10] == []
+    # twelve texts prove much, four something, one nothing
+    assert terms.get("Zephyrine") == "remove" and "the" not in terms and "number" not in terms and "item0" not in terms
+    assert {rows[12][1][s:e]: k for k, s, e in got[20][1:]}["Ondine"] == "generalise"
+    assert got[300] == got[301] == [] and got[None] == [("ip", 0, 8)] and got[30] == []
     clean = {r.doc_id: r.text for r in sanitised(df).collect()}
-    assert "ann@" not in clean[0] and "Zephyrine" not in clean[0] and "[EMAIL]" in clean[0] and clean[300] is None and clean[None] == "[IP]"
+    assert "ann@" not in clean[0] and "Zephyrine" not in clean[0] and "[EMAIL]" in clean[0] and clean[20].startswith("[WORD] [NAME] or [EMAIL]") and clean[300] is None and clean[None] == "[IP]"
     assert find_pii(df.limit(0)).collect() == []
 
 
@@ -84,7 +86,10 @@ def brute_terms(docs):
         for e, (x, y) in each:
             w = t[x:y].lower()
             if n_e[e] < n:
-                share = math.log2(n_et[e, w] * n / (n_e[e] * sum(w in words[u] for u in texts))) / math.log2(n / n_e[e])
+                n_t = sum(w in words[u] for u in texts)
+                few = min(n_e[e], n_t)
+                weight = n_et[e, w] / (n_et[e, w] + pii.PRIOR) * few / (few + pii.PRIOR)
+                share = weight * math.log2(n_et[e, w] * n / (n_e[e] * n_t)) / math.log2(n / n_e[e])
                 if share >= pii.DISCLOSURE - 1e-9:
                     kind = "remove" if share >= pii.DETERMINES - 1e-9 else "generalise"
                     out.setdefault(t, {})[x, y] = max(kind, out.get(t, {}).get((x, y), kind))
@@ -103,7 +108,7 @@ def test_terms_match_brute_force(spark, monkeypatch):
             k = r.randrange(4)
             w[r.randrange(len(w))] = r.choice([f"{names[k]} n{i}@host{k}.org", f"{names[k]}, 10.{k}.0.{i}", f"+49 30 1234 5{i:03d}", f"key = 0123456789abcdef01234567{i:02x}"])
         rows.append((i, " ".join(w)))
-    rows += [(450 + i, f"the {'word1 ' * i} Xanthe ann@clinic.org and of word{i}") for i in range(4)]
+    rows += [(450 + i, f"the {'word1 ' * i} Xanthe ann@clinic.org and of word{i}") for i in range(14)]
     rows += [(500 + i, rows[i % 7][1]) for i in range(40)] + [(900, None), (901, "")]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, copies int").repartition(3)
     want = brute_terms(rows)
