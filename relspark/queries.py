@@ -868,6 +868,65 @@ def sql_functions(spark, sf_dir):
     return spark.sql(f"SELECT l_orderkey, round(logexp, 6) AS logexp, round(total, 6) AS total, round(middle, 6) AS middle, round(log_discount, 8) AS log_discount FROM ({arrays}) JOIN ({own}) USING (l_orderkey)")
 
 
+# ---- sources and sinks: written to the shared folder, read back
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(
+    f"""SELECT 'nodes' AS part, "table" AS name, count(*) AS n FROM ({_ALL_CELLS_SQL}) GROUP BY ALL UNION ALL SELECT 'edges', child_table || '.' || fk_col, count(*) FROM ({_EDGES_SQL}) GROUP BY ALL
+    UNION ALL SELECT 'dictionary', kind, count(*) FROM ({_DICT_SQL}) GROUP BY ALL UNION ALL SELECT 'tables', "table", n_rows FROM ({_COUNTS})"""
+)
+def graph_store(spark, sf_dir):
+    """The row graph as files: cells by node, edges by parent and time, the dictionary, the table list; what each holds when read back."""
+    db, path = open_database(spark, sf_dir), _folder(spark)
+    parquet.write_graph(path, graph.database_cells(db), graph.edges(db), _dictionary(spark, sf_dir), db.counts())
+    back = lambda part, name, n=F.count("*"): spark.read.parquet(f"{path}/{part}.parquet").groupBy(name.alias("name")).agg(n.alias("n")).select(F.lit(part).alias("part"), "name", "n")
+    edges = back("edges", F.concat_ws(".", "child_table", "fk_col"))
+    return back("nodes", F.col("table")).unionByName(edges).unionByName(back("dictionary", F.col("kind"))).unionByName(back("tables", F.col("table"), F.sum("n_rows")))
+
+
+@query(
+    f"""SELECT c.*, coalesce(string_agg(f.col || '>' || f.parent, ',' ORDER BY f.col), '') AS fkeys FROM (SELECT "table", n_rows FROM ({_COUNTS})) c
+    LEFT JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS t, '{k}' AS col, '{p}' AS parent" for c, k, p in _FKEYS)}) f ON f.t = c."table" GROUP BY ALL"""
+)
+def database_roundtrip(spark, sf_dir):
+    """A database written with its keys and read from its folder: every table's rows and foreign keys."""
+    path = _folder(spark)
+    parquet.write_database(open_database(spark, sf_dir), path)
+    db = parquet.read_database(spark, path)
+    fkeys = F.create_map(*(F.lit(x) for s in db.specs.values() for x in (s.name, ",".join(f"{c}>{p}" for c, p in sorted(s.fkeys.items())))))
+    return db.counts().select("table", "n_rows", fkeys[F.col("table")].alias("fkeys"))
+
+
+@query(f"SELECT o_orderkey, {_SPLIT_SQL} AS split, round(o_totalprice, 2) AS target FROM orders WHERE {_SPLIT_SQL} IS NOT NULL")
+def task_roundtrip(spark, sf_dir):
+    """A task table as files of its splits, read back as one."""
+    path = _folder(spark)
+    parquet.write_task(_split(read(spark, sf_dir, "orders")).select("o_orderkey", F.round("o_totalprice", 2).alias("target"), "split"), path, "order-price")
+    return parquet.read_task(spark, path, "order-price", parquet.hyphen_rule(path))
+
+
+@query(
+    f"""SELECT split, count(*) AS n, round(avg(abs(o_totalprice - m)), 2) AS mae FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders),
+    (SELECT avg(o_totalprice) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01') WHERE split <> 'train' GROUP BY split"""
+)
+def leaderboard(spark, sf_dir):
+    """Predictions stored by split (the training mean for all), joined back, scored, and written as one CSV."""
+    path, df = _folder(spark), _split(read(spark, sf_dir, "orders"))
+    mean = df.filter("split = 'train'").agg(F.avg("o_totalprice").alias("pred"))
+    scores = []
+    for split in ("val", "test"):
+        own = df.filter(F.col("split") == split)
+        parquet.write_predictions(own.select("o_orderkey").crossJoin(F.broadcast(mean)), path, "order-price", split)  # one row
+        met = own.join(parquet.read_predictions(spark, path, "order-price", split), "o_orderkey")
+        scores.append(met.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("o_totalprice") - F.col("pred"))), 2).alias("mae")))
+    parquet.write_leaderboard(_all(scores), f"{path}/leaderboard")
+    return spark.read.schema("split string, n long, mae double").csv(f"{path}/leaderboard", header=True)
+
+
 # ---- row-wise parent aggregation
 
 _PARENTS_SQL = "(SELECT l_orderkey, greatest(-1e4, least(1e4, 0.313721931 * l_quantity)) AS a, greatest(-1e4, least(1e4, -2.000713939 * l_discount)) AS b, greatest(-1e4, least(1e4, 0.00101137717 * l_extendedprice)) AS c, l_linenumber, l_partkey FROM lineitem)"
@@ -941,6 +1000,16 @@ def hsbm_assign(spark, sf_dir):
     return hsbm.assign(o, "o_orderkey", o.count(), read(spark, sf_dir, "customer").count(), [2, 3], [2, 2], 9)
 
 
+@query(
+    f"""SELECT a.parent, a.o_orderkey AS child, least(a.parent // ((nc + 3) // 4), 3)::INT AS parent_cluster, least(a.o_orderkey // ((no + 5) // 6), 5)::INT AS child_cluster
+    FROM ({SQL['hsbm_assign']}) a, (SELECT count(*) AS nc FROM customer), (SELECT count(*) AS no FROM orders)"""
+)
+def bipartite_edges(spark, sf_dir):
+    """Orders and their drawn customers as edges between clusters."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    return hsbm.bipartite(o, "o_orderkey", o.count(), read(spark, sf_dir, "customer").count(), [2, 3], [2, 2], 9)
+
+
 @query()
 def scm_propagate(spark, sf_dir):
     """Causal columns for every order, conditioned on its customer's balance."""

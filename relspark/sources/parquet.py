@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,37 @@ def _stem(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2].removesuffix(".parquet")
 
 
+def hyphen_rule(base: str, extra: int = 2, but: str = "rating-") -> Callable[[str], bool]:
+    """A test of paths: one with exactly ``extra`` more hyphens than ``base`` is left out, unless its name begins with ``but``."""
+    return lambda path: path.count("-") != base.count("-") + extra or path.rpartition("/")[2].startswith(but)
+
+
+@dataclass(frozen=True)
+class TableRules:
+    """What to change in a table as it is read: columns to drop, and columns to read as booleans by a cast, or as whether they equal the first row's value."""
+
+    drop: tuple[str, ...] = ()
+    as_boolean: tuple[str, ...] = ()
+    is_first: tuple[str, ...] = ()
+
+
+def with_rules(db: RelationalDB, rules: dict[str, TableRules]) -> RelationalDB:
+    """``db`` with ``rules`` by table applied; a rule for a table or column that isn't there does nothing."""
+    tables = dict(db.tables)
+    for name, rule in rules.items():
+        if name in tables:
+            df = tables[name].drop(*rule.drop)
+            for c in set(rule.as_boolean) & set(df.columns):
+                df = df.withColumn(c, F.col(c).cast("boolean"))
+            for c in set(rule.is_first) & set(df.columns):
+                key = db.specs[name].pkey
+                first = df.agg(F.min_by(F.col(c).cast("string"), key).alias("v")).first()["v"]
+                df = df.withColumn(c, F.col(c).cast("string") == F.lit(first))
+            tables[name] = df
+    specs = {n: TableSpec(s.name, s.pkey, s.time_col, {c: p for c, p in s.fkeys.items() if c in tables[n].columns}) for n, s in db.specs.items()}
+    return RelationalDB(tables, specs)
+
+
 def write_database(db: RelationalDB, path: str, mode: str = "errorifexists") -> None:
     """Tables under ``db/`` and their keys in ``catalog``, one JSON row a table."""
     for name, df in db.tables.items():
@@ -64,9 +96,9 @@ def footer_keys(spark: SparkSession, path: str) -> TableSpec:
     return TableSpec(_stem(path), get("pkey_col", None), get("time_col", None), get("fkey_col_to_pkey_table", None) or {})
 
 
-def read_task(spark: SparkSession, path: str, task: str) -> DataFrame:
-    """A task's splits as one table with ``split``; a file of another name is an error."""
-    found = _paths(spark, f"{path}/tasks/{task}/*.parquet")
+def read_task(spark: SparkSession, path: str, task: str, keep: Callable[[str], bool] = lambda path: True) -> DataFrame:
+    """A task's splits as one table with ``split``; a file of another name is an error. ``keep`` tests paths, see ``hyphen_rule``."""
+    found = [p for p in _paths(spark, f"{path}/tasks/{task}/*.parquet") if keep(p)]
     if odd := [p for p in found if _stem(p) not in SPLITS]:
         raise ValueError(f"{odd[0]} is no split")
     if not found:

@@ -261,3 +261,13 @@ def test_running_sums_cross_partitions(spark):
     # a hot group is scanned by all tasks
     assert got.filter("g = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
     assert storage.running_within(df.limit(0), ["g"], ["o"], {"total": "v"}).count() == 0
+
+
+def test_rules_and_paths(spark):
+    db = small_db(spark)
+    ruled = parquet.with_rules(db, {"a": parquet.TableRules(drop=("v",), is_first=("s",)), "b": parquet.TableRules(drop=("a_k", "nothing")), "c": parquet.TableRules(drop=("x",))})
+    assert ruled.tables["a"].columns == ["k", "s"] and [r.s for r in ruled.tables["a"].orderBy("k").collect()] == [True, False, None]
+    assert ruled.specs["b"].fkeys == {} and "a_k" not in ruled.tables["b"].columns
+    keep = parquet.hyphen_rule("/data/rel-x")
+    assert keep("/data/rel-x/tasks/churn/val.parquet") and keep("/data/rel-x/tasks/user-churn/val.parquet")
+    assert not keep("/data/rel-x/tasks/user-item-churn/val.parquet") and keep("/data/rel-x/tasks/a/rating-x-val.parquet")
