@@ -150,24 +150,30 @@ def word_encoder(path: str) -> WordEncoder:
 #: Documents of more characters are encoded in chunks, each with the beginning of the next.
 HUGE = 32_768
 CHUNK, OVERLAP = 16_384, 256
-#: How much wider the overlaps get where neighbours share no boundary.
-WIDEN = 8
 #: Where the tokenizer provably starts afresh: between another character and white space.
 _FRESH = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
+_PARTS = "array<struct<no:bigint,until:bigint>>"
+_CUT = pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("until", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
+
+
 def _cut(chunk: int, overlap: int) -> Callable:
-    """Rows ``doc, no, last, start, text``: chunks at every ``chunk`` characters, each with ``overlap`` characters more; the last is the longer one."""
+    """Rows ``doc, no, until, last, text`` of ``doc, text, parts``: the text's pieces ``no`` to ``until`` of ``chunk`` characters, with ``overlap`` characters more.
+
+    Without ``parts`` each piece is a chunk of its own; the last is the longer one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for d, t, parts in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True):
                 n = max(1, -(-(len(t) - overlap) // chunk))
-                for i in range(0, n, 64):
-                    no = range(i, min(n, i + 64))
+                each = [(i, i) for i in range(n)] if parts is None else [(p["no"], p["until"]) for p in parts]
+                for i in range(0, len(each), 64):
+                    some = each[i : i + 64]
                     yield pa.RecordBatch.from_pydict(
-                        {"doc": [d] * len(no), "no": list(no), "last": [k == n - 1 for k in no], "start": [k * chunk for k in no], "text": [t[k * chunk : (k + 1) * chunk + overlap] for k in no]},
-                        schema=pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("text", pa.string())]),
+                        {"doc": [d] * len(some), "no": [x for x, _ in some], "until": [y for _, y in some], "last": [y == n - 1 for _, y in some], "text": [t[x * chunk :] if y == n - 1 else t[x * chunk : (y + 1) * chunk + overlap] for x, y in some]},
+                        schema=_CUT,
                     )
 
     return run
@@ -188,7 +194,7 @@ def _seams(text: str, ends: list[int], start: int, low: int, high: int) -> tuple
     return at, tokens
 
 
-_CODED = pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("last", pa.bool_()), ("total", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("head", "head_tokens", "tail", "tail_tokens"))])
+_CODED = pa.schema([("doc", pa.int64()), ("no", pa.int64()), ("until", pa.int64()), ("last", pa.bool_()), ("total", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("head", "head_tokens", "tail", "tail_tokens"))])
 
 
 def _encode_chunks(path: str, chunk: int, overlap: int) -> Callable:
@@ -196,20 +202,21 @@ def _encode_chunks(path: str, chunk: int, overlap: int) -> Callable:
         library = encoder(path, BEFORE_SPACE, len).tokenizer
         for b in batches:
             rows = []
-            for r, t in zip(b.select(["doc", "no", "last", "start"]).to_pylist(), b.column("text").to_pylist(), strict=True):
+            for r, t in zip(b.select(["doc", "no", "until", "last"]).to_pylist(), b.column("text").to_pylist(), strict=True):
                 ends = [e for _, e in library.encode(t, add_special_tokens=False).offsets]
-                head = _seams(t, ends, r["start"], 0, overlap) if r["no"] else ([], [])
-                tail = ([], []) if r["last"] else _seams(t, ends, r["start"], chunk, len(t))
-                rows.append({"doc": r["doc"], "no": r["no"], "last": r["last"], "total": len(ends), "head": head[0], "head_tokens": head[1], "tail": tail[0], "tail_tokens": tail[1]})
+                start = r["no"] * chunk
+                head = _seams(t, ends, start, 0, overlap) if r["no"] else ([], [])
+                tail = ([], []) if r["last"] else _seams(t, ends, start, (r["until"] + 1) * chunk - start, len(t))
+                rows.append({**r, "total": len(ends), "head": head[0], "head_tokens": head[1], "tail": tail[0], "tail_tokens": tail[1]})
             yield pa.RecordBatch.from_pylist(rows, schema=_CODED)
 
     return run
 
 
 def _splice(rows: pa.Table) -> pa.Table:
-    """One document's chunks to its token count; null if two neighbours share no boundary."""
+    """One document's chunks to its token count, or to ``again``: the runs of chunks whose neighbours share no boundary."""
     chunks = sorted(rows.to_pylist(), key=lambda r: r["no"])
-    total, begin = 0, 0
+    total, begin, again = 0, 0, []
     for a, b in zip(chunks, [*chunks[1:], None], strict=True):
         if b is None:
             total += a["total"] - begin
@@ -217,32 +224,40 @@ def _splice(rows: pa.Table) -> pa.Table:
         head = dict(zip(b["head"], b["head_tokens"], strict=True))
         seam = next(((t, head[at]) for at, t in zip(a["tail"], a["tail_tokens"], strict=True) if at in head), None)
         if seam is None:
-            total = None
-            break
+            if again and again[-1]["until"] == a["until"]:
+                again[-1]["until"] = b["until"]
+            else:
+                again.append({"no": a["no"], "until": b["until"]})
+            seam = (0, 0)
         total += seam[0] - begin
         begin = seam[1]
-    return pa.table({"doc": pa.array([chunks[0]["doc"]], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+    kind = pa.list_(pa.struct([("no", pa.int64()), ("until", pa.int64())]))
+    return pa.table({"doc": pa.array([chunks[0]["doc"]], pa.int64()), "n_tokens": pa.array([None if again else total], pa.int64()), "again": pa.array([again], kind)})
 
 
 def huge_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc, n_tokens`` of ``docs(doc long, text)``: chunks spread over all tasks, neighbours spliced by document.
 
     Each chunk is encoded whole by the library. Neighbours are spliced at an offset in their overlap where
-    both encodings have a boundary and the tokenizer starts afresh. Documents of which two neighbours
-    share none are encoded again with overlaps WIDEN times as wide, and chunks at least as long, until one chunk holds the document.
+    both encodings have a boundary and the tokenizer starts afresh. Where two neighbours share none, their overlap is widened to the
+    whole of the next: they are encoded again as one chunk, and all other chunks stand. Rounds end at the latest when one chunk holds the document.
     """
-    out = None
+
+    def encoded(df: DataFrame) -> DataFrame:
+        cut = df.mapInArrow(_cut(chunk, overlap), "doc long, no long, until long, last boolean, text string")
+        return cut.repartition("doc", "no").mapInArrow(_encode_chunks(path, chunk, overlap), "doc long, no long, until long, last boolean, total long, head array<long>, head_tokens array<long>, tail array<long>, tail_tokens array<long>")
+
+    coded, out = checkpointed(encoded(docs.withColumn("parts", F.lit(None).cast(_PARTS)))), None
     while True:
-        cut = docs.mapInArrow(_cut(chunk, overlap), "doc long, no long, last boolean, start long, text string")
-        coded = cut.repartition("doc", "no").mapInArrow(_encode_chunks(path, chunk, overlap), "doc long, no long, last boolean, total long, head array<long>, head_tokens array<long>, tail array<long>, tail_tokens array<long>")
-        done = checkpointed(coded.groupBy("doc").applyInArrow(_splice, "doc long, n_tokens long"))
-        good = done.filter("n_tokens IS NOT NULL")
+        done = checkpointed(coded.groupBy("doc").applyInArrow(_splice, f"doc long, n_tokens long, again {_PARTS}"))
+        good = done.filter("n_tokens IS NOT NULL").select("doc", "n_tokens")
         out = good if out is None else out.unionByName(good)
-        failed = done.filter("n_tokens IS NULL")
+        failed = done.filter("n_tokens IS NULL").select("doc", F.col("again").alias("parts"))
         if failed.isEmpty():
             return out
-        overlap *= WIDEN
-        docs, chunk = docs.join(failed.select("doc"), "doc", "left_semi"), max(chunk, overlap)
+        inside = F.exists("parts", lambda p: (F.col("no") >= p["no"]) & (F.col("no") <= p["until"]))
+        stand = coded.join(failed, "doc").filter(~inside).select(*coded.columns)
+        coded = checkpointed(stand.unionByName(encoded(docs.join(failed, "doc"))))
 
 
 def token_counts(docs: DataFrame, path: str, keep: Column | None = None) -> DataFrame:

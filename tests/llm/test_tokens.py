@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +92,16 @@ def test_groups_do_not_depend_on_partitions(spark):
     for d, _, _, s, _ in got[0]:
         groups.setdefault(s >> 32, []).append(d)
     assert len(groups) > 5 and max(x.count(1) for x in groups.values()) < 60
+
+
+def test_only_the_chunks_at_a_failed_seam_are_encoded_again(spark):
+    """A run of letters over one seam, and one over three: the count is the library's, and pieces elsewhere stay as they are."""
+    words = "some words and more of them, again and again " * 40
+    rows = [(1, words + "q" * 300 + words), (2, words + "z" * 900 + words), (3, "y" * 2500), (4, words)]
+    got = tokens.huge_counts(spark.createDataFrame(rows, "doc long, text string"), BYTE, 256, 16)
+    assert {r.doc: r.n_tokens for r in got.collect()} == {d: len(library[BYTE].encode(t, add_special_tokens=False).ids) for d, t in rows}
+    run = tokens._cut(256, 16)
+    first = pa.RecordBatch.from_pydict({"doc": [1], "text": [rows[0][1]], "parts": [None]})
+    coded = [x for b in tokens._encode_chunks(BYTE, 256, 16)(run(iter([first]))) for x in b.to_pylist()]
+    again = tokens._splice(pa.Table.from_pylist(coded, schema=tokens._CODED)).to_pylist()[0]["again"]
+    assert len(again) == 1 and again[0]["until"] - again[0]["no"] <= 3 and len(coded) > 10
