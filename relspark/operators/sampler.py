@@ -57,6 +57,8 @@ class Adjacency:
         counts = self.visible_counts(frontier)
         same_ts = F.col("f.seed_ts").eqNullSafe(F.col("c.seed_ts"))
         met = frontier.alias("f").join(counts.alias("c"), (F.col("f.node") == F.col("c.node")) & same_ts).select("f.*", "visible")
+        # few bytes that become many rows: dealt to all tasks, where adaptive execution would put them into few
+        met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed_key", "node")
         drawn = met.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("visible", F.lit(width).cast("long")) - 1))) if width > 0 else met.withColumn("j", F.lit(0).cast("long")).limit(0)
         edge = lambda j: F.floor(j * F.col("visible") / width).cast("long")
         low, high = edge(F.col("j")), edge(F.col("j") + 1)

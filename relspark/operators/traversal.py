@@ -188,6 +188,8 @@ def traverse(seeds: DataFrame, edges: DataFrame, sizes: DataFrame, length: int,
     graph, above = Adjacency(edges.drop("pos"), stored=True), bucketed(ancestors(edges, sizes, generations), ["node"])
     cells = bucketed(sizes.select("node", F.col("n_cells").cast("long").alias("n_cells")), ["node"])
     visits = over = None
+    # walkers are dealt to all tasks: their rows are few bytes and much work
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sized(df: DataFrame) -> DataFrame:
         return df.join(cells, "node", "left").fillna(0, ["n_cells"])
@@ -206,7 +208,8 @@ def traverse(seeds: DataFrame, edges: DataFrame, sizes: DataFrame, length: int,
         here = reachable(pending.filter(F.col("depth") == depth)).join(above, "node", "left")
         asked = here.select("seed_key", "node", "r", "n_cells", F.coalesce("steps", F.array().cast(STEPS)).alias("steps"))
         known = visits.join(over, "seed_key", "left_anti") if visits is not None else seeds.sparkSession.createDataFrame([], VISIT)
-        new = checkpointed(known.groupBy("seed_key").cogroup(asked.groupBy("seed_key")).applyInArrow(_walk(depth, length), VISIT))
+        walkers = known.repartition(parts, "seed_key").groupBy("seed_key").cogroup(asked.repartition(parts, "seed_key").groupBy("seed_key"))
+        new = checkpointed(walkers.applyInArrow(_walk(depth, length), VISIT))
         if new.isEmpty():
             if pending.filter(F.col("depth") > depth).isEmpty():
                 break
