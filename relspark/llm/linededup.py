@@ -4,7 +4,7 @@ A text has two kinds of lines, and windows of either kind count. Its own lines a
 ends, blank ones left out; three of them that stand before are cut however short they are. Wrapped
 lines are cut at line ends, after sentences, and inside sentences where the words themselves say so, so
 a passage that many documents hold inside one long paragraph is several lines as well, and the same ones
-wherever in a sentence it begins. Short lines and sentences are joined to wrapped lines of six words at
+wherever in a sentence it begins. Short lines and sentences are joined to wrapped lines of four words at
 least, so that three of them are no chance repeat.
 """
 
@@ -17,15 +17,15 @@ from itertools import compress, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
-WRAP = 16
-#: Words between two cuts at least; gaps of twice as many are cut again, so wrapped lines are shorter, and any 50 words in a row hold three whole ones.
-APART = 6
+WRAP = 11
+#: Words between two cuts at least; gaps of twice as many are cut again, so wrapped lines are shorter, and any 30 words in a row hold three whole ones.
+APART = 4
 #: Words that a window of wrapped lines has at least; only windows with a text's first or last line can have fewer, and those repeat by chance.
 MIN_WORDS = APART * WINDOW
 CACHED_WORDS = 60_000
@@ -36,6 +36,9 @@ TOGETHER, ROUNDS = 500_000, 8
 MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 500_000
 #: Spans of a document (8 bytes each) that are counted as one document.
 SPANS_A_DOC = 10
+#: Bits of a hash that are counted beside its bucket, and their bytes; hashes that a task sorts at once, and hashes of a bucket on average.
+LOW_BITS, LOW_BYTES = 40, 5
+SORTED, BUCKET = 2_000_000, 8_000_000
 #: Bits of the filter for more hashes of repeated windows, and hashes up to which it is used (4 bytes each on the driver).
 BITMAP, MAX_BITMAP_HASHES = 1 << 26, 10_000_000
 
@@ -213,10 +216,57 @@ def _windows(docs: DataFrame, min_words: int, wrap: bool) -> DataFrame:
     return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i", "n").alias("at"))
 
 
+def _counted(buckets: int) -> Column:
+    """The part of ``h`` that is counted: its low bits, and above them one of ``buckets`` that its high bits choose."""
+    return F.shiftleft(F.pmod(F.shiftrightunsigned("h", LOW_BITS), F.lit(buckets)), LOW_BITS).bitwiseOR(F.col("h").bitwiseAND((1 << LOW_BITS) - 1)).alias("t")
+
+
+def _twice(windows: DataFrame, buckets: int) -> DataFrame:
+    """``t``: the counted parts of hashes (see ``_counted``) that more than one window has.
+
+    Only low bits cross the network, five bytes a window, sorted and packed by bucket; a task sends what it has
+    many times no more than twice. Two hashes that differ in what is not counted let unique windows stay, no repeated one goes.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            t = np.sort(np.concatenate(each))
+            more = np.ones(len(t), bool)
+            more[2:] = t[2:] != t[:-2]
+            t = t[more]
+            cuts = np.flatnonzero(np.diff(t >> LOW_BITS)) + 1
+            low = [x.view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES].tobytes() for x in np.split(t, cuts)]
+            bucket = (t[np.concatenate(([0], cuts))] >> LOW_BITS).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(low, pa.binary())], names=["bucket", "low"])
+
+        for b in batches:
+            # a copy, as the batch's memory is not kept
+            each.append(b.column("t").to_numpy().copy())
+            size += len(b)
+            if size >= SORTED:
+                yield rows()
+                each, size = [], 0
+        if size:
+            yield rows()
+
+    def repeated(t: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, LOW_BYTES)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :LOW_BYTES] = raw
+        low = np.sort(wide.view("<i8").ravel())
+        found = np.unique(low[1:][low[1:] == low[:-1]]) | t.column("bucket")[0].as_py() << LOW_BITS
+        return pa.table({"t": pa.array(found, pa.int64())})
+
+    packed = windows.select(_counted(buckets)).mapInArrow(pack, "bucket int, low binary")
+    return packed.groupBy("bucket").applyInArrow(repeated, "t long")
+
+
 def _in_bitmap(windows: DataFrame, twice: DataFrame) -> DataFrame:
     """The windows whose hash shares its low bits with one of ``twice``: some unique windows stay, no repeated one goes."""
     bits = np.zeros(BITMAP >> 3, np.uint8)
-    low = twice.select(F.col("h").bitwiseAND(BITMAP - 1).cast("int").alias("x")).toArrow().column("x").to_numpy()
+    low = twice.select(F.col("t").bitwiseAND(BITMAP - 1).cast("int").alias("x")).toArrow().column("x").to_numpy()
     np.bitwise_or.at(bits, low >> 3, (1 << (low & 7)).astype(np.uint8))
     shared = windows.sparkSession.sparkContext.broadcast(bits)
 
@@ -232,12 +282,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 0, wrap: bool = True) -> Da
     """``doc_id, th, spans``: for each document what its windows cover that occur before, there or in another document, merged, as first word * 2^32 + words."""
     windows = stored(_windows(docs, min_words, wrap))
     # most windows are unique: they go by a count of their hashes alone
-    twice = checkpointed(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    buckets = max(windows.sparkSession.sparkContext.defaultParallelism, -(-windows.count() // BUCKET))
+    twice = checkpointed(_twice(windows, buckets))
     size = twice.count()
     if MAX_BROADCAST_HASHES < size <= MAX_BITMAP_HASHES:
         windows = stored(_in_bitmap(windows, twice))
     else:
-        windows = stored(windows.join(F.broadcast(twice) if size <= MAX_BROADCAST_HASHES else twice, "h", "left_semi"))
+        windows = stored(windows.withColumn("t", _counted(buckets)).join(F.broadcast(twice) if size <= MAX_BROADCAST_HASHES else twice, "t", "left_semi").drop("t"))
     again = checkpointed(windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = _met(windows, again).filter(F.col("at") != F.col("first"))
     span = F.shiftleft(F.col("at.i").cast("long"), 32).bitwiseOR(F.col("at.n").cast("long"))

@@ -106,6 +106,36 @@ def test_bitmap_keeps_all_repeats(spark, monkeypatch):
         assert sorted(without_repeated_lines(df).collect(), key=str) == want
 
 
+def test_counted_hashes_of_more_than_one_window(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    hashes = [r.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    rows = hashes + hashes[:700] + hashes[:50] * 30
+    df = spark.createDataFrame([(h,) for h in rows], "h long").repartition(5)
+    for at_once, buckets in ((10**6, 8), (200, 3)):
+        monkeypatch.setattr(linededup, "SORTED", at_once)
+        low = lambda h, n=buckets: ((h % (1 << 64)) >> 40) % n << 40 | h % (1 << 40)
+        assert sorted(x.t for x in linededup._twice(df, buckets).collect()) == sorted(map(low, hashes[:700]))
+    assert linededup._twice(df.limit(0), 8).collect() == []
+
+
+def test_short_passages_inside_paragraphs(spark):
+    import random
+
+    r, rows, size = random.Random(2), [], 30
+    for n in range(60):
+        passage = [f"p{n}w{i}" for i in range(size)]
+        for side in (0, 1):
+            own = [f"d{n}s{side}x{i}" for i in range(160)]
+            at = r.randrange(20, 120)
+            rows.append((2 * n + side, " ".join(own[:at] + passage + own[at:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [sum(w.startswith("p") for w in x.text.split()) for x in without_repeated_lines(df).collect() if x.doc_id % 2]
+    # what stays of a found passage are the cut lines at its ends, each shorter than two gaps
+    assert len(left) == 60 and sum(n < size for n in left) >= 54 and sum(left) / 60 < 2 * (2 * linededup.APART - 1)
+
+
 def test_floor_and_own_lines_only(spark):
     df = spark.createDataFrame([(d, t) for d, t in ROWS if d != 5], "doc_id long, text string").repartition(3)
     rows = [(d, t, 0) for d, t in ROWS if d != 5]
