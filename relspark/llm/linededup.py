@@ -28,7 +28,6 @@ WRAP = 11
 APART = 4
 #: Words that a window of wrapped lines has at least; only windows with a text's first or last line can have fewer, and those repeat by chance.
 MIN_WORDS = APART * WINDOW
-CACHED_WORDS = 60_000
 #: Characters of the texts that are cut together, and rounds of cuts before what is left is cut one by one.
 TOGETHER, ROUNDS = 500_000, 8
 #: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
@@ -50,19 +49,6 @@ _PLACE = np.uint64(xxhash.xxh3_64_intdigest(b"place") | 1)
 _LAST = np.iinfo(np.uint64).max
 
 
-class _Hashes(dict):
-    """The hashes of words, remembered for words seen before."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _taken(key: np.ndarray) -> np.ndarray:
     """The places taken in order of ``key``, ties from the left, unless one within ``APART`` is taken; those of key ``_LAST`` never are.
 
@@ -97,7 +83,7 @@ def _cut(words: list[str], ends: list[int], firsts: list[int]) -> tuple[np.ndarr
     it ends; there are ``APART`` empty words behind each. Near those only ``ends`` are taken. Places are taken in order of a hash of the words on both sides, so
     what is taken depends on the words near by and not on how far the text's or sentence's start is.
     """
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     key = np.full(len(words), _LAST)
     key[1:] = ((h[:-1] * _MIX[0] + h[1:] * _MIX[1]) >> np.uint64(32)) | np.uint64(1 << 32)
     edges = np.array(firsts, np.int64)
@@ -209,8 +195,6 @@ def _windows(docs: DataFrame, min_words: int, wrap: bool) -> DataFrame:
                 at, i, n, h, c = window_hashes(each, min_words, wrap)
                 row = pa.array(lo + at)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), ids.take(row), th.take(row), pa.array(i), pa.array(n)], names=["h", "c", "doc_id", "th", "i", "n"])
-        # the worker stays for other work
-        _hashes.clear()
 
     found = rows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int, n int")
     return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i", "n").alias("at"))
