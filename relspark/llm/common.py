@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from relspark.storage import checkpointed, stored
 
-__all__ = ["ascii_lower", "checkpointed", "keyed", "small", "small_batches", "stored", "table", "texts"]
+__all__ = ["ascii_lower", "checkpointed", "keyed", "number_batches", "small", "small_batches", "stored", "table", "texts"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -26,6 +27,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+#: Rows of an Arrow batch of numbers.
+NUMBER_ROWS = 20_000
+
+
+@contextmanager
+def number_batches(spark: SparkSession) -> Iterator[None]:
+    """For jobs that run within it and pass only numbers to Python: Arrow batches of NUMBER_ROWS; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, NUMBER_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def texts(column: pa.Array, step: int = 128) -> Iterator[str]:
     """The strings of a column, made ``step`` at a time; null is empty."""
     for i in range(0, len(column), step):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed, small, stored, texts
+from relspark.llm.common import checkpointed, number_batches, small, stored, texts
 
 WINDOW = 3
 WRAP = 11
@@ -266,11 +266,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 0, wrap: bool = True) -> Da
     """``doc_id, th, spans``: for each document what its windows cover that occur before, there or in another document, merged, as first word * 2^32 + words."""
     windows = stored(_windows(docs, min_words, wrap))
     # most windows are unique: they go by a count of their hashes alone
-    buckets = max(windows.sparkSession.sparkContext.defaultParallelism, -(-windows.count() // BUCKET))
-    twice = checkpointed(_twice(windows, buckets))
+    spark = windows.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, -(-windows.count() // BUCKET))
+    with number_batches(spark):
+        twice = checkpointed(_twice(windows, buckets))
     size = twice.count()
     if MAX_BROADCAST_HASHES < size <= MAX_BITMAP_HASHES:
-        windows = stored(_in_bitmap(windows, twice))
+        with number_batches(spark):
+            windows = stored(_in_bitmap(windows, twice))
     else:
         windows = stored(windows.withColumn("t", _counted(buckets)).join(F.broadcast(twice) if size <= MAX_BROADCAST_HASHES else twice, "t", "left_semi").drop("t"))
     again = checkpointed(windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"))
