@@ -16,11 +16,12 @@ from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import checkpointed, number_batches, small, stored, texts
+from relspark.llm.common import checkpointed, small, stored, texts
 
 WINDOW = 3
 WRAP = 11
@@ -30,16 +31,15 @@ APART = 4
 MIN_WORDS = APART * WINDOW
 #: Characters of the texts that are cut together, and rounds of cuts before what is left is cut one by one.
 TOGETHER, ROUNDS = 500_000, 8
-#: Hashes of repeated windows, repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast
-#: (about 30, 100 and 200 bytes each).
-MAX_BROADCAST_HASHES, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 1_000_000, 100_000, 500_000
+#: Repeated windows, and documents with lines to cut, up to which their joins ask for a broadcast (about 100 and 200 bytes each).
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 100_000, 500_000
 #: Spans of a document (8 bytes each) that are counted as one document.
 SPANS_A_DOC = 10
 #: Bits of a hash that are counted beside its bucket, and their bytes; hashes that a task sorts at once, and hashes of a bucket on average.
 LOW_BITS, LOW_BYTES = 40, 5
 SORTED, BUCKET = 2_000_000, 8_000_000
-#: Bits of the filter for more hashes of repeated windows, and hashes up to which it is used (4 bytes each on the driver).
-BITMAP, MAX_BITMAP_HASHES = 1 << 26, 10_000_000
+#: Bits of the filter for hashes of repeated windows, bits that one task makes, and hashes up to which the filter tells enough of the rest apart.
+BITMAP, PIECE, MAX_BITMAP_HASHES = 1 << 26, 1 << 20, 10_000_000
 
 _SENTENCE = re.compile(r"[^.!?]++(?:[.!?]++(?=[^\s.!?])[^.!?]++)*+[.!?]*+\s*+|[.!?]++\s*+(?:[^\s.!?][^.!?]*+[.!?]*+\s*+)?+")
 _SPACED = re.compile(r"\s*+\S++\s*+")
@@ -183,8 +183,19 @@ def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield lo, each
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``values``, up to each of ``ends``, as bytes."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    """What ``_packed`` packed, the runs one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def _windows(docs: DataFrame, min_words: int, wrap: bool) -> DataFrame:
-    """``h, c, at``: the windows of all documents; ``at`` orders them by doc_id (nulls last), a hash of the text, and first word."""
+    """``doc_id, th, h, c, i, n``: a row for each document with windows, ``th`` a hash of its text; the windows' hashes, check hashes, first words and numbers of words are packed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(F.length("text") > 0)
 
@@ -193,10 +204,35 @@ def _windows(docs: DataFrame, min_words: int, wrap: bool) -> DataFrame:
             ids, th, text = b.column("doc_id"), b.column("th"), b.column("text")
             for lo, each in _together(text):
                 at, i, n, h, c = window_hashes(each, min_words, wrap)
-                row = pa.array(lo + at)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), ids.take(row), th.take(row), pa.array(i), pa.array(n)], names=["h", "c", "doc_id", "th", "i", "n"])
+                order = np.argsort(at, kind="stable")
+                row, size = np.unique(at, return_counts=True)
+                ends = np.cumsum(size)
+                row = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([ids.take(row), th.take(row), *(_packed(x[order], ends) for x in (h, c, i, n))], names=["doc_id", "th", "h", "c", "i", "n"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, h binary, c binary, i binary, n binary")
+
+
+def _each(windows: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """``h, c, at``: the windows one by one; ``at`` orders them by doc_id (nulls last), hash of the text, and first word.
+
+    With ``bits``, only those whose hash's low bits are set there: some unique windows stay, no repeated one goes.
+    """
+    shared = windows.sparkSession.sparkContext.broadcast(bits)
 
-    found = rows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int, n int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = _numbers(b.column("h"), np.int64)
+            keep = np.arange(len(h))
+            if shared.value is not None:
+                x = h & (8 * len(shared.value) - 1)
+                keep = np.flatnonzero(shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1)
+            row = pa.array(np.repeat(np.arange(len(b)), pc.binary_length(b.column("h")).to_numpy() // h.itemsize)[keep])
+            c, i, n = (_numbers(b.column(x), np.int32)[keep] for x in ("c", "i", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c), b.column("doc_id").take(row), b.column("th").take(row), pa.array(i), pa.array(n)], names=["h", "c", "doc_id", "th", "i", "n"])
+
+    kind = windows.schema["doc_id"].dataType.simpleString()
+    found = windows.mapInArrow(run, f"h long, c int, doc_id {kind}, th long, i int, n int")
     return found.select("h", "c", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "i", "n").alias("at"))
 
 
@@ -206,12 +242,14 @@ def _counted(buckets: int) -> Column:
 
 
 def _twice(windows: DataFrame, buckets: int) -> DataFrame:
-    """``t``: the counted parts of hashes (see ``_counted``) that more than one window has.
+    """``t``: the counted parts (see ``_counted``) of the packed hashes ``h`` that more than one window has.
 
     Only low bits cross the network, five bytes a window, sorted and packed by bucket; a task sends what it has
     many times no more than twice. Two hashes that differ in what is not counted let unique windows stay, no repeated one goes.
     """
 
+    low_bits, low_mask = np.uint64(LOW_BITS), np.uint64((1 << LOW_BITS) - 1)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, size = [], 0
 
@@ -226,9 +264,9 @@ def _twice(windows: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(low, pa.binary())], names=["bucket", "low"])
 
         for b in batches:
-            # a copy, as the batch's memory is not kept
-            each.append(b.column("t").to_numpy().copy())
-            size += len(b)
+            h = _numbers(b.column("h"), np.uint64)
+            each.append(((h >> low_bits) % np.uint64(buckets) << low_bits | h & low_mask).view(np.int64))
+            size += len(h)
             if size >= SORTED:
                 yield rows()
                 each, size = [], 0
@@ -243,39 +281,37 @@ def _twice(windows: DataFrame, buckets: int) -> DataFrame:
         found = np.unique(low[1:][low[1:] == low[:-1]]) | t.column("bucket")[0].as_py() << LOW_BITS
         return pa.table({"t": pa.array(found, pa.int64())})
 
-    packed = windows.select(_counted(buckets)).mapInArrow(pack, "bucket int, low binary")
+    packed = windows.select("h").mapInArrow(pack, "bucket int, low binary")
     return packed.groupBy("bucket").applyInArrow(repeated, "t long")
 
 
-def _in_bitmap(windows: DataFrame, twice: DataFrame) -> DataFrame:
-    """The windows whose hash shares its low bits with one of ``twice``: some unique windows stay, no repeated one goes."""
-    bits = np.zeros(BITMAP >> 3, np.uint8)
-    low = twice.select(F.col("t").bitwiseAND(BITMAP - 1).cast("int").alias("x")).toArrow().column("x").to_numpy()
-    np.bitwise_or.at(bits, low >> 3, (1 << (low & 7)).astype(np.uint8))
-    shared = windows.sparkSession.sparkContext.broadcast(bits)
+def _bitmap(twice: DataFrame) -> np.ndarray:
+    """A bit for all low bits of the hashes of ``twice``, made in pieces by tasks; the driver gets no more than BITMAP bits."""
+    size = min(BITMAP, PIECE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("h").to_numpy() & (BITMAP - 1)
-            yield b.filter(pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)))
+    def bits(t: pa.Table) -> pa.Table:
+        piece = np.zeros(size, bool)
+        piece[t.column("x").to_numpy() % size] = True
+        return pa.table({"piece": t.column("piece")[:1], "bits": pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())})
 
-    return windows.mapInArrow(run, windows.schema)
+    x = twice.select(F.col("t").bitwiseAND(BITMAP - 1).cast("int").alias("x")).withColumn("piece", F.shiftright("x", size.bit_length() - 1))
+    out = np.zeros((BITMAP // size, size >> 3), np.uint8)
+    for r in x.groupBy("piece").applyInArrow(bits, "piece int, bits binary").toLocalIterator():
+        out[r.piece] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 0, wrap: bool = True) -> DataFrame:
     """``doc_id, th, spans``: for each document what its windows cover that occur before, there or in another document, merged, as first word * 2^32 + words."""
-    windows = stored(_windows(docs, min_words, wrap))
-    # most windows are unique: they go by a count of their hashes alone
-    spark = windows.sparkSession
-    buckets = max(spark.sparkContext.defaultParallelism, -(-windows.count() // BUCKET))
-    with number_batches(spark):
-        twice = checkpointed(_twice(windows, buckets))
-    size = twice.count()
-    if MAX_BROADCAST_HASHES < size <= MAX_BITMAP_HASHES:
-        with number_batches(spark):
-            windows = stored(_in_bitmap(windows, twice))
+    packed = stored(_windows(docs, min_words, wrap))
+    # most windows are unique: they go by a count of their hashes alone, before there is a row for each
+    total = packed.agg(F.sum(F.octet_length("h").cast("long"))).first()[0] or 0
+    buckets = max(packed.sparkSession.sparkContext.defaultParallelism, -(-total // (8 * BUCKET)))
+    twice = checkpointed(_twice(packed, buckets))
+    if twice.count() <= MAX_BITMAP_HASHES:
+        windows = stored(_each(packed, _bitmap(twice)))
     else:
-        windows = stored(windows.withColumn("t", _counted(buckets)).join(F.broadcast(twice) if size <= MAX_BROADCAST_HASHES else twice, "t", "left_semi").drop("t"))
+        windows = stored(_each(packed, None).withColumn("t", _counted(buckets)).join(twice, "t", "left_semi").drop("t"))
     again = checkpointed(windows.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = _met(windows, again).filter(F.col("at") != F.col("first"))
     span = F.shiftleft(F.col("at.i").cast("long"), 32).bitwiseOR(F.col("at.n").cast("long"))

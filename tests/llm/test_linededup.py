@@ -55,7 +55,7 @@ def test_matches_brute_force(spark, monkeypatch):
     th = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
     want = brute([(d, t, th[d, t]) for d, t in ROWS])
     for most in (10**6, 2, 0):
-        monkeypatch.setattr(linededup, "MAX_BROADCAST_HASHES", most)
+        monkeypatch.setattr(linededup, "MAX_BITMAP_HASHES", most)
         monkeypatch.setattr(linededup, "MAX_BROADCAST_WINDOWS", most)
         monkeypatch.setattr(linededup, "MAX_BROADCAST_DOCS", most)
         got = without_repeated_lines(df.repartition(3), removed="gone")
@@ -100,9 +100,9 @@ def test_places_are_taken_in_order_of_key(keys):
 def test_bitmap_keeps_all_repeats(spark, monkeypatch):
     df = spark.createDataFrame([(d, t) for d, t in ROWS], "doc_id long, text string").repartition(3)
     want = sorted(without_repeated_lines(df).collect(), key=str)
-    monkeypatch.setattr(linededup, "MAX_BROADCAST_HASHES", 0)
-    for bits in (1 << 26, 8):
+    for bits, piece in ((1 << 26, 1 << 22), (64, 16), (8, 1 << 20)):
         monkeypatch.setattr(linededup, "BITMAP", bits)
+        monkeypatch.setattr(linededup, "PIECE", piece)
         assert sorted(without_repeated_lines(df).collect(), key=str) == want
 
 
@@ -112,7 +112,7 @@ def test_counted_hashes_of_more_than_one_window(spark, monkeypatch):
     r = random.Random(1)
     hashes = [r.getrandbits(64) - (1 << 63) for _ in range(3000)]
     rows = hashes + hashes[:700] + hashes[:50] * 30
-    df = spark.createDataFrame([(h,) for h in rows], "h long").repartition(5)
+    df = spark.createDataFrame([(np.array(rows[i : i + 7], np.int64).tobytes(),) for i in range(0, len(rows), 7)], "h binary").repartition(5)
     for at_once, buckets in ((10**6, 8), (200, 3)):
         monkeypatch.setattr(linededup, "SORTED", at_once)
         low = lambda h, n=buckets: ((h % (1 << 64)) >> 40) % n << 40 | h % (1 << 40)
