@@ -65,7 +65,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end token; repeated rows are packed on their own.
     """
     small_batches(spark)
-    return pack(docs, vocabulary("word_bpe_49k.json"))
+    # fewer words are remembered than by the query: the stages before have made the executors large
+    return pack(docs, vocabulary("word_bpe_49k.json"), words=100_000)
 
 
 STAGES = [(f.__name__, f) for f in (quality_classifier, line_dedup, simhash_near_dedup, benchmark_decontamination, packing)]

@@ -75,12 +75,12 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, int]:
     return once.unionByName(copied.select("doc_id", "text", mark(F.col("copy")).alias("mark"))), size
 
 
-def pieces(rows: DataFrame, path: str, limit: int, end_id: int, groups: int, seed: int) -> DataFrame:
+def pieces(rows: DataFrame, path: str, limit: int, end_id: int, groups: int, seed: int, words: int | None = None) -> DataFrame:
     """The ids of ``rows(doc_id, text, mark)`` cut at every ``limit``; a document's pieces are in one group, which depends on the seed and the mark alone."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(path)
+        enc = word_encoder(path, words)
         end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
         for b in batches:
             take, start, total, ids, group = [], [], [], [], []
@@ -102,7 +102,7 @@ def pieces(rows: DataFrame, path: str, limit: int, end_id: int, groups: int, see
     return rows.mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, raw binary, width int, grp long")
 
 
-def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, group_bytes: int = GROUP_BYTES, seed: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, group_bytes: int = GROUP_BYTES, seed: int = 0, words: int | None = None) -> DataFrame:
     """Packs whole documents into sequences of at most ``limit`` tokens.
 
     A document is its text's ids by the tokenizer at ``path`` (one that drops white space),
@@ -113,12 +113,13 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, g
     empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored. The number
     of groups follows the total size of the texts, so a group stays near ``group_bytes``, and the
     number of tasks follows the number of groups. What a group holds depends on the rows and
-    ``seed`` alone, not on how they are partitioned.
+    ``seed`` alone, not on how they are partitioned. ``words`` sets how many words a worker
+    remembers, and no result.
     """
     rows, size = told_apart(docs)
     groups = -(-size // group_bytes) or 1
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, MAX_PARTITIONS))
-    cut = pieces(rows, path, limit, end_id, groups, seed).repartition(parts, "grp")
+    cut = pieces(rows, path, limit, end_id, groups, seed, words).repartition(parts, "grp")
     kind = cut.schema["doc_id"].dataType.simpleString()
 
     def fill(t: pa.Table) -> pa.Table:

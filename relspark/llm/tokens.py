@@ -70,14 +70,17 @@ def encoder(path: str, pieces: re.Pattern, value: Callable) -> PieceEncoder:
     return _encoders[key]
 
 
-#: The words that a worker remembers.
+#: Words after which a worker begins a new generation; it remembers two.
 CACHED_WORDS = 200_000
 _WORDS = re.compile("[^ \t\n\r]+")
 #: Texts in which a space before each full stop and comma could part symbols that belong together,
 #: or that hold a special token or one of the controls at which str.split cuts and the library doesn't.
-_TANGLED = re.compile(r"[^\w\s][.,]|_[.,]|<\||[\x1c-\x1f]")
-#: Letters that the library's chain leaves alone but for the bytes' stand-ins.
-_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: All begin at one of a few characters, so that the search skips the rest.
+_TANGLED = re.compile(r"[.,<\x1c-\x1f](?:(?<=[^\w\s][.,])|(?<=_[.,])|(?<=<)(?=\|)|(?<=[\x1c-\x1f]))")
+#: Letters that the library's chain lower-cases, and then leaves alone but for the bytes' stand-ins.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Printable words without the apostrophe (of contractions) and the beginning of special tokens, and the parts that the library's pattern makes of them.
+_PRINTED, _PARTED = re.compile("[!-&(-;=-~]+"), re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_characters() -> dict[int, int]:
@@ -90,21 +93,34 @@ class WordEncoder:
     """Ids, as little-endian bytes, of texts by a byte-level tokenizer that lower-cases and drops white space.
 
     Words between white space are independent there, and so are a letter or digit and the full stop
-    or comma after it. Words of plain letters go to the library's BPE model itself, all else through its
-    whole chain; each is encoded once while it is remembered.
+    or comma after it. Words of plain letters, and the parts of printable ones, go to the library with
+    its BPE model alone, all else through its whole chain; each is encoded once while it is remembered.
+    Words of the generation before are taken over when met again, so that common ones stay;
+    a new one begins after ``most`` words (CACHED_WORDS, if none is given).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        model = self.tokenizer.model
+        self.bare = Tokenizer(model)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.stand_ins = _byte_characters()
+        #: The space stays, as it stands between words.
+        self.stand_ins = _byte_characters() | {32: 32}
+        vocabulary, mark = self.tokenizer.get_vocab(with_added_tokens=False), getattr(model, "end_of_word_suffix", None)
+        #: Of each id, whether a part ends with it: where the parts of a batch end is read from its ids.
+        self.final = np.zeros(1 + max(vocabulary.values()), bool)
+        self.marked = bool(mark) and all(chr(_byte_characters().get(b, b)) + mark in vocabulary for b in range(256))
+        if self.marked:
+            self.final[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.most = CACHED_WORDS if most is None else most
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.chars = 0
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -117,15 +133,33 @@ class WordEncoder:
         return low.replace(".", " .").replace(",", " ,").split()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        rest = []
-        for w in words.difference(self.words):
-            if _PLAIN.fullmatch(w):
-                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_ins)
-                self.words[w] = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
-            else:
-                rest.append(w)
+        if len(self.words) > self.most or self.chars > CACHED_CHARS:
+            self.before, self.words, self.chars = self.words, {}, 0
+        new = words.difference(self.words)
+        self.chars += sum(map(len, new))
+        known = [w for w in new if w in self.before]
+        self.words.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        rest = new.difference(known)
+        if self.marked:
+            plain = [w for w in rest if w.isascii() and w.isalpha()]
+            rest.difference_update(plain)
+            latin = list(filter(_PLAIN.fullmatch, rest))
+            rest.difference_update(latin)
+            printed = list(filter(_PRINTED.fullmatch, rest))
+            rest.difference_update(printed)
+            # whole lists at a time, as new words are most of the work
+            parts = " ".join(plain).lower().split() + " ".join(latin).lower().encode().decode("latin-1").translate(self.stand_ins).split(" ")[: len(latin)]
+            until = list(range(1, len(parts) + 1))
+            for w in printed:
+                parts += _PARTED.findall(w.lower())
+                until.append(len(parts))
+            ids = np.array(self.bare.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids if parts else [], self.dtype)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(parts):
+                raise ValueError("a part without its one final id")
+            raw, at = ids.tobytes(), (ends[np.array(until, int) - 1] * ids.itemsize).tolist()
+            self.words.update(zip(plain + latin + printed, [raw[i:j] for i, j in zip([0, *at], at)], strict=True))
+        rest = list(rest)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, self.dtype).tobytes()
 
@@ -137,14 +171,14 @@ class WordEncoder:
                 yield b"".join(map(self.words.__getitem__, words))
 
 
-_word_encoders: dict[str, WordEncoder] = {}
+_word_encoders: dict[tuple, WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, most: int | None = None) -> WordEncoder:
     """The worker's word encoder, made at the first call."""
-    if path not in _word_encoders:
-        _word_encoders[path] = WordEncoder(path)
-    return _word_encoders[path]
+    if (path, most) not in _word_encoders:
+        _word_encoders[path, most] = WordEncoder(path, most)
+    return _word_encoders[path, most]
 
 
 #: Documents of more characters are encoded in chunks, each with the beginning of the next.

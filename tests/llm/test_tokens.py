@@ -27,6 +27,26 @@ def test_pieces_give_the_librarys_ids(text):
     assert got == library[WORD].encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_symbols_and_letters_match_the_library():
+    some = [chr(i) for i in range(33, 256)]
+    odd = ["it's", "'S.", "THE&&&", "<|ENDOFTEXT|>", "x<|endoftext|>y", "a1b22,c.", "$$$.", "İx", "née's", "ÀÉ×÷", "_.", "a\u0301"]
+    text = " ".join([a + b for a in some for b in some] + odd)
+    enc = tokens.WordEncoder(WORD)
+    for t in (text, text.replace(".", "").replace(",", "").replace("<|", ""), *odd):
+        assert np.frombuffer(next(enc.ids([t])), "<u2").tolist() == library[WORD].encode(t, add_special_tokens=False).ids
+
+
+def test_common_words_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 500)
+    enc, want = tokens.WordEncoder(WORD), []
+    for i in range(40):
+        some = [f"the of&&& née x{'abcdefghij'[j % 10] * (i + 1)}{j}" for j in range(60)]
+        assert [np.frombuffer(b, "<u2").tolist() for b in enc.ids(some)] == [library[WORD].encode(t, add_special_tokens=False).ids for t in some]
+        want.append([enc.words[w] for w in ("the", "of&&&", "née")])
+        assert len(enc.words) <= 500 + 64
+    assert all(a is b for now in want for a, b in zip(now, want[0], strict=True))
+
+
 def huge_texts():
     r = random.Random(4)
     words = ["the", "née", "x1", "foo,", "  ", "\n", "漢字", "<|endoftext|>"]
