@@ -109,3 +109,13 @@ def test_a_stored_hop_moves_only_what_it_asks_for(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_children_are_sampled_at_their_turn(spark, monkeypatch):
+    """A walk that ends among the seed's children asks for those alone, and not for the children of its parents."""
+    edges = spark.createDataFrame([(1, 2, 5, 0), (2, 3, 5, 0), *((10 + i, 1, 4, 0) for i in range(5)), *((20 + i, 3, 4, 0) for i in range(50))], "child_key long, parent_key long, child_ts long, pos int")
+    sizes = spark.createDataFrame([(i, 10 if 10 <= i < 15 else 1) for i in (1, 2, 3, *range(10, 15), *range(20, 70))], "node long, n_cells long")
+    asked, sampled = [], sampler.Adjacency.sampled
+    monkeypatch.setattr(sampler.Adjacency, "sampled", lambda self, frontier, *a: asked.append(sorted(r.node for r in frontier.collect())) or sampled(self, frontier, *a))
+    got = traversal.traverse(spark.createDataFrame([(7, 5, 1)], "seed_key long, seed_ts long, node long"), edges, sizes, 30, 8).collect()
+    assert sorted(r.node for r in got)[:3] == [1, 2, 3] and len(got) == 5 and asked == [[1]]
