@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relspark.catalog import RelationalDB, TableSpec, open_database
 from relspark.functions import rng, series
 from relspark.operators import graph, metrics, sampler, stats, tasks
-from relspark import storage
+from relspark import queries, storage
 from relspark.sources import parquet
 from relspark.storage import numbered, numbered_within
 
@@ -271,3 +271,24 @@ def test_rules_and_paths(spark):
     keep = parquet.hyphen_rule("/data/rel-x")
     assert keep("/data/rel-x/tasks/churn/val.parquet") and keep("/data/rel-x/tasks/user-churn/val.parquet")
     assert not keep("/data/rel-x/tasks/user-item-churn/val.parquet") and keep("/data/rel-x/tasks/a/rating-x-val.parquet")
+
+
+def test_a_users_aggregate_gets_many_groups_at_once(spark):
+    from relspark.functions import sql
+
+    def spread(xs, starts):
+        assert len(starts) > 1
+        return np.maximum.reduceat(xs, starts) - np.minimum.reduceat(xs, starts)
+
+    sql.register_aggregate(spark, "spread_of", spread)
+    rows = [(1, [1.0, 4.0]), (2, None), (3, [None]), (4, []), (5, [None, 2.0, 7.5]), (6, [3.0])]
+    spark.createDataFrame(rows, "k int, xs array<double>").coalesce(1).createOrReplaceTempView("relspark_arrays")
+    assert spark.sql("SELECT spread_of(xs) FROM relspark_arrays ORDER BY k").collect() == [(3.0,), (None,), (None,), (None,), (5.5,), (0.0,)]
+
+
+def test_sql_functions_of_nulls(spark, tmp_path):
+    """A group without a key is a group, and one of nothing but nulls has no sum."""
+    rows = [(1, 20.0, 0.1), (1, None, None), (2, None, 0.2), (None, 30.0, 0.0), (None, 10.0, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {x.l_orderkey: (x.total, x.middle) for x in queries.queries()["sql_functions"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2.0, 2.0), 2: (None, None), None: (4.0, 2.0)}
