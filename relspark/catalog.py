@@ -59,6 +59,7 @@ class RelationalDB:
     def __init__(self, tables: dict[str, DataFrame], specs: dict[str, TableSpec]):
         topological_generations(specs)
         self.tables, self.specs = tables, specs
+        self._keyed: dict[str, DataFrame] = {}
         self.spark: SparkSession = next(iter(tables.values())).sparkSession
 
     def _union(self, parts: list[DataFrame]) -> DataFrame:
@@ -85,9 +86,11 @@ class RelationalDB:
         return out
 
     def keyed(self, name: str) -> DataFrame:
-        """The table with ``row_key``: its rows' places in the order of the primary key, or of all columns without one."""
+        """The table with ``row_key``: its rows' places in the order of the primary key, or of all columns without one; numbered once."""
         df, spec = self.tables[name], self.specs[name]
-        return numbered(df, [spec.pkey] if spec.pkey else df.columns, "row_key")
+        if name not in self._keyed:
+            self._keyed[name] = numbered(df, [spec.pkey] if spec.pkey else df.columns, "row_key")
+        return self._keyed[name]
 
     def fkeys(self) -> list[tuple[str, str, str]]:
         """(child, column, parent) of every foreign key."""

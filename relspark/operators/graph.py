@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,7 +110,7 @@ def node_records(cell: DataFrame, edge: DataFrame) -> DataFrame:
     return each.join(up, ["table", "node_key"], "full").withColumn("parents", F.coalesce("parents", F.array().cast(up.schema["parents"].dataType))).withColumn("cells", F.coalesce("cells", F.array().cast(each.schema["cells"].dataType)))
 
 
-def class_ids(cell: DataFrame, words: DataFrame) -> DataFrame:
-    """Text cells with the dictionary id of their value."""
-    values = words.filter("kind = 'value'").select(F.col("id").alias("class_id"), F.col("text").alias("v"))
+def class_ids(cell: DataFrame, words: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Text cells with the dictionary id of their value, and the columns ``also`` of its entry."""
+    values = words.filter("kind = 'value'").select(F.col("id").alias("class_id"), F.col("text").alias("v"), *also)
     return cell.filter(F.col("sem_type") == TEXT).join(values, F.col("txt") == F.col("v")).drop("v")

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Whether an action's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
@@ -23,7 +28,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     temporary one, as in local tests; on a cluster it is an error, as executors share no local folder.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with without_leftovers(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made here, as the setting counts when a plan is made
+
+
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Runs actions whose shuffle files go as each ends: what they made is written elsewhere, and nothing reads those files again."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, True)
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as ``stored`` has it if Parquet holds all of its types, else as ``checkpointed`` does: a fixed evaluation of it, for row numbers."""
+    flat = df.schema.simpleString()
+    if re.search(r"[:<,](void|interval|variant)", flat) or len({c.lower() for c in df.columns}) < len(df.columns):
+        return checkpointed(df)
+    return stored(df)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,11 +66,11 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") ->
     """``df`` with ``name``: the row's place from 0 in the total order ``order``.
 
     Rows are range-partitioned and sorted in parallel; only the partitions' sizes meet in one
-    place. The sorted rows are checkpointed, so that sizes and rows come from one evaluation.
+    place. The sorted rows are written as Parquet, so that sizes and rows come from one evaluation.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    rows = checkpointed(rows)
+    rows = written(rows)
     part = F.shiftright("__at", 33)
     sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     # one row a partition: a small window
@@ -69,7 +94,7 @@ def running_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column
 
     One range partitioning and sort by (groups, order), then a scan of each partition. A group that goes on from
     partition to partition is carried over by the partitions' last sums, one row a partition. Groups of null are groups; groups are no floats.
-    The scanned rows are checkpointed, so that sums and carries come from one evaluation.
+    The scanned rows are written as Parquet, so that sums and carries come from one evaluation.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in df.columns if keep is None or c in {*keep, *groups, *sums.values()}]
@@ -104,7 +129,7 @@ def running_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column
             )
             at, head, run = at + m, head and not segment[-1], local[:, -1]
 
-    rows = checkpointed(rows.mapInArrow(scan, schema))
+    rows = written(rows.mapInArrow(scan, schema))
     totals = [f"__{x}" for x in ("n", *(f"s{i}" for i in range(n)))]
     group = F.struct(*groups)
     ends = rows.groupBy("__part").agg(F.count("*").alias("rows"), F.min_by(group, "__at").alias("first"), F.max_by(group, "__at").alias("last"), F.max_by(F.struct(*totals), "__at").alias("run"))
@@ -149,7 +174,8 @@ def sums_before(df: DataFrame, order: str, value: str, name: str, step: int = 10
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to a new folder beside the checkpoints and read back: smaller than a checkpoint, and read by column."""
     folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    with without_leftovers(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -163,5 +189,6 @@ def bucketed(df: DataFrame, keys: Sequence[str], buckets: int | None = None, nam
     unique = uuid.uuid4().hex
     table = name or f"relspark_{unique}"
     rows = df.repartition(n, *keys).sortWithinPartitions(*keys)
-    rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/bucketed-{unique}").saveAsTable(table)
+    with without_leftovers(spark):
+        rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/bucketed-{unique}").saveAsTable(table)
     return spark.table(table)

@@ -292,3 +292,28 @@ def test_sql_functions_of_nulls(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {x.l_orderkey: (x.total, x.middle) for x in queries.queries()["sql_functions"](spark, str(tmp_path)).collect()}
     assert got == {1: (2.0, 2.0), 2: (None, None), None: (4.0, 2.0)}
+
+
+def test_vectors_do_not_move_with_cells(spark):
+    """Cells are dealt out by their text alone; the dictionary has its vectors by then."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = queries.queries()["cell_embeddings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "hashpartitioning(txt" in plan and "hashpartitioning(class_id" not in plan and "hashpartitioning(column_id" not in plan
+
+
+def test_what_is_written(spark):
+    """Row numbers are written as Parquet, or as a checkpoint where it lacks a type; shuffle files go with their action, and the setting stays."""
+    rows = spark.range(50).selectExpr("id", "NULL AS none", "INTERVAL 1 DAY AS d", "-0.0D AS z")
+    assert sorted(r.rn for r in numbered(rows, ["id"]).collect()) == list(range(50))
+    assert not numbered(spark.range(50), ["id"])._jdf.queryExecution().logical().toString().startswith("LogicalRDD")
+    before = spark.conf.get(storage.CLEANUP)
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    n = shuffles()
+    kept = storage.checkpointed(spark.range(50).repartition(3, "id"))
+    storage.stored(spark.range(50).repartition(3, "id"))
+    assert shuffles() <= n and kept.count() == 50 and spark.conf.get(storage.CLEANUP) == before
