@@ -17,6 +17,11 @@ from relspark.storage import numbered, numbered_within
 NUMBER, TEXT, DATETIME, BOOLEAN = range(4)
 
 
+def is_key(db: RelationalDB, child: str, column: str) -> bool:
+    """Whether a foreign key is one: a column of times is none."""
+    return not isinstance(db.tables[child].schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
 def edges(db: RelationalDB, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """``child_table, child_key, fk_col, parent_table, parent_key, child_ts, parent_ts`` of every non-null key that has its parent.
 
@@ -25,8 +30,7 @@ def edges(db: RelationalDB, pairs: list[tuple[str, str]] | None = None) -> DataF
     """
     parts, keyed = [], {}
     for child, column, parent in db.fkeys():
-        times = (T.TimestampType, T.TimestampNTZType, T.DateType)
-        if pairs is not None and (child, column) not in pairs or isinstance(db.tables[child].schema[column].dataType, times):
+        if pairs is not None and (child, column) not in pairs or not is_key(db, child, column):
             continue
         cs, ps = db.specs[child], db.specs[parent]
         if not cs.pkey and child not in keyed:
@@ -100,6 +104,15 @@ def database_cells(db: RelationalDB) -> DataFrame:
     return reduce(DataFrame.unionByName, [table_cells(db, n).withColumn("table", F.lit(n)) for n in db.specs])
 
 
+def cells_by_node(db: RelationalDB, name: str) -> DataFrame:
+    """``table_cells`` with ``table``, dealt out and sorted by node: rows are, before they become cells."""
+    spec = db.specs[name]
+    key = spec.pkey or "row_key"
+    rows = db.tables[name] if spec.pkey else db.keyed(name)
+    rows = rows.repartitionByRange(key).sortWithinPartitions(key)
+    return cells(rows, name, key, {key, *spec.fkeys}).withColumn("table", F.lit(name))
+
+
 def node_records(cell: DataFrame, edge: DataFrame) -> DataFrame:
     """``table, node_key, cells, parents``: each row's cells in order of column, and its parents in order of foreign key.
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.catalog import RelationalDB, TableSpec
+from relspark.operators import graph
+from relspark.storage import without_leftovers
 
 SPLITS = ("train", "val", "test")
 
@@ -118,8 +120,33 @@ def write_task(df: DataFrame, path: str, task: str, split_col: str = "split") ->
 def write_graph(path: str, nodes: DataFrame, edges: DataFrame, dictionary: DataFrame, catalog: DataFrame) -> None:
     """The row graph: cells by node, edges by parent and time, the dictionary and the table list; each range-partitioned on its lookup key."""
     by = [c for c in ("table", "node_key") if c in nodes.columns]
-    nodes.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{path}/nodes.parquet")
-    edges.repartitionByRange("parent_table", "parent_key").sortWithinPartitions("parent_table", "parent_key", F.col("child_ts").asc_nulls_first()).write.parquet(f"{path}/edges.parquet")
+    _append(nodes.repartitionByRange(*by).sortWithinPartitions(*by), f"{path}/nodes.parquet")
+    _append(edges.repartitionByRange("parent_table", "parent_key").sortWithinPartitions("parent_table", "parent_key", F.col("child_ts").asc_nulls_first()), f"{path}/edges.parquet")
+    _write_lists(path, dictionary, catalog)
+
+
+def write_database_graph(path: str, db: RelationalDB, dictionary: DataFrame) -> None:
+    """A database's row graph, as ``write_graph`` has it: a table's cells and a foreign key's edges at a time, so that one of these is on the move at once.
+
+    Files of nodes hold rows of one table, and files of edges those of one foreign key.
+    """
+    for name in db.specs:
+        _append(graph.cells_by_node(db, name), f"{path}/nodes.parquet")
+    for child, column, parent in db.fkeys():
+        if graph.is_key(db, child, column):
+            # names, the same in all rows, stay out of the shuffle
+            own = graph.edges(db, [(child, column)]).select("child_key", "parent_key", "child_ts", "parent_ts")
+            own = own.repartitionByRange("parent_key").sortWithinPartitions("parent_key", F.col("child_ts").asc_nulls_first())
+            _append(own.select(F.lit(child).alias("child_table"), "child_key", F.lit(column).alias("fk_col"), F.lit(parent).alias("parent_table"), "parent_key", "child_ts", "parent_ts"), f"{path}/edges.parquet")
+    _write_lists(path, dictionary, db.counts())
+
+
+def _append(df: DataFrame, path: str) -> None:
+    with without_leftovers(df.sparkSession):
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def _write_lists(path: str, dictionary: DataFrame, catalog: DataFrame) -> None:
     dictionary.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/dictionary.parquet")
     catalog.coalesce(1).write.parquet(f"{path}/tables.parquet")
 

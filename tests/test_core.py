@@ -317,3 +317,17 @@ def test_what_is_written(spark):
     kept = storage.checkpointed(spark.range(50).repartition(3, "id"))
     storage.stored(spark.range(50).repartition(3, "id"))
     assert shuffles() <= n and kept.count() == 50 and spark.conf.get(storage.CLEANUP) == before
+
+
+def test_a_database_graph_moves_a_table_at_a_time(spark, monkeypatch):
+    """Nodes and edges are those of the whole graph; a file holds one table's or one key's rows, in order."""
+    moved, append = [], parquet._append
+    monkeypatch.setattr(parquet, "_append", lambda df, path: moved.append(df.select(df.columns[-1] if "nodes" in path else "fk_col").distinct().count()) or append(df, path))
+    db, path = open_database(spark, "/root/testdata/sf0.001"), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    parquet.write_database_graph(path, db, graph.dictionary(db.tables))
+    assert moved == [1] * (len(db.specs) + len(db.fkeys()))
+    for part, whole, key in (("nodes", graph.database_cells(db), "node_key"), ("edges", graph.edges(db), "parent_key")):
+        made = spark.read.parquet(f"{path}/{part}.parquet")
+        assert made.exceptAll(whole.select(made.columns)).count() == 0 and made.count() == whole.count()
+        files = made.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(key).alias("keys"), F.count_distinct("table" if part == "nodes" else "fk_col").alias("n"))
+        assert all(x["keys"] == sorted(x["keys"]) and x.n == 1 for x in files.collect())
