@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relspark.functions.rng import u32, unit
-from relspark.storage import bucketed, checkpointed, numbered, running_within
+from relspark.storage import bucketed, numbered, running_within, written
 
 
 def visible(child_ts: Column, seed_ts: Column) -> Column:
@@ -88,23 +88,23 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, width: int, seed: int
 
     ``edges(child_key, parent_key, child_ts)`` hold global node ids; ``seeds`` and ``edges`` may have ``task``, see ``Adjacency``.
     Parents are not filtered by time. With ``sizes(node, n_cells)`` a seed goes no further once its visits have
-    ``length`` cells, as what follows would be beyond its budget. Each level is checkpointed; the loop ends early when a level is empty.
+    ``length`` cells, as what follows would be beyond its budget. Each level is written once; the loop ends early when a level is empty.
     """
     front = _with_task(seeds).select("seed_key", "seed_ts", "task", "node")
     graph = Adjacency(edges)
-    seen = checkpointed(front.select("seed_key", "node", F.lit(0).alias("depth"), F.lit(True).alias("is_parent"), F.lit(0).cast("long").alias("r")))
+    seen = written(front.select("seed_key", "node", F.lit(0).alias("depth"), F.lit(True).alias("is_parent"), F.lit(0).cast("long").alias("r")))
     for depth in range(1, hops + 1):
         up = front.join(edges.select("child_key", "parent_key"), F.col("node") == F.col("child_key")).select("seed_key", "seed_ts", "task", F.col("parent_key").alias("node"), F.lit(True).alias("is_parent"), u32(seed, F.col("seed_key"), F.col("parent_key")).alias("r"))
         down = graph.sampled(front, width, seed).select("seed_key", "seed_ts", "task", F.col("child_key").alias("node"), F.lit(False).alias("is_parent"), "r")
         level = up.unionByName(down).groupBy("seed_key", "seed_ts", "task", "node").agg(F.max("is_parent").alias("is_parent"), F.min("r").alias("r"))
-        level = checkpointed(level.join(seen.select("seed_key", "node"), ["seed_key", "node"], "left_anti"))
+        level = written(level.join(seen.select("seed_key", "node"), ["seed_key", "node"], "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("seed_key", "node", F.lit(depth).alias("depth"), "is_parent", "r"))
         front = level.select("seed_key", "seed_ts", "task", "node")
         if sizes is not None and depth < hops:
             full = seen.join(sizes, "node").groupBy("seed_key").agg(F.sum("n_cells").alias("cells")).filter(F.col("cells") >= length)
-            front = checkpointed(front.join(full, "seed_key", "left_anti"))
+            front = written(front.join(full, "seed_key", "left_anti"))
     return seen
 
 
@@ -132,16 +132,20 @@ def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFr
     ``cells(node, column, ...)``. Visits stop before the cells reach ``length``; leaking cells go after that, and at
     most ``length`` remain. Target values of other rows stay visible. Nodes without cells count none.
     """
-    sizes = checkpointed(cells.groupBy("node").agg(F.count("*").alias("n_cells")))
+    each = cells.groupBy("node").agg(F.collect_list(F.struct(*(c for c in cells.columns if c != "node"))).alias("cells"))
+    sizes = written(cells.groupBy("node").agg(F.count("*").alias("n_cells")))
     visits = expand(seeds, edges, hops, width, seed, sizes, length)
-    seen = within_budget(visits.join(sizes, "node", "left").fillna(0, ["n_cells"]), "n_cells", length)
+    seen = within_budget(visits.join(sizes, "node", "left").fillna(0, ["n_cells"]), "n_cells", length).select("seed_key", "node", "depth")
+    own = seen.join(seeds.select("seed_key", "seed_ts", F.col("node").alias("seed_node")), "seed_key")
     parents = edges.groupBy(F.col("child_key").alias("node")).agg(F.sort_array(F.collect_set("parent_key")).alias("parents"))
-    rows = seen.join(times, "node", "left").join(parents, "node", "left").join(seeds.select("seed_key", "seed_ts", F.col("node").alias("seed_node")), "seed_key").join(cells, "node")
-    kept = rows.filter(~leaks(F.col("column"), dropped, F.col("node"), F.col("seed_node"), F.col("ts"), F.col("seed_ts")))
+    # visits move to their nodes and back to their seeds, once each, as rows of few bytes: they become cells where they end
+    met = own.join(each, "node").join(times, "node", "left").join(parents, "node", "left")
+    leak = lambda c: leaks(c["column"], dropped, F.col("node"), F.col("seed_node"), F.col("ts"), F.col("seed_ts"))
+    there = met.withColumn("cells", F.filter("cells", lambda c: ~leak(c))).withColumn("at_seed", F.col("node") == F.col("seed_node")).drop("seed_ts", "seed_node")
+    flat = there.repartition("seed_key").withColumn("cell", F.explode("cells")).select("*", "cell.*").drop("cell", "cells")
     w = Window.partitionBy("seed_key").orderBy("column", "node")
-    marked = kept.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < length)
-    is_target = (F.col("node") == F.col("seed_node")) & (F.col("column") == target)
-    return marked.withColumn("is_target", is_target).drop("n_cells", "used", "is_parent", "r", "seed_node", "seed_ts")
+    marked = flat.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < length)
+    return marked.withColumn("is_target", F.col("at_seed") & (F.col("column") == target)).drop("at_seed")
 
 
 def batches(items: DataFrame, order: list[str], ranks: int, size: int, seed: int = 0) -> DataFrame:

@@ -331,3 +331,10 @@ def test_a_database_graph_moves_a_table_at_a_time(spark, monkeypatch):
         assert made.exceptAll(whole.select(made.columns)).count() == 0 and made.count() == whole.count()
         files = made.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(key).alias("keys"), F.count_distinct("table" if part == "nodes" else "fk_col").alias("n"))
         assert all(x["keys"] == sorted(x["keys"]) and x.n == 1 for x in files.collect())
+
+
+def test_contexts_move_visits_and_not_cells(spark):
+    """Visits become cells after their last exchange."""
+    plan = queries._contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Generate explode(")]
+    assert "Exchange" not in top and "Exchange hashpartitioning(seed_key" in plan
