@@ -6,6 +6,8 @@ An item is a seed's context as fixed-length planes. Items have places from 0; po
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def dense_items(cells: DataFrame, length: int) -> DataFrame:
         else:
             value = rounded_bf16(F.col(name)) if kind == "float" else F.col(name).cast(kind)
             one.append(F.coalesce(value, F.lit(none).cast(kind)).alias(name))
-    each = F.array_sort(F.collect_list(F.struct("pos", *one)))
+    each = F.sort_array(F.collect_list(F.struct("pos", *one)))
     rows = cells.filter(F.col("pos") < length).groupBy("seed_key").agg(each.alias("x"))
     planes = []
     for name, (kind, none) in PLANES.items():
@@ -73,11 +75,15 @@ def dense_items(cells: DataFrame, length: int) -> DataFrame:
     return rows.select("seed_key", F.size("x").alias("n"), *planes)
 
 
-def write_items(items: DataFrame, path: str, per_file: int = 256) -> None:
-    """A store that ``batches`` and the data source read: items with their place in order of seed_key, ``per_file`` a file."""
-    placed = numbered(items, ["seed_key"], "item").withColumn("part", F.floor(F.col("item") / per_file).cast("long"))
+def write_items(items: DataFrame, path: str, per_file: int = 256, ranged: bool = False) -> None:
+    """A store that ``batches`` and the data source read: items with their place in order of seed_key, ``per_file`` a folder.
+
+    Numbered items are in order, so that a task has whole folders, but for those at the ends of what it reads, which then hold two files.
+    ``ranged`` items are range-partitioned by seed_key already, and don't move.
+    """
+    placed = numbered(items, ["seed_key"], "item", ranged).withColumn("part", F.floor(F.col("item") / per_file).cast("long"))
     n = placed.count()
-    placed.repartition("part").sortWithinPartitions("part", "item").write.partitionBy("part").parquet(f"{path}/items")
+    placed.sortWithinPartitions("part", "item").write.partitionBy("part").option("compression", "zstd").parquet(f"{path}/items")
     spark = items.sparkSession
     spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(per_file).alias("per_file")).coalesce(1).write.json(f"{path}/about")
 
@@ -97,11 +103,17 @@ def positions(spark: SparkSession, n: int, ranks: int, size: int, seed: int, epo
     return spark.range(total).select(F.floor(p / per).cast("long").alias("batch"), F.floor(p % per / size).cast("int").alias("rank"), (p % size).cast("int").alias("slot"), item.alias("item"), (p < n).alias("own"))
 
 
-def batches(spark: SparkSession, path: str, ranks: int, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """``batch, rank, true_size`` and the PLANES, each the ``size`` sequences of a batch one after the other: one record a batch and rank."""
+def batches(spark: SparkSession, path: str, ranks: int, size: int, seed: int = 0, epoch: int = 0, planes: Sequence[str] = tuple(PLANES)) -> DataFrame:
+    """``batch, rank, true_size, items`` and ``planes``, each the ``size`` sequences of a batch one after the other: one record a batch and rank.
+
+    For whole epochs: items meet their positions in a join. The data source looks up a batch's items instead.
+    """
     n, _ = about(spark, path)
-    placed = positions(spark, n, ranks, size, seed, epoch).join(spark.read.parquet(f"{path}/items").drop("part"), "item")
-    each = F.array_sort(F.collect_list(F.struct("slot", "own", "item", *PLANES)))
+    # the schema is known, so that no file is opened for it
+    kinds = ", ".join(f"{c} array<{PLANES[c][0]}>" for c in planes)
+    items = spark.read.schema(f"item long, {kinds}, part long").option("basePath", f"{path}/items").parquet(f"{path}/items").drop("part")
+    placed = positions(spark, n, ranks, size, seed, epoch).join(items, "item")
+    each = F.sort_array(F.collect_list(F.struct("slot", "own", "item", *planes)))
     rows = placed.groupBy("batch", "rank").agg(each.alias("x"))
-    planes = [F.flatten(f"x.{c}").alias(c) for c in PLANES]
-    return rows.select("batch", "rank", F.size(F.filter("x", lambda s: s["own"])).alias("true_size"), F.col("x.item").alias("items"), *planes)
+    flat = [F.flatten(f"x.{c}").alias(c) for c in planes]
+    return rows.select("batch", "rank", F.size(F.filter("x", lambda s: s["own"])).alias("true_size"), F.col("x.item").alias("items"), *flat)

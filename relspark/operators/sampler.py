@@ -123,14 +123,14 @@ def leaks(column: Column, dropped: list[str], node: Column, seed: Column, ts: Co
     return column.isin(dropped) & ((node == seed) | ts.eqNullSafe(seed_ts))
 
 
-def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFrame, hops: int, width: int, length: int, target: str, dropped: list[str], seed: int = 0) -> DataFrame:
+def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFrame, hops: int, width: int, length: int, target: str, dropped: list[str], seed: int = 0, ranged: bool = False) -> DataFrame:
     """``seed_key, node, depth, ts, parents, column, ..., pos, is_target``: each seed's context, its cells in order of column and node.
 
     ``parents`` holds the nodes that the cell's row refers to.
 
     ``seeds(seed_key, seed_ts, node)``, ``edges(child_key, parent_key, child_ts)``, ``times(node, ts)`` and
     ``cells(node, column, ...)``. Visits stop before the cells reach ``length``; leaking cells go after that, and at
-    most ``length`` remain. Target values of other rows stay visible. Nodes without cells count none.
+    most ``length`` remain. Target values of other rows stay visible. Nodes without cells count none. With ``ranged`` contexts are range-partitioned by seed_key.
     """
     each = cells.groupBy("node").agg(F.collect_list(F.struct(*(c for c in cells.columns if c != "node"))).alias("cells"))
     sizes = written(cells.groupBy("node").agg(F.count("*").alias("n_cells")))
@@ -142,7 +142,9 @@ def contexts(seeds: DataFrame, edges: DataFrame, times: DataFrame, cells: DataFr
     met = own.join(each, "node").join(times, "node", "left").join(parents, "node", "left")
     leak = lambda c: leaks(c["column"], dropped, F.col("node"), F.col("seed_node"), F.col("ts"), F.col("seed_ts"))
     there = met.withColumn("cells", F.filter("cells", lambda c: ~leak(c))).withColumn("at_seed", F.col("node") == F.col("seed_node")).drop("seed_ts", "seed_node")
-    flat = there.repartition("seed_key").withColumn("cell", F.explode("cells")).select("*", "cell.*").drop("cell", "cells")
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = there.repartitionByRange(parts, "seed_key") if ranged else there.repartition("seed_key")
+    flat = dealt.withColumn("cell", F.explode("cells")).select("*", "cell.*").drop("cell", "cells")
     w = Window.partitionBy("seed_key").orderBy("column", "node")
     marked = flat.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < length)
     return marked.withColumn("is_target", F.col("at_seed") & (F.col("column") == target)).drop("at_seed")

@@ -62,14 +62,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn", ranged: bool = False) -> DataFrame:
     """``df`` with ``name``: the row's place from 0 in the total order ``order``.
 
     Rows are range-partitioned and sorted in parallel; only the partitions' sizes meet in one
     place. The sorted rows are written as Parquet, so that sizes and rows come from one evaluation.
+    ``ranged`` says that ``df`` is range-partitioned by ``order`` already.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = (df if ranged else df.repartitionByRange(parts, *order)).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     rows = written(rows)
     part = F.shiftright("__at", 33)
     sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))

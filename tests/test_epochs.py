@@ -67,3 +67,17 @@ def test_planes_and_batches(spark):
     assert {(x.batch, x["rank"]) for x in one.collect()} == {(b, 1) for b in range(5)}
     few = read_batches(spark, path, ranks=2, size=4, seed=9, epoch=3).filter("rank = 0 AND batch >= 3 AND batch < 9")
     assert {(x.batch, x["rank"]) for x in few.collect()} == {(3, 0), (4, 0)}
+
+
+def test_some_planes_of_a_store_that_was_in_order(spark):
+    """A store of ranged items is that of others; ``batches`` gives the planes asked for, and reads no others."""
+    path, rows, dense = store(spark)
+    again = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store"
+    names = ["seed_key", "n", *epochs.PLANES]
+    items = spark.createDataFrame([tuple(x[c] for c in names) for x in dense.values()], spark.read.parquet(f"{path}/items").select(*names).schema)
+    epochs.write_items(items.repartitionByRange(5, "seed_key"), again, per_file=8, ranged=True)
+    want = epochs.batches(spark, path, ranks=2, size=4, seed=9, epoch=3).select("batch", "rank", "true_size", "items", "node")
+    got = epochs.batches(spark, again, 2, 4, 9, 3, ["node"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 10
+    assert "is_padding" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, read_batches(spark, again, ranks=2, size=4, seed=9, epoch=3).collect())) == sorted(map(tuple, read_batches(spark, path, ranks=2, size=4, seed=9, epoch=3).collect()))
