@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from relspark import queries
 from relspark.operators import sampler, traversal
 
 
@@ -119,3 +120,11 @@ def test_children_are_sampled_at_their_turn(spark, monkeypatch):
     monkeypatch.setattr(sampler.Adjacency, "sampled", lambda self, frontier, *a: asked.append(sorted(r.node for r in frontier.collect())) or sampled(self, frontier, *a))
     got = traversal.traverse(spark.createDataFrame([(7, 5, 1)], "seed_key long, seed_ts long, node long"), edges, sizes, 30, 8).collect()
     assert sorted(r.node for r in got)[:3] == [1, 2, 3] and len(got) == 5 and asked == [[1]]
+
+
+def test_near_walks_sample_twice(spark, monkeypatch):
+    """Visits up to depth 2 need the children of two depths, and no others are sampled."""
+    asked, sampled = [], sampler.Adjacency.sampled
+    monkeypatch.setattr(sampler.Adjacency, "sampled", lambda self, *a: asked.append(1) or sampled(self, *a))
+    got = queries.queries()["temporal_walks_near"](spark, "/root/testdata/sf0.001")
+    assert got.agg(F.max("depth")).first()[0] == 2 and len(asked) == 2
